@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import settled, table
-from . import copies, encoding, languages, leaks, splitting
+from . import copies, encoding, languages, leaks, lookalikes, splitting
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
@@ -40,6 +40,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).filter("oversized AND piece_index = 0").select("src", "item_id")
 
 
+def _question_rows(spark: SparkSession, d: str) -> DataFrame:
+    return settled(lookalikes.question_rows(table(spark, d, "questions")), "question-rows")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.alike_questions(_question_rows(spark, d))
+
+
+def p3_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Question and answers in one consistent form."""
+    return lookalikes.one_form_questions(_question_rows(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_documents(table(spark, d, "documents"))
 
@@ -65,7 +78,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.found(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_pieces, p6_ids, p7_found, p7_leaks, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_pieces, p3_found, p3_questions, p6_ids, p7_found, p7_leaks, p8_found, p8_languages)}
 
 #: What stays of a text without white space, punctuation and other signs, in lower case.
 _FOLD = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
@@ -85,6 +98,6 @@ ORACLE = {
     "p2_found": """
 WITH items AS (SELECT 'page' AS src, page_id AS item_id, content AS x FROM wiki_pages UNION ALL SELECT 'chunk', chunk_id, text FROM chunks)
 SELECT src, item_id FROM items
-WHERE length(x) > 2000 OR len(list_filter(string_split_regex(x, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+'), w -> w <> '')) > 196
+WHERE length(x) > 2000 OR len(list_filter(string_split_regex(x, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+'), lambda w: w <> '')) > 196
 """,
 }
