@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import settled, table
-from . import copies, encoding, languages, leaks, lookalikes, splitting
+from . import copies, encoding, languages, leaks, lookalikes, markup, splitting
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +53,14 @@ def p3_questions(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.one_form_questions(_question_rows(spark, d))
 
 
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.unmarked(table(spark, d, "wiki_pages"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_clean(spark, d).select("page_id", F.explode("kinds").alias("markup"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_documents(table(spark, d, "documents"))
 
@@ -78,7 +86,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.found(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_pieces, p3_found, p3_questions, p6_ids, p7_found, p7_leaks, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_pieces, p3_found, p3_questions, p5_found, p5_clean, p6_ids, p7_found, p7_leaks, p8_found, p8_languages)}
 
 #: What stays of a text without white space, punctuation and other signs, in lower case.
 _FOLD = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
