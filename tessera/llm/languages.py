@@ -4,9 +4,9 @@ A word's script narrows the languages it may be in; the letter triples of a word
 give it a score in each of those. Viterbi over the words of a text, with a penalty
 for a change of language that is smaller where a sentence ends, labels spans.
 
-The scores are fitted on a bounded sample (``SAMPLE_ROWS`` rows, each of at most
-``SAMPLE_CHARS`` characters so that its size is bounded too, the smallest hashes of
-their ids) of rows whose label names one of the languages; labels may be wrong, so
+The scores are fitted on a bounded sample (about ``SAMPLE_ROWS`` rows, those whose
+hashed id lies below a bound, each of at most ``SAMPLE_CHARS`` characters so that its
+size is bounded too) of rows whose label names one of the languages; labels may be wrong, so
 the sample is labelled again by the first fit and fitted once more. Labelling covers
 whole texts of all rows.
 
@@ -34,8 +34,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 BUCKETS = 1 << 16
 #: Cost of a change of language inside a sentence and after its end, in nats.
 INSIDE, BETWEEN = 9.0, 3.5
-#: A sentence of the sample leaves its stored label if another language leads by so many nats; a feature below this rate says little.
-TRUST, RARE = 12.0, 3e-5
+#: A text or sentence of the sample leaves its stored label if another language leads by so many nats; a feature below this rate says little.
+TRUST, RARE = 15.0, 3e-5
 #: A word's score in the best language over the worst of its script, at most.
 MOST = 4.0
 #: Words of whole sentences that a language of a mixed text must have, letter words that a label must rest on.
@@ -141,25 +141,32 @@ def _counts(texts, languages) -> np.ndarray:
 
 def fitted(rows: list[tuple[str, str]]) -> Scores:
     """Scores from (text, code) rows, of which a part may be wrong."""
-    texts = [t for t, _ in rows]
-    scores = Scores.fitted(_counts(texts, [LANGUAGES.index(c) for _, c in rows]))
-    # by sentence, as texts may hold several languages
-    split = [(p, LANGUAGES.index(c)) for t, c in rows for p in re.split(r"(?<=[.!?…])\s+|\n+", t) if _LETTERS(p)]
-    parts, stored = [p for p, _ in split], np.eye(len(LANGUAGES))[[c for _, c in split]] * TRUST
-    words = [p.split() for p in parts]
-    ends = np.cumsum([len(ws) for ws in words])
-    for _ in range(3 if parts else 0):
-        sums = np.add.reduceat(scores.of([w for ws in words for w in ws]), np.concatenate(([0], ends[:-1])))
-        scores = Scores.fitted(_counts(parts, (sums + stored).argmax(1).tolist()))
+    texts, labels = [t for t, _ in rows], [LANGUAGES.index(c) for _, c in rows]
+    scores = Scores.fitted(_counts(texts, labels))
+    # whole texts first, which takes wrong labels out, then sentences, as texts may hold several languages
+    split = [(p, c) for t, c in zip(texts, labels) for p in re.split(r"(?<=[.!?…])\s+|\n+", t) if _LETTERS(p)]
+    whole = [(t, c) for t, c in zip(texts, labels) if _LETTERS(t)]
+    for n, (parts, stored) in enumerate([tuple(map(list, zip(*x))) for x in (whole, whole, split, split) if x]):
+        words = [p.split() for p in parts]
+        begin = np.concatenate(([0], np.cumsum([len(ws) for ws in words])[:-1]))
+        sums = np.add.reduceat(scores.of([w for ws in words for w in ws]), begin)
+        if n == 2:  # the labels that the whole texts were given
+            at = {t: c for (t, _), c in zip(whole, known)}
+            stored = [at[t] for t in texts if t in at for p in re.split(r"(?<=[.!?…])\s+|\n+", t) if _LETTERS(p)]
+            base = stored
+        known = (sums + np.eye(len(LANGUAGES))[base if n == 3 else stored] * TRUST).argmax(1).tolist()
+        scores = Scores.fitted(_counts(parts, known))
     return scores
 
 
 def sample(documents: DataFrame) -> list[tuple[str, str]]:
     """The bounded sample of labelled rows the scores are fitted on."""
     lang = F.lower(F.trim("lang"))
-    labelled = documents.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.substring_index(F.translate(lang, "_", "-"), "-", 1).isin(*_CODES) & (F.length("text") <= SAMPLE_CHARS))
-    # the smallest hashes of each language first, so that a rare one has its share
-    rows = labelled.select("text", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE_ROWS).collect()
+    labelled = documents.filter(F.col("doc_id").isNotNull() & F.substring_index(F.translate(lang, "_", "-"), "-", 1).isin(*_CODES))
+    share = SAMPLE_ROWS / max(1, labelled.count())
+    # rows below a hash bound, so that no task sends more than its part of the sample
+    drawn = labelled.filter((F.xxhash64("doc_id") <= F.lit(int(min(1.0, share) * (1 << 64)) - (1 << 63) - 1)) & (F.length("text") <= SAMPLE_CHARS))
+    rows = sorted(drawn.select("doc_id", "text", "lang").collect())
     return [(r.text, code) for r in rows if (code := named(r.lang))]
 
 
