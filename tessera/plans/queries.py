@@ -1,30 +1,8 @@
-"""Queries over the tables of a data folder, and the SQL they are compared with."""
+"""All queries of the core, and the SQL they are compared with."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import graph_queries
 
-from ..operators import quantities as q
-from ..sources.tables import settled, table
-
-
-def _quantities(spark: SparkSession, d: str) -> DataFrame:
-    # read by the mixtures and by what they are applied to
-    read = settled(q.read_quantities(q.nodes(table(spark, d, "triples")), table(spark, d, "unit_items")), "quantities")
-    return q.with_inferred(read, q.mixtures(read))
-
-
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return q.same_quantities(_quantities(spark, d))
-
-
-def p4_quantities(spark: SparkSession, d: str) -> DataFrame:
-    return _quantities(spark, d)
-
-
-def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return q.unit_report(_quantities(spark, d))
-
-
-QUERIES = {f.__name__: f for f in (p4_found, p4_quantities, p4_report)}
-ORACLE: dict = {}
+QUERIES = {**graph_queries.QUERIES}
+ORACLE = {**graph_queries.ORACLE}
