@@ -113,7 +113,7 @@ def year_of(url: Column) -> Column:
 
 def answer_letter(c: Column) -> Column:
     """The first letter A to D that stands alone, Cyrillic ones as Latin; null where there is none."""
-    found = F.regexp_extract(c, r"(?U)\b([ABCDАВСД])\b", 1)
+    found = F.regexp_extract(c, r"(?<![\p{L}\p{N}_])([ABCDАВСД])(?![\p{L}\p{N}_])", 1)
     return F.nullif(F.translate(found, "АВСД", "ABCD"), F.lit(""))
 
 

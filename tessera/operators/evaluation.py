@@ -16,7 +16,7 @@ def percent(part: Column, whole: Column) -> Column:
 def accuracy(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """(*by, total, correct, accuracy) of (predicted, gold); rows without a prediction or gold aren't counted."""
     seen = rows.filter("predicted IS NOT NULL AND predicted <> '' AND gold IS NOT NULL")
-    return seen.groupBy(*by).agg(F.count("*").alias("total"), F.count_if("predicted = gold").alias("correct")).withColumn("accuracy", percent(F.col("correct"), F.col("total")))
+    return seen.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(F.expr("predicted = gold")).alias("correct")).withColumn("accuracy", percent(F.col("correct"), F.col("total")))
 
 
 def model_answers(items: DataFrame) -> DataFrame:

@@ -227,26 +227,35 @@ def neighbourhood(seeds: DataFrame, triples: DataFrame, hops: int, keys: list[st
 def beam_expansion(seeds: DataFrame, triples: DataFrame, score, hops: int = 2, limit: int = 100, beam: int = 50, frontier_size: int = 20) -> DataFrame:
     """(query_id, hop, s, p, o, text, score): per-seed expansion guided by relevance.
 
-    seeds: (query_id, query, rank, node); a node belongs to its seed of smallest rank. In each hop the
-    first ``limit`` new triples of a seed by code point are told, the ``beam`` best of them are kept, and at
-    most ``frontier_size`` nodes of those, in order of score, lead on. score: Column of (query, text).
+    seeds: (query_id, query, rank, node); a node belongs to its seed of smallest rank. A hop fetches the
+    first ``limit`` triples around a seed's frontier by code point; those that are new and can be told are
+    scored, the ``beam`` best of them are kept, and at most ``frontier_size`` of their nodes, in order of
+    score, lead on. score: Column of (query, text).
+
+    No node can add more than its first ``limit`` triples to that, so nodes are cut to these once, before
+    the queries meet them; a hub with any share of the triples costs no more than another node.
     """
-    edge = settled(edges(triples), "edges")
-    told = settled(facts(triples).select(F.col("subject_uri").alias("s"), F.col("predicate_uri").alias("p"), F.coalesce("object_bnode_id", "object_uri", "object_value").alias("o"), "text"), "told")
+    told = facts(triples).select(F.col("subject_uri").alias("s"), F.col("predicate_uri").alias("p"), F.coalesce("object_bnode_id", "object_uri", "object_value").alias("o"), "text")
+    edge = edges(triples)
+    around = edge.select(F.col("s").alias("node"), "s", "s_kind", "p", "o", "o_kind").union(edge.filter("s_kind <> 'bnode'").select("o", "s", "s_kind", "p", "o", "o_kind")).distinct()
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("s", "p", "o"))
+    around = around.withColumn("n", nth).filter(F.col("n") <= limit).drop("n")
+    around = settled(around.join(told, ["s", "p", "o"], "left"), "around")
     first = F.row_number().over(Window.partitionBy("query_id", "node").orderBy("rank"))
     seen = seeds.withColumn("n", first).filter("n = 1").select("query_id", "query", F.col("node").alias("seed"), "node")
     frontier, found, keys = seen, None, ["query_id", "query", "seed"]
     for n in range(1, hops + 1):
-        new = hop(frontier, edge, keys).select(*keys, "s", "s_kind", "p", "o", "o_kind")
+        new = frontier.join(around, "node").select(*keys, "s", "s_kind", "p", "o", "o_kind", "text").distinct()
+        fetched = F.row_number().over(Window.partitionBy("query_id", "seed").orderBy("s", "p", "o"))
+        new = new.withColumn("n", fetched).filter(F.col("n") <= limit)
         # a triple reached from several seeds of a query belongs to the smallest
         own = F.row_number().over(Window.partitionBy("query_id", "s", "p", "o").orderBy("seed"))
-        new = new.withColumn("n", own).filter("n = 1")
+        new = new.withColumn("n", own).filter("n = 1 AND text IS NOT NULL")
         if found is not None:
             new = new.join(found.select("query_id", "s", "p", "o"), ["query_id", "s", "p", "o"], "left_anti")
-        # relevance first, then the limits by it: the order is total, so no limit depends on chance
-        new = new.join(told, ["s", "p", "o"]).withColumn("score", score(F.col("query"), F.col("text")))
+        new = new.withColumn("score", score(F.col("query"), F.col("text")))
         place = F.row_number().over(Window.partitionBy("query_id", "seed").orderBy(F.desc("score"), "text"))
-        new = settled(new.withColumn("n", place).filter(F.col("n") <= min(limit, beam)).withColumn("hop", F.lit(n)), "beam")
+        new = settled(new.withColumn("n", place).filter(F.col("n") <= beam).withColumn("hop", F.lit(n)), "beam")
         found = new if found is None else found.unionByName(new)
         ends = new.filter("s_kind = 'uri'").select(*keys, F.col("s").alias("node"), "n").union(new.filter((F.col("o_kind") == "uri") & (F.col("p") != v.TYPE)).select(*keys, "o", "n"))
         ends = ends.groupBy(*keys, "node").agg(F.min("n").alias("n")).join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti")

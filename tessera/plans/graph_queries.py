@@ -310,7 +310,8 @@ def _beam(n: int, frontier: str) -> str:
     """One hop of the beam from a frontier (query_id, query, seed, node)."""
     old = f" WHERE NOT EXISTS (SELECT 1 FROM b{n - 1} z WHERE z.query_id = w.query_id AND z.s = w.s AND z.p = w.p AND z.o = w.o)" if n > 1 else ""
     return f"""n{n} AS (SELECT f.query_id, f.query, f.seed, e.s, e.s_kind, e.p, e.o, e.o_kind FROM {frontier} f JOIN edges e ON e.s = f.node UNION SELECT f.query_id, f.query, f.seed, e.s, e.s_kind, e.p, e.o, e.o_kind FROM {frontier} f JOIN edges e ON e.o = f.node AND e.s_kind <> 'bnode'),
-w{n} AS (SELECT * FROM n{n} QUALIFY row_number() OVER (PARTITION BY query_id, s, p, o ORDER BY seed) = 1),
+l{n} AS (SELECT * FROM n{n} QUALIFY row_number() OVER (PARTITION BY query_id, seed ORDER BY s, p, o) <= 100),
+w{n} AS (SELECT * FROM l{n} QUALIFY row_number() OVER (PARTITION BY query_id, s, p, o ORDER BY seed) = 1),
 x{n} AS (SELECT w.*, g.text, {stem_sql("w.query", "g.text")} AS score FROM w{n} w JOIN told_as g ON g.s = w.s AND g.p = w.p AND g.obj = w.o{old}),
 b{n} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id, seed ORDER BY score DESC, text) AS n FROM x{n} QUALIFY n <= 50)"""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries
+from . import graph_queries, text_queries
 
-QUERIES = {**graph_queries.QUERIES}
-ORACLE = {**graph_queries.ORACLE}
+QUERIES = {**graph_queries.QUERIES, **text_queries.QUERIES}
+ORACLE = {**graph_queries.ORACLE, **text_queries.ORACLE}
