@@ -13,6 +13,12 @@ from . import vocabulary as v
 SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
 
 
+def bound(c: Column, f) -> Column:
+    """f(c) with c computed once, however often a function inside f comes back to it (the arguments of
+    higher-order functions are computed again for every element)."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def stripped(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")

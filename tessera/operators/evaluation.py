@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.text import holds_any, keyword_hits, words
+from ..functions.text import bound, holds_any, keyword_hits, words
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -49,7 +49,7 @@ def recall_proxy(gold: Column, context: Column) -> Column:
     without such words must occur as a whole, a missing one is no recall."""
     low, ctx = F.lower(gold), F.lower(F.coalesce(context, F.lit("")))
     long_words = F.filter(words(low), lambda w: F.length(w) > 3)
-    hits = F.size(F.filter(long_words, lambda w: F.contains(ctx, w)))
+    hits = F.size(bound(ctx, lambda c: F.filter(long_words, lambda w: F.contains(c, w))))
     return F.when(gold.isNull() | (gold == ""), False).when(F.size(long_words) > 0, hits / F.size(long_words) >= 0.5).otherwise(F.contains(ctx, low))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.text import stem, stripped, words
+from ..functions.text import bound, stem, stripped, words
 
 #: Shortest label that is looked for, which is also how labels and texts are met.
 SHORTEST = 4
@@ -26,8 +26,8 @@ def linked(texts: DataFrame, index: DataFrame, k: int = v.LINKED_ONLINE) -> Data
     there. So the pairs of texts and labels are never enumerated.
     """
     low = F.lower("text")
-    n = F.length(low) - SHORTEST + 1
-    places = texts.filter(F.length("text") >= SHORTEST).select("query_id", low.alias("low"), F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(low, i, F.lit(SHORTEST)))).alias("at", "start"))
+    starts = bound(low, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - SHORTEST + 1), lambda i: F.substring(x, i, F.lit(SHORTEST))))
+    places = texts.filter(F.length(low) >= SHORTEST).select("query_id", low.alias("low"), F.posexplode(starts).alias("at", "start"))
     met = places.join(index.withColumn("start", F.substring("label", 1, SHORTEST)), "start")
     held = met.filter(F.substring(F.col("low"), F.col("at") + 1, F.length("label")) == F.col("label")).select("query_id", "label", "node").distinct()
     one = held.groupBy("query_id", "node").agg(F.min_by("label", F.struct(-F.length("label"), "label")).alias("label"))

@@ -9,20 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keywords, stem, words
+from ..functions.text import bound, keywords, stem, words
+
+
+def _lexical(words_: Column, low: Column) -> Column:
+    return F.aggregate(F.filter(words_, lambda w: F.contains(low, w)), F.lit(0), lambda s, w: s + 2 * F.length(w))
 
 
 def lexical_score(query: Column, text: Column) -> Column:
     """Twice the length of each keyword of the query that the text contains."""
-    low = F.lower(text)
-    return F.aggregate(F.filter(keywords(query), lambda w: F.contains(low, w)), F.lit(0), lambda s, w: s + 2 * F.length(w))
+    return bound(F.lower(text), lambda low: _lexical(keywords(query), low))
 
 
 def stem_score(query: Column, text: Column) -> Column:
     """The lexical score, and the length of each stem that query and text share."""
-    stems = lambda c: F.array_distinct(F.transform(keywords(c), stem))
-    shared = F.array_intersect(stems(query), stems(text))
-    return lexical_score(query, text) + F.aggregate(shared, F.lit(0), lambda s, w: s + F.length(w))
+    stems = lambda k: F.array_distinct(F.transform(k, stem))
+    shared = lambda k: F.array_intersect(stems(k), stems(keywords(text)))
+    both = lambda k: lexical(k) + F.aggregate(shared(k), F.lit(0), lambda s, w: s + F.length(w))
+    lexical = lambda k: bound(F.lower(text), lambda low: _lexical(k, low))
+    return bound(keywords(query), both)
 
 
 SCORES = {"lexical": lexical_score, "stem": stem_score}

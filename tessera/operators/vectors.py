@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.arrow import record
-from ..functions.text import holds_any, keywords, words
+from ..functions.arrow import pieces, record
+from ..functions.text import bound, holds_any, keywords, words
 
 METRICS = ("cosine", "l2", "ip")
 #: Queries that are sent to the tasks at once.
@@ -49,7 +49,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
 
         def run(batches):
             best: dict = {}
-            for b in batches:
+            for b in pieces(batches, rows=2000):
                 ids, flat = b.column(0).to_pylist(), b.column(1).to_pylist()
                 for n, (qid, q) in sent.value.items():
                     own = [(i, x) for i, x in zip(ids, flat) if i is not None and x is not None and len(x) == n and None not in x]
@@ -59,10 +59,13 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
                     d = distances(q, np.array([x for _, x in own], float), metric)
                     if exclude_self:
                         d[qid[:, None] == vid[None, :]] = np.inf
-                    order = np.lexsort((np.broadcast_to(vid, d.shape), d), axis=1)[:, :k]
-                    for row, o in enumerate(order):
-                        best[n, row] = sorted(best.get((n, row), []) + [(d[row, c], int(vid[c])) for c in o if np.isfinite(d[row, c])])[:k]
-            got = [(int(sent.value[n][0][row]), i, dist) for (n, row), pairs in best.items() for dist, i in pairs]
+                    for row in range(len(qid)):
+                        at = np.flatnonzero(d[row] <= np.partition(d[row], k - 1)[k - 1]) if len(vid) > k else np.arange(len(vid))
+                        old = best.get((n, row))
+                        dist, who = (d[row, at], vid[at]) if old is None else (np.append(old[0], d[row, at]), np.append(old[1], vid[at]))
+                        order = np.lexsort((who, dist))[:k]
+                        best[n, row] = dist[order], who[order]
+            got = [(int(sent.value[n][0][row]), int(i), float(x)) for (n, row), (dist, who) in best.items() for x, i in zip(dist, who) if np.isfinite(x)]
             yield record(out, *(map(list, zip(*got)) if got else [[], [], []]))
 
         return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, distance double")
@@ -92,7 +95,7 @@ def cosine(a: Column, b: Column) -> Column:
 def domain_score(query: Column, distance: Column, predicate: Column, obj: Column, text: Column, importance: Column, subject_types: Column) -> Column:
     """The score of a retrieved fact, lower is better: distance, importance, what is taken off for the
     country and given for quantities and shared keywords."""
-    q, doc = F.lower(query), F.lower(text)
+    q = F.lower(query)
     country = (predicate == v.COUNTRY_PREDICATE) & (obj == v.COUNTRY)
     penalty = F.when(~F.coalesce(country, F.lit(False)), 0.0).when(holds_any(q, v.COUNTRY_ASKED), 0.0).when(holds_any(q, v.COUNTRY_OFF), 60.0).otherwise(30.0)
     local = F.lower(F.substring_index(predicate, "#", -1))
@@ -100,10 +103,10 @@ def domain_score(query: Column, distance: Column, predicate: Column, obj: Column
     for asked, part in v.AFFINITY.items():
         affine = affine | (F.contains(q, F.lit(asked)) & F.contains(local, F.lit(part)))
     types = F.lower(F.coalesce(subject_types, F.lit("")))
-    named = F.exists(words(q), lambda w: (F.length(w) > 3) & F.contains(types, w) & ~w.isin(v.PLAIN_NOUNS) & F.contains(doc, w))
+    named = bound(F.lower(text), lambda doc: F.exists(words(q), lambda w: (F.length(w) > 3) & F.contains(types, w) & ~w.isin(v.PLAIN_NOUNS) & F.contains(doc, w)))
     asked = holds_any(q, v.QUANTITY_STEMS) & predicate.isin(v.QUANTITY_PROPERTIES)
     quantity = F.when(F.coalesce(asked, F.lit(False)), F.when(affine, -60.0).otherwise(-15.0) + F.when(named, -5.0).otherwise(0.0)).otherwise(0.0)
-    shared = F.aggregate(F.filter(keywords(query), lambda w: F.contains(doc, w)), F.lit(0), lambda s, w: s + 2 * F.length(w))
+    shared = bound(F.lower(text), lambda doc: F.aggregate(F.filter(keywords(query), lambda w: F.contains(doc, w)), F.lit(0), lambda s, w: s + 2 * F.length(w)))
     return 0.8 * distance + 1.5 * F.coalesce(importance, F.lit(99)) + penalty + quantity + F.greatest(-shared.cast("double"), F.lit(-20.0))
 
 
