@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vocabulary as v
 from ..operators import chunking, dataset, evaluation, graph, ranking, vectors
-from ..sources.tables import settled, table
+from ..sources.tables import settled, spread, table
 from . import graph_queries as gq
 from .graph_queries import _list, _squeeze, _strip
 
@@ -17,25 +17,30 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "wiki_pages")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Pages for work on their content."""
+    return spread(_pages(spark, d).select("page_id", "title", "content", "source_file"))
+
+
 def doc_clean_article(spark, d):
-    return _pages(spark, d).select("page_id", tx.plain_article(F.col("content")).alias("text"))
+    return _texts(spark, d).select("page_id", tx.plain_article(F.col("content")).alias("text"))
 
 
 def doc_clean_wiki(spark, d):
-    return _pages(spark, d).select("page_id", tx.plain_wiki(F.col("content")).alias("text"))
+    return _texts(spark, d).select("page_id", tx.plain_wiki(F.col("content")).alias("text"))
 
 
 def doc_extraction_text(spark, d):
     """Cleaned pages as an extraction model is given them: its limit is 6000 characters."""
-    return _pages(spark, d).select("page_id", F.substring(tx.plain_wiki(F.col("content")), 1, 6000).alias("text"))
+    return _texts(spark, d).select("page_id", F.substring(tx.plain_wiki(F.col("content")), 1, 6000).alias("text"))
 
 
 def doc_truncate_section(spark, d):
-    return _pages(spark, d).select("page_id", tx.cut_at_markers(F.col("content")).alias("text"))
+    return _texts(spark, d).select("page_id", tx.cut_at_markers(F.col("content")).alias("text"))
 
 
 def doc_clean_stats(spark, d):
-    p = _pages(spark, d).select("source_file", F.coalesce(F.length("content"), F.lit(0)).alias("a"), F.coalesce(F.length(tx.cut_at_markers(F.col("content"))), F.lit(0)).alias("b"))
+    p = _texts(spark, d).select("source_file", F.coalesce(F.length("content"), F.lit(0)).alias("a"), F.coalesce(F.length(tx.cut_at_markers(F.col("content"))), F.lit(0)).alias("b"))
     s = p.groupBy("source_file").agg(F.count("*").alias("pages"), F.count_if(F.expr("b < a")).alias("cleaned"), F.sum(F.col("a") - F.col("b")).alias("chars_removed"), F.sum("a").alias("chars"))
     return s.select("source_file", "pages", "cleaned", "chars_removed", evaluation.percent(F.col("chars_removed"), F.col("chars")).alias("percent_removed"))
 
@@ -60,23 +65,23 @@ def doc_title_search(spark, d):
 
 
 def chunk_fixed256(spark, d):
-    return chunking.fixed(_pages(spark, d)).select("page_id", "chunk_index", "text")
+    return chunking.fixed(_texts(spark, d)).select("page_id", "chunk_index", "text")
 
 
 def chunk_fixed500(spark, d):
-    return chunking.fixed(_pages(spark, d), 500, 50).select("page_id", "chunk_index", "text")
+    return chunking.fixed(_texts(spark, d), 500, 50).select("page_id", "chunk_index", "text")
 
 
 def chunk_structure(spark, d):
-    return chunking.structure(_pages(spark, d)).select("page_id", "section", "chunk_index", "text")
+    return chunking.structure(_texts(spark, d)).select("page_id", "section", "chunk_index", "text")
 
 
 def chunk_parents(spark, d):
-    return chunking.parents(_pages(spark, d)).select("page_id", "parent_id", "section", "text")
+    return chunking.parents(_texts(spark, d)).select("page_id", "parent_id", "section", "text")
 
 
 def chunk_parent_child(spark, d):
-    return chunking.chunked(_pages(spark, d), "parentchild").select("page_id", "parent_id", "chunk_index", "text")
+    return chunking.chunked(_texts(spark, d), "parentchild").select("page_id", "parent_id", "chunk_index", "text")
 
 
 def parent_expand(spark, d):
