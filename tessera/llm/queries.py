@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import settled, table
+from ..sources.tables import settled, spread, table
 from . import copies, encoding, languages, leaks, lookalikes, markup, splitting
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
-    return settled(copies.page_keys(table(spark, d, "wiki_pages"), table(spark, d, "raw_pages")), "page-keys")
+    return settled(copies.page_keys(spread(table(spark, d, "wiki_pages").select("page_id", "title", "content")), spread(table(spark, d, "raw_pages").select("page_id", "record"))), "page-keys")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +32,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_items(_items(spark, d))
+    return splitting.split_items(spread(_items(spark, d)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def p3_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.unmarked(table(spark, d, "wiki_pages"))
+    return markup.unmarked(spread(table(spark, d, "wiki_pages").select("page_id", "title", "source_file", "content")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.encode_documents(table(spark, d, "documents"))
+    return encoding.encode_documents(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -71,19 +71,23 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Also re-parameterised copies, with the words of the stretch and the changed ones."""
-    return leaks.leaked(table(spark, d, "documents"), _questions(spark, d))
+    return leaks.leaked(spread(table(spark, d, "documents").select("doc_id", "text")), _questions(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).filter("kind = 'verbatim'").select("doc_id", "item_id")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
+
+
 def p8_languages(spark: SparkSession, d: str) -> DataFrame:
-    return languages.languages(table(spark, d, "documents")).select("doc_id", "lang", F.round("confidence", 6).alias("confidence"), "letter_words", F.transform("segments", lambda s: F.struct(s["lang"].alias("lang"), s["words"].alias("words"), F.round(s["confidence"], 6).alias("confidence"))).alias("segments"))
+    return languages.languages(_documents(spark, d)).select("doc_id", "lang", F.round("confidence", 6).alias("confidence"), "letter_words", F.transform("segments", lambda s: F.struct(s["lang"].alias("lang"), s["words"].alias("words"), F.round(s["confidence"], 6).alias("confidence"))).alias("segments"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return languages.found(table(spark, d, "documents"))
+    return languages.found(_documents(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_pieces, p3_found, p3_questions, p5_found, p5_clean, p6_ids, p7_found, p7_leaks, p8_found, p8_languages)}
