@@ -33,21 +33,23 @@ def label_groups(triples: DataFrame) -> DataFrame:
     return sizes.join(common, "key", "left").select("key", "members", F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared"))
 
 
-def components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component of (a, b).
 
-    Every node takes the smallest root among its neighbours until none changes; each round is written
-    to the shared folder, so the plan doesn't grow.
+    Every node takes the smallest root among its neighbours and then that root's own root, which halves
+    the way left in each round, until nothing changes. Each round is written to the shared folder, so the
+    plan doesn't grow and a lost executor costs one round at most.
     """
     both = settled(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "pairs")
     root = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
-    for _ in range(rounds):
+    while True:
         offered = both.join(root, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
-        new = settled(root.join(offered, "node", "left").select("node", F.least("root", "offer").alias("root"), (F.col("offer") < F.col("root")).alias("moved")), "roots")
+        near = settled(root.join(offered, "node", "left").select("node", F.least("root", "offer").alias("near"), F.col("root").alias("was")), "near")
+        above = near.select(F.col("node").alias("near"), F.col("near").alias("far"))
+        new = settled(near.join(above, "near", "left").select("node", F.least("near", "far").alias("root"), "was"), "roots")
         root = new.select("node", "root")
-        if new.filter("moved").isEmpty():
-            break
-    return root
+        if new.filter("root <> was").isEmpty():
+            return root
 
 
 def merge_map(triples: DataFrame) -> DataFrame:

@@ -124,7 +124,9 @@ def facts(triples: DataFrame, strict_unit: bool = False) -> DataFrame:
         .when(F.col("o_kind") != "bnode", "plain")
     )
     t = t.withColumn("kind", kind).filter("kind IS NOT NULL")
-    t = with_label(with_label(t, "s", names, "sl"), "p", names, "pl")
+    t = with_label(t, "s", names, "sl")
+    # predicates are few and each in many rows: their labels are found once, not by a join of all rows
+    t = t.join(with_label(t.select("p").distinct(), "p", names, "pl"), "p")
     values = quantity_values(triples.filter(F.col("p").isin(v.VALUE, v.UNIT)))
     values = values.join(names.select(F.col("node").alias("unit_uri"), F.col("label").alias("ul")), "unit_uri", "left").withColumn("ul", F.coalesce("ul", derived_label(F.col("unit_uri"))))
     if strict_unit:

@@ -167,9 +167,36 @@ def p4_report(spark, d):
     return quantities.unit_report(_quantities(spark, d))
 
 
+def _part_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as a graph with namesakes: the label is name and size, for every other part with its type after it."""
+    p = table(spark, d, "part").filter("p_name IS NOT NULL AND p_type IS NOT NULL")
+    node, kind = F.concat(F.lit(v.NS + "part"), F.col("p_partkey").cast("string")), F.substring_index("p_type", " ", -1)
+    base = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
+    label = F.when(F.col("p_partkey") % 2 == 0, F.concat(base, F.lit(" ("), kind, F.lit(")"))).otherwise(base)
+    row = lambda pred, o, k: p.select(node.alias("s"), F.lit("uri").alias("s_kind"), F.lit(pred).alias("p"), o.alias("o"), F.lit(k).alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"))
+    return row(v.LABEL, label, "literal").unionByName(row(v.TYPE, F.concat(F.lit(v.NS), kind), "uri"))
+
+
+def part_merge_labels(spark, d):
+    return curation.merge_map(_part_triples(spark, d))
+
+
+def part_ambiguous_labels(spark, d):
+    return curation.label_groups(_part_triples(spark, d)).filter("shared = 0").select("key", "members")
+
+
+def part_type_qualified_pairs(spark, d):
+    return curation.type_qualified_pairs(_part_triples(spark, d))
+
+
+def part_bare_alias(spark, d):
+    return curation.bare_aliases(_part_triples(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        part_merge_labels, part_ambiguous_labels, part_type_qualified_pairs, part_bare_alias,
         kg_star_triples, kg_top10_quantity, kg_labels, kg_facts, kg_fact_metadata, kg_fact_prefilter, kg_type_census, kg_degree, kg_snapshot, kg_nhop_1, kg_nhop_2, kg_beam_expand,
         kg_type_expansion, kg_hop_distance, kg_subgraph, kg_merge_duplicate_labels, kg_ambiguous_labels, kg_merged_graph, kg_type_qualified_pairs, kg_bare_alias,
         kg_placeholder_values, kg_unit_canon, kg_quantity_dedupe, kg_quantity_conflicts, kg_label_unlabeled, kg_curation_report, link_entities, link_fuzzy_stems,
@@ -388,3 +415,11 @@ pre AS (SELECT DISTINCT query_id, substr(w, 1, CAST(k AS BIGINT)) AS stem FROM (
 hit AS (SELECT query_id, node, label, n, count(*) AS hits, count(*) FILTER (i < 2) AS firsts FROM pre JOIN one USING (stem) GROUP BY 1, 2, 3, 4)
 SELECT query_id, node, label FROM hit WHERE hits = n OR (n >= 3 AND (hits >= n - 1 OR firsts = 2))""",
 }
+
+# the same SQL over the parts, which stand in for the triples
+_PARTS = f"""triples AS (SELECT s, 'uri' AS s_kind, p, o, o_kind, CAST(NULL AS VARCHAR) AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang FROM (
+  SELECT '{v.NS}part' || p_partkey AS s, '{v.LABEL}' AS p, p_name || ' ' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ' (' || split_part(p_type, ' ', -1) || ')' ELSE '' END AS o, 'literal' AS o_kind FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL
+  UNION ALL SELECT '{v.NS}part' || p_partkey, '{v.TYPE}', '{v.NS}' || split_part(p_type, ' ', -1), 'uri' FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL))"""
+for _own, _of in (("part_merge_labels", "kg_merge_duplicate_labels"), ("part_ambiguous_labels", "kg_ambiguous_labels"), ("part_type_qualified_pairs", "kg_type_qualified_pairs"), ("part_bare_alias", "kg_bare_alias")):
+    _head, _, _rest = ORACLE[_of].partition(" t AS MATERIALIZED")
+    ORACLE[_own] = f"{_head} {_PARTS}, t AS MATERIALIZED{_rest}"

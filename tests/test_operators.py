@@ -63,7 +63,7 @@ def test_merge_chain(spark):
 def test_components_of_a_long_chain(spark):
     n = 40
     pairs = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(n)] + [("x", "y")], "a string, b string")
-    root = {r.node: r.root for r in curation.components(pairs, rounds=60).collect()}
+    root = {r.node: r.root for r in curation.components(pairs).collect()}
     assert {root[f"{i:03d}"] for i in range(n + 1)} == {"000"} and root["y"] == "x"
 
 
