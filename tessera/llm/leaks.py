@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -209,7 +210,7 @@ def _near(doc, item, runs, reach):
     return sorted(found)
 
 
-def best_stretch(doc, item, weights, pairs):  # noqa: C901
+def best_stretch(doc, item, weights, pairs):
     """(words, changed) of the longest stretch of the item in the document within the limits, or None.
 
     Runs are chained in order; between two of them the larger of the gaps in item and
@@ -345,10 +346,11 @@ def find(ids, texts, items: Items, vocabulary: _Vocabulary):
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """LEAKS: the documents and the items that leaked into each. items: (item_id, question)."""
-    rows = [(r[0], r[1]) for r in items.select("item_id", "question").filter("item_id IS NOT NULL AND question IS NOT NULL").distinct().orderBy("item_id", "question").toLocalIterator()]
-    out = None
-    for at in range(0, max(1, len(rows)), BLOCK):
-        block = documents.sparkSession.sparkContext.broadcast(prepared(rows[at : at + BLOCK]))
+    known = items.select("item_id", "question").filter("item_id IS NOT NULL AND question IS NOT NULL").distinct().orderBy("item_id", "question")
+    rows = ((r[0], r[1]) for r in known.toLocalIterator())
+    out, own = None, list(islice(rows, BLOCK))
+    while own or out is None:
+        block = documents.sparkSession.sparkContext.broadcast(prepared(own))
 
         def run(batches, block=block):
             own = block.value
@@ -361,4 +363,5 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         one = documents.select("doc_id", "text").mapInArrow(run, LEAKS)
         out = one if out is None else out.unionByName(one)
+        own = list(islice(rows, BLOCK))
     return out.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("kind", "words", "changed"), F.struct(F.col("kind") == "template", -F.col("words"), "changed")).alias("x")).select("doc_id", "item_id", "x.*")
