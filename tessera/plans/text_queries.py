@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocabulary as v
-from ..operators import chunking, dataset, evaluation, graph, ranking, vectors
+from ..operators import chunking, dataset, evaluation, extraction, graph, ranking, vectors
 from ..sources.tables import settled, spread, table
 from . import graph_queries as gq
 from .graph_queries import _list, _squeeze, _strip
@@ -180,6 +180,19 @@ def rank_fallback(spark, d):
     return ranking.context_or_fallback(hits, hits.filter(F.col("text").contains("язовир")), 2).select("query_id", F.size("context").alias("n"), "fallback")
 
 
+def filter_selection(spark, d):
+    """A reply that names the second and first chunk of each title, with numbers before them."""
+    hits = settled(_ranked_chunks(spark, d), "hits")
+    chosen = hits.filter("rank <= 2").groupBy("query_id").agg(F.to_json(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("rank", "text")))), lambda x: F.concat(x["rank"].cast("string"), F.lit(". "), x["text"]))).alias("reply"))
+    return extraction.selected(chosen, hits).select("query_id", F.md5("text").alias("text_md5"), "used").distinct()
+
+
+def relevant_names(spark, d):
+    """The nodes whose names a described node's text touches."""
+    names = table(spark, d, "triples").filter(F.col("s").startswith(v.NS)).select(F.substring_index("s", "#", -1).alias("name")).distinct()
+    return extraction.relevant_names(names, gq._texts(spark, d).withColumnRenamed("query_id", "text_id"))
+
+
 def cache_hit_rate(spark, d):
     """The texts of chunks against a cache that holds those of the first chunk of each file."""
     c = table(spark, d, "chunks").filter("text IS NOT NULL")
@@ -343,7 +356,7 @@ QUERIES = {
     for f in (
         doc_clean_article, doc_clean_wiki, doc_extraction_text, doc_truncate_section, doc_clean_stats, doc_dedup_titles, doc_dup_counts, doc_split_halves, doc_title_search,
         chunk_fixed256, chunk_fixed500, chunk_structure, chunk_parents, chunk_parent_child, parent_expand, vec_topk_cosine, vec_topk_l2, vec_topk_ip, vec_knn_label_accuracy,
-        vec_cosine_label_centers, vec_rerank_domain, rank_lexical, rank_stem_lexical, rank_two_stage_protected, rank_context_budget, rank_topup, rank_fallback, cache_hit_rate,
+        vec_cosine_label_centers, vec_rerank_domain, rank_lexical, rank_stem_lexical, rank_two_stage_protected, rank_context_budget, rank_topup, rank_fallback, filter_selection, relevant_names, cache_hit_rate,
         answers_join, url_remap, homoglyph_fix, testset_build, testset_merge, text_normalise_key, overlap_semi, overlap_anti, sample_stratified, batch_slice, resume_pending,
         merge_runs, mcq_prompt, mcq_letter, grounded_prompts, extract_year, classify_domain, classify_bucket, eval_accuracy, eval_slices, eval_run_metrics, eval_console_metrics,
         eval_hybrid, eval_recall_proxy, eval_coverage, eval_survival,
@@ -496,6 +509,8 @@ SELECT query_id, cand_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
     "rank_context_budget": f"WITH {_HITS}, one AS (SELECT query_id, text, min(rank) AS rank FROM hits GROUP BY 1, 2) SELECT query_id, rank, words_so_far FROM (SELECT query_id, rank, CAST(sum(len({_words('text')})) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS words_so_far FROM one) WHERE words_so_far <= 300",
     "rank_topup": f"WITH {_HITS}, k AS (SELECT query_id, rank, contains(text, 'язовир') AS kept FROM hits), n AS (SELECT *, count(*) FILTER (kept) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY kept DESC, rank) AS place FROM k) SELECT query_id, rank, kept FROM n WHERE n > 0 AND place <= greatest(3, n)",
     "rank_fallback": f"WITH {_HITS} SELECT query_id, CAST(CASE WHEN k > 0 THEN k ELSE least(2, n) END AS INTEGER) AS n, k = 0 AS fallback FROM (SELECT query_id, count(*) AS n, count(*) FILTER (contains(text, 'язовир')) AS k FROM hits GROUP BY 1)",
+    "filter_selection": f"WITH {_HITS} SELECT DISTINCT query_id, md5(text) AS text_md5, true AS used FROM hits h WHERE EXISTS (SELECT 1 FROM hits z WHERE z.query_id = h.query_id AND z.text = h.text AND z.rank <= 2)",
+    "relevant_names": f"WITH {gq._TEXTS}, names AS (SELECT DISTINCT split_part(s, '#', -1) AS name FROM triples WHERE starts_with(s, '{v.NS}')), parts AS (SELECT DISTINCT name, lower(part) AS part FROM (SELECT name, unnest(regexp_extract_all(name, '[А-ЯA-Z][а-яa-z]*')) AS part FROM names) WHERE length(part) >= 4) SELECT DISTINCT query_id AS text_id, name FROM texts JOIN parts ON contains(lower(text), part) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY name) <= 300",
     "cache_hit_rate": f"SELECT texts, hits, {_pct('hits', 'texts')} AS rate FROM (SELECT count(*) AS texts, count(*) FILTER (text IN (SELECT text FROM chunks WHERE chunk_index = 0 AND text IS NOT NULL)) AS hits FROM (SELECT DISTINCT text FROM chunks WHERE text IS NOT NULL))",
     "answers_join": f"WITH {_MAPPED} SELECT DISTINCT id, qid, url, correct FROM mapped",
     "url_remap": f"WITH {_MAPPED} SELECT url, count(*) AS n FROM mapped GROUP BY 1",
