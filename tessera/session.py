@@ -11,6 +11,7 @@ from .functions import vocabulary as v
 from .operators import chunking, curation, evaluation, graph, linking, ranking, vectors
 from .plans import rag
 from .sources import rdf
+from .sources.tables import shipped
 
 
 @dataclass
@@ -25,6 +26,9 @@ class Engine:
     triples: DataFrame | None = None
     _status: dict = field(default_factory=dict)
 
+    def __post_init__(self):
+        shipped(self.spark)
+
     def health(self) -> dict[str, bool]:
         return {"spark": not self.spark.sparkContext._jsc.sc().isStopped(), "graph": self.triples is not None, **self._status}
 

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sees to it that workers can import this package: where it isn't on PYTHONPATH, which they are given,
+    it is sent to them once for each context."""
+    package = Path(__file__).resolve().parents[1]
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if package.parent in known or getattr(context, "_has_" + package.name, False):
+        return
+    folder = tempfile.mkdtemp(prefix=package.name)
+    shutil.copytree(package, f"{folder}/src/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/src"))
+    setattr(context, "_has_" + package.name, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of ``folder`` (one Parquet file or a folder of them)."""
+    shipped(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -37,6 +55,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage and
     keeps what several later stages read from being computed again."""
     spark = df.sparkSession
+    shipped(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
