@@ -11,11 +11,12 @@ runs that stand in pages of different titles, as a suffix array would: suffixes
 an equal start of ``RUN`` words lie side by side in it, so what is looked for are the
 groups of suffixes by host and first ``RUN`` words that hold several titles. The array
 is never built in one place, as a host may hold any share of the pages: the suffixes
-are grouped by hash, partial groups are combined before the shuffle, and only the
-suffixes that are the smallest hash of some ``RUN`` consecutive ones take part. Two
-equal runs choose the same ones, so any run of ``2 * RUN - 1`` words or more that
-repeats is found and its words are covered but for up to ``RUN`` - 1 at either end,
-which stay. Covered words are removed (not in headings or code), what is unique stays.
+are grouped by hash, and partial groups are combined before the shuffle. So that not
+all of them need be shuffled, each has a seed, the smallest hash of ``SEED`` words in
+its first ``RUN``: equal starts have equal seeds, and neighbours mostly share theirs.
+Only suffixes whose seed stands in pages of several titles are grouped by their whole
+start. Every repeated run of ``RUN`` words and more is found and covered to both its
+ends. Covered words are removed (not in headings or code), what is unique stays.
 Copies of a page have its title and so don't make its text boilerplate.
 
 Defined results: null content stays null with no kinds, blank content becomes empty;
@@ -37,10 +38,12 @@ from pyspark.sql import functions as F
 from ..functions.arrow import pieces, record
 from ..sources.tables import settled
 
-#: Words of a suffix's start, and suffixes of which one is taken.
-RUN = 16
+#: Words of a suffix's start, and of the seeds in it.
+RUN, SEED = 16, 8
 #: Parts in which the places of a repeated run are joined.
 SALTS = 8
+#: Bits of the set of affected pages that is broadcast, by which other pages are kept out of shuffles.
+BITS = 1 << 22
 
 #: Element names of HTML. Fixed values.
 _ELEMENTS = "a abbr address article aside audio b bdi bdo big blockquote body br button caption center cite code col colgroup dd del details div dl dt em fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta nav noscript ol option p param picture pre q s samp script section select small source span strike strong style sub summary sup table tbody td template textarea tfoot th thead time title tr tt u ul var video wbr"
@@ -218,6 +221,7 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "title", "source_file", "content").filter("page_id IS NOT NULL").select("page_id", "title", "source_file", "content").mapInArrow(run, CLEAN)
 
 
+_SEEDS = pa.schema([("start", pa.int64()), ("title", pa.int64()), ("page_id", pa.int64())])
 _STARTS = pa.schema([("start", pa.int64()), ("title", pa.int64()), ("page_id", pa.int64()), ("place", pa.int32())])
 
 
@@ -231,50 +235,77 @@ class _Hashes(dict):
         return found
 
 
-def starts(texts: list[list[str]], hosts: list[int], hashes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the first RUN words with the host, number of the text, position) of the suffixes
-    of texts (as words) that take part."""
+def suffixes(texts: list[list[str]], hosts: list[int], hashes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, hash of the first RUN words with the host, number of the text, position) of all
+    suffixes of RUN words and more of texts (as words)."""
     lengths = np.array([len(t) for t in texts], np.int64)
     total = int(lengths.sum())
     n = total - RUN + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 4
     one = np.fromiter((hashes[w] for t in texts for w in t), np.uint64, total)
     owner = np.repeat(np.arange(len(texts)), lengths)
     place = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    h = np.array([x & (1 << 64) - 1 for x in hosts], np.uint64)[owner[:n]]
+    h = np.array([x & (1 << 64) - 1 for x in hosts], np.uint64)[owner[: total - SEED + 1]]
+    low = h
     for k in range(RUN):
-        h = (h ^ one[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        if k == SEED:
+            low, h = h, h[:n].copy()
+        h = (h ^ one[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    inside = place[:n] + RUN <= lengths[owner[:n]]
-    # suffixes shorter than RUN take no part; those of the neighbouring text never displace a text's own
-    h[~inside] = np.uint64((1 << 64) - 1)
-    padded = np.concatenate((np.full(RUN - 1, (1 << 64) - 1, np.uint64), h, np.full(RUN - 1, (1 << 64) - 1, np.uint64)))
-    low = padded
-    for step in (1, 2, 4, 8):  # minimum of RUN = 16 consecutive ones
+    wide, whole = 1, RUN - SEED + 1
+    while wide < whole:  # minimum of the RUN - SEED + 1 hashes of SEED words
+        step = min(wide, whole - wide)
         low = np.minimum(low[:-step], low[step:])
-    # a suffix takes part if it is the smallest of some RUN consecutive ones that hold it
-    best = low
-    for step in (1, 2, 4, 8):
-        best = np.maximum(best[:-step], best[step:])
-    at = np.flatnonzero((best == h) & inside)
-    return h[at].view(np.int64), owner[at], place[at]
+        wide += step
+    at = np.flatnonzero(place[:n] + RUN <= lengths[owner[:n]])
+    return low[at].view(np.int64), h[at].view(np.int64), owner[at], place[at]
+
+
+def _words(texts: list) -> list[list[str]]:
+    return [(t or "").casefold().split() for t in texts]
+
+
+def _in_several(found: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose ``start`` stands in pages of several titles, without the titles."""
+    several = found.groupBy("start").agg(F.min("title").alias("a"), F.max("title").alias("b")).filter("a <> b").select("start", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("part"))
+    placed = found.drop("title").withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    return placed.join(several, ["start", "part"], "left_semi").drop("part")
+
+
+def _parted(clean: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``clean`` in two: pages that may be among ``pages``, and pages that aren't. What is broadcast are at most BITS / 64 rows."""
+    bit = F.pmod(F.xxhash64("page_id"), F.lit(BITS))
+    bits = pages.select((bit / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(page_id), {BITS}) % 64 AS int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    marked = clean.withColumn("at", (bit / 64).cast("int")).join(F.broadcast(bits), "at", "left").withColumn("hit", F.expr(f"coalesce(shiftright(bits, cast(pmod(xxhash64(page_id), {BITS}) % 64 AS int)) & 1L, 0L) = 1L"))
+    return marked.filter("hit").drop("at", "bits", "hit"), marked.filter("NOT hit").drop("at", "bits", "hit")
 
 
 def repeated(clean: DataFrame) -> DataFrame:
     """(page_id, places): word positions of the pages at which a run begins that stands in pages of several titles."""
 
-    def run(batches):
+    def seeds(batches):
         hashes = _Hashes()
         for b in pieces(batches, rows=500, size=2 << 20):
             ids, hosts, titles, texts = (c.to_pylist() for c in b.columns)
-            h, k, at = starts([(t or "").casefold().split() for t in texts], hosts, hashes)
-            yield record(_STARTS, pa.array(h), pa.array(np.array(titles, np.int64)[k]), pa.array(np.array(ids, np.int64)[k]), pa.array(at.astype(np.int32)))
+            low, _, k, _ = suffixes(_words(texts), hosts, hashes)
+            first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (k[1:] != k[:-1])))[: len(low)])  # neighbours share theirs
+            yield record(_SEEDS, pa.array(low[first]), pa.array(np.array(titles, np.int64)[k[first]]), pa.array(np.array(ids, np.int64)[k[first]]))
 
-    found = clean.select("page_id", "host", "title", "text").mapInArrow(run, "start bigint, title bigint, page_id bigint, place int")
-    several = found.groupBy("start").agg(F.min("title").alias("a"), F.max("title").alias("b")).filter("a <> b").select("start", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("part"))
-    placed = found.select("start", "page_id", "place", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("part"))
-    return placed.join(several, ["start", "part"], "left_semi").groupBy("page_id").agg(F.collect_set("place").alias("places"))
+    def starts(batches):
+        hashes = _Hashes()
+        for b in pieces(batches, rows=500, size=2 << 20):
+            ids, hosts, titles, texts, own = (c.to_pylist() for c in b.columns)
+            low, h, k, at = suffixes(_words(texts), hosts, hashes)
+            edge = np.searchsorted(k, np.arange(len(ids) + 1))
+            taken = np.concatenate([np.empty(0, np.int64)] + [x + np.flatnonzero(np.isin(low[x:y], np.array(own[i], np.int64))) for i, (x, y) in enumerate(zip(edge[:-1], edge[1:]))])
+            yield record(_STARTS, pa.array(h[taken]), pa.array(np.array(titles, np.int64)[k[taken]]), pa.array(np.array(ids, np.int64)[k[taken]]), pa.array(at[taken].astype(np.int32)))
+
+    pages = clean.select("page_id", "host", "title", "text")
+    seeded = settled(_in_several(pages.mapInArrow(seeds, "start bigint, title bigint, page_id bigint")).groupBy("page_id").agg(F.collect_set("start").alias("seeds")), "run-seeds")
+    near = _parted(pages, seeded)[0].join(seeded, "page_id").select("page_id", "host", "title", "text", "seeds")
+    found = settled(near.mapInArrow(starts, "start bigint, title bigint, page_id bigint, place int"), "run-starts")
+    return _in_several(found).groupBy("page_id").agg(F.collect_set("place").alias("places"))
 
 
 def without_runs(text: str, places: list[int]) -> tuple[str, int]:
@@ -316,5 +347,8 @@ def unmarked(pages: DataFrame) -> DataFrame:
             done = [(t, 0) if not p or not t else without_runs(t, p) for t, p in zip(texts, places)]
             yield record(_DONE, ids, own, [t for t, _ in done], [n for _, n in done])
 
-    joined = clean.select("page_id", "kinds", "text").join(repeated(clean), "page_id", "left")
-    return joined.select("page_id", "kinds", "text", "places").mapInArrow(run, "page_id bigint, kinds array<string>, text string, boilerplate_words int")
+    places = settled(repeated(clean), "run-places")
+    near, rest = _parted(clean.select("page_id", "kinds", "text"), places)
+    joined = near.join(places, "page_id", "left").select("page_id", "kinds", "text", "places")
+    done = "page_id bigint, kinds array<string>, text string, boilerplate_words int"
+    return joined.mapInArrow(run, done).unionByName(rest.select("page_id", "kinds", "text", F.lit(0).alias("boilerplate_words")))

@@ -47,6 +47,31 @@ def test_repeated_runs(spark, rnd):
     assert M.unmarked(df.limit(0)).count() == 0
 
 
+def test_runs_are_covered_to_both_ends(spark, rnd):
+    vocabulary = pseudo_words(rnd, 300)
+    shared = [[rnd.choice(vocabulary) for _ in range(n)] for n in (15, 16, 17, 20, 30, 31, 45)]
+    rows = []
+    for i in range(60):
+        words = []
+        for run in rnd.sample(shared, 3):
+            words += pseudo_words(rnd, rnd.randint(5, 25)) + run
+        rows.append((i, f"t{i % 50}", f"h{i % 7}", " ".join(words)))
+    at = {}
+    for i, t, h, text in rows:
+        words = text.split()
+        for k in range(len(words) - M.RUN + 1):
+            at.setdefault((h, *words[k : k + M.RUN]), []).append((i, t, k))
+    covered = {i: set() for i, *_ in rows}
+    for places in at.values():
+        if len({t for _, t, _ in places}) > 1:
+            for i, _, k in places:
+                covered[i].update(range(k, k + M.RUN))
+    got = {r.page_id: r for r in M.unmarked(spark.createDataFrame(rows, PAGE).repartition(4)).collect()}
+    assert len(got) == len(rows) and sum(map(len, covered.values())) > 1000
+    for i, _, _, text in rows:
+        assert got[i].text.split() == [w for k, w in enumerate(text.split()) if k not in covered[i]] and got[i].boilerplate_words == len(covered[i])
+
+
 def test_long_page(spark):
     page = "<p>" + "дума " * 200_000 + "'''край'''"
     r = M.unmarked(spark.createDataFrame([(1, "a", "h", page), (1, "a", "h", page)], PAGE).distinct()).collect()
