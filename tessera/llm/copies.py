@@ -8,7 +8,9 @@ hash and the key's length as a collision check.
 Defined results: a null title, or a content without letter or digit, is never a
 copy; a title without letters that isn't null equals another such title. Rows
 repeated with one id count once. Records that aren't one JSON object, or whose
-fields aren't strings, count as without title and content. Other columns, also
+fields aren't strings, count as without title and content. ``counted`` also gives
+the pages that are never copies, with one copy each; of the records, those that are
+one JSON object are pages. Other columns, also
 ones named like the fields, are left alone. An empty table gives no rows.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +54,18 @@ def folded(text: str) -> bytes:
     return codes[_letters()[codes]].tobytes()
 
 
-def _emit(rows):
+def _emit(rows, lone=False):
     ids, hashes, guards, lengths = [], [], [], []
     for page, title, content in rows:
-        if page is None or not isinstance(title, str) or not isinstance(content, str):
+        if page is None:
             continue
-        body = folded(content)
+        body = folded(content) if isinstance(title, str) and isinstance(content, str) else b""
         if not body:
+            if lone:  # a key of its own; those of other pages have a length
+                ids.append(page)
+                hashes.append(page.to_bytes(8, "little", signed=True))
+                guards.append(0)
+                lengths.append(0)
             continue
         head = folded(title)
         key = len(head).to_bytes(8, "little") + head + body
@@ -68,29 +76,32 @@ def _emit(rows):
     return record(_KEYS, ids, hashes, guards, lengths)
 
 
-def _of_pages(batches):
+def _of_pages(batches, lone=False):
     for b in pieces(batches):
-        yield _emit(zip(*(b.column(i).to_pylist() for i in range(3))))
+        yield _emit(zip(*(b.column(i).to_pylist() for i in range(3))), lone)
 
 
 def _opened(text):
+    """Whether ``text`` is one JSON object, its title and its content."""
     try:
         found = json.loads(text)
     except (ValueError, TypeError, RecursionError):
-        return None, None
-    return (found.get("title"), found.get("content")) if isinstance(found, dict) else (None, None)
+        return False, None, None
+    return (True, found.get("title"), found.get("content")) if isinstance(found, dict) else (False, None, None)
 
 
-def _of_records(batches):
+def _of_records(batches, lone=False):
     for b in pieces(batches):
-        yield _emit((i, *_opened(r)) for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        opened = ((i, *_opened(r)) for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        yield _emit(((i, t, c) for i, valid, t, c in opened if valid), lone)
 
 
-def page_keys(pages: DataFrame, records: DataFrame | None = None) -> DataFrame:
-    """(page_id, hash, guard, length) of each page, and of each record that is valid JSON."""
-    keys = pages.select("page_id", "title", "content").mapInArrow(_of_pages, KEYS)
+def page_keys(pages: DataFrame, records: DataFrame | None = None, lone: bool = False) -> DataFrame:
+    """(page_id, hash, guard, length) of each page, and of each record that is valid JSON.
+    lone: also of those that are never copies, each with a key of its own (of length 0)."""
+    keys = pages.select("page_id", "title", "content").mapInArrow(partial(_of_pages, lone=lone), KEYS)
     if records is not None:
-        keys = keys.unionByName(records.select("page_id", "record").mapInArrow(_of_records, KEYS))
+        keys = keys.unionByName(records.select("page_id", "record").mapInArrow(partial(_of_records, lone=lone), KEYS))
     return keys
 
 
@@ -130,3 +141,8 @@ def copies(keys: DataFrame) -> DataFrame:
 def collapsed(pages: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """One record for each set of copies, (page_id, copies), with pages that have none."""
     return copy_sets(page_keys(pages, records)).select(F.col("first_id").alias("page_id"), "copies")
+
+
+def counted(keys: DataFrame) -> DataFrame:
+    """(page_id, copies): one record for each page, from ``page_keys`` with ``lone``."""
+    return copy_sets(keys).select(F.col("first_id").alias("page_id"), F.when(F.col("length") == 0, F.lit(1).cast("bigint")).otherwise(F.col("copies")).alias("copies"))

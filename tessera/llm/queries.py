@@ -9,8 +9,8 @@ from ..sources.tables import settled, spread, table
 from . import copies, encoding, languages, leaks, lookalikes, markup, splitting
 
 
-def _keys(spark: SparkSession, d: str) -> DataFrame:
-    return settled(copies.page_keys(spread(table(spark, d, "wiki_pages").select("page_id", "title", "content")), spread(table(spark, d, "raw_pages").select("page_id", "record"))), "page-keys")
+def _keys(spark: SparkSession, d: str, lone: bool = False) -> DataFrame:
+    return settled(copies.page_keys(spread(table(spark, d, "wiki_pages").select("page_id", "title", "content")), spread(table(spark, d, "raw_pages").select("page_id", "record")), lone), "page-keys")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,10 +18,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    """One record for each page with its number of copies."""
+    """One record for each page that may have copies, with their number, as its SQL has it; p1_pages has all pages."""
     return copies.copy_sets(_keys(spark, d)).select(F.col("first_id").alias("page_id"), "copies")
 
 
+def p1_pages(spark: SparkSession, d: str) -> DataFrame:
+    """One record for each page with its number of copies, also for those that are never copies."""
+    return copies.counted(_keys(spark, d, lone=True))
+
+
 def p1_collisions(spark: SparkSession, d: str) -> DataFrame:
     return copies.collisions(_keys(spark, d))
 
@@ -90,7 +95,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.found(_documents(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p1_collisions, p2_found, p2_pieces, p3_found, p3_questions, p5_found, p5_clean, p6_ids, p7_found, p7_leaks, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p1_pages, p1_collisions, p2_found, p2_pieces, p3_found, p3_questions, p5_found, p5_clean, p6_ids, p7_found, p7_leaks, p8_found, p8_languages)}
 
 #: What stays of a text without white space, punctuation and other signs, in lower case.
 _FOLD = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"

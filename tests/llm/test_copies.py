@@ -39,6 +39,23 @@ def test_guard_keeps_colliding_hashes_apart(spark):
     assert {tuple(r) for r in C.copies(keys).collect()} == {(1, 3)} and C.collisions(keys).first()["keys"] == 2
 
 
+def test_pages_without_copies_are_counted(spark):
+    pages = spark.createDataFrame([(1, "Рила", "пет"), (2, "РИЛА", "Пет."), (3, None, "пет"), (4, None, "пет"), (5, "x", None), (6, "x", " … "), (6, "x", " … "), (-7, None, None), (None, "Рила", "пет")], PAGE)
+    records = spark.createDataFrame([(20, json.dumps({"title": "рила", "content": "пет"})), (21, json.dumps({"title": "рила", "content": "  \n"})), (22, json.dumps({"content": "пет"})), (23, "{"), (24, None), (25, "[]")], RECORD)
+    keys = C.page_keys(clashing(pages), clashing(records), lone=True)
+    assert sorted(map(tuple, C.counted(keys).collect())) == [(-7, 1), (1, 3), (3, 1), (4, 1), (5, 1), (6, 1), (21, 1), (22, 1)]
+    assert C.counted(C.page_keys(pages.limit(0), records.limit(0), lone=True)).count() == 0
+
+
+def test_all_pages_are_in_the_query(spark, data):
+    from tessera.llm.queries import QUERIES
+
+    ids = {r.page_id for r in QUERIES["p1_pages"](spark, data).collect()}
+    copies = {r.copy_id for r in QUERIES["p1_found"](spark, data).collect()}
+    pages = {r.page_id for r in spark.read.parquet(f"{data}/wiki_pages.parquet").select("page_id").collect()}
+    assert pages <= ids | copies and not ids & copies
+
+
 def test_query(spark, data, same_as_sql):
     from tessera.llm.queries import ORACLE, QUERIES
 
