@@ -8,6 +8,9 @@ same words, it is an exact seed, and exact runs of a document and an item are
 chained over the differences between them; where slots differ, but every slot value
 of the item stands for one value in the document, the stretch is a re-parameterised
 copy (kind ``template``; at least 12 words and four windows with literal words).
+Every longest stretch of equal templates on a diagonal is tried, and every longest
+part of it without contradiction. As names may be of several words, templates are
+also compared with each run of names as one placeholder.
 
 Completeness: a stretch of at least 12 words with at most one word in eight changed
 holds a run of five unchanged words (k changes leave n - k words in at most k + 1
@@ -71,6 +74,11 @@ class Items:
     sieve: np.ndarray
     flat: np.ndarray  # the words of all items
     base: np.ndarray  # by item its first in flat
+    merged: list  # by item, positions of its words without those that go on with a run of names
+    merged_keys: np.ndarray  # as keys, owner and place, of the words at these positions
+    merged_owner: np.ndarray
+    merged_place: np.ndarray
+    merged_sieve: np.ndarray
 
 
 _SIEVE_BITS = 20
@@ -129,21 +137,31 @@ def prepared(rows: list[tuple[str, str]]) -> Items:
         tokens.append(np.array(own, np.int64))
         weights.append(np.array(first, np.int64))
     template_of = np.array(template, np.int64)
-    keys, owner, place = [], [], []
-    for i, own in enumerate(tokens):
-        if weights[i].sum() < LEAST:
-            continue
-        h = window_hashes(own, template_of[own])
+    merged = [_merged(template_of[own]) for own in tokens]
+    asked = [i for i in range(len(tokens)) if weights[i].sum() >= LEAST]
+    index = _indexed([(i, tokens[i]) for i in asked], template_of)
+    return Items([i for i, _ in split], words, template_of, tokens, weights, *index, np.concatenate([*tokens, np.empty(0, np.int64)]), np.cumsum([0, *map(len, tokens)]), merged, *_indexed([(i, tokens[i][merged[i]]) for i in asked], template_of))
+
+
+def _merged(template: np.ndarray) -> np.ndarray:
+    """The positions of template words without those that go on with a run of names."""
+    name = template == NAME
+    return np.flatnonzero(~(name & np.concatenate(([False], name[:-1])))) if len(name) else np.empty(0, np.int64)
+
+
+def _indexed(rows: list[tuple[int, np.ndarray]], template: np.ndarray):
+    """Sorted hashes of the windows of items (number, words), their items and places, and the sieve."""
+    keys, owner, place = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    for i, own in rows:
+        h = window_hashes(own, template[own])
         keys.append(h)
         owner.append(np.full(len(h), i, np.int32))
         place.append(np.arange(len(h), dtype=np.int32))
-    keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-    owner = np.concatenate(owner) if owner else np.empty(0, np.int32)
-    place = np.concatenate(place) if place else np.empty(0, np.int32)
+    keys, owner, place = map(np.concatenate, (keys, owner, place))
     order = np.argsort(keys, kind="stable")
     sieve = np.zeros(1 << _SIEVE_BITS, bool)
     sieve[keys & np.uint64((1 << _SIEVE_BITS) - 1)] = True
-    return Items([i for i, _ in split], words, template_of, tokens, weights, keys[order], owner[order], place[order], sieve, np.concatenate([*tokens, np.empty(0, np.int64)]), np.cumsum([0, *map(len, tokens)]))
+    return keys[order], owner[order], place[order], sieve
 
 
 class _Vocabulary(dict):
@@ -247,25 +265,49 @@ def best_stretch(doc, item, weights, pairs):
     return best
 
 
-def _consistent(doc, item, template, d, i):
-    """The words of the template stretch through (d, i) whose slots are consistent, and its changed slots."""
-    td, ti = template[doc], template[item]
-    a, b = d, i
-    while a and b and td[a - 1] == ti[b - 1]:
-        a, b = a - 1, b - 1
-    n = 0
-    while a + n < len(doc) and b + n < len(item) and td[a + n] == ti[b + n]:
-        n += 1
-    slots: dict = {}
-    changed = 0
-    for k in range(n):
-        x, y = int(item[b + k]), int(doc[a + k])
-        if ti[b + k] < _FIRST:
-            # words that no item has are all one number here and can't contradict each other
-            if y >= _FIRST and slots.setdefault(x, y) != y:
-                return 0, 0
-            changed += x != y
-    return n, changed
+def _slot(words: list[int]):
+    """What stands in a slot, or None for words that no item has: these are all one number and can't contradict each other."""
+    return None if min(words) < _FIRST else tuple(words)
+
+
+def _template(doc, item, template, meetings, at_doc=None, at_item=None):
+    """(words, changed slots) of the longest consistent part of the template stretches through ``meetings``,
+    (document, item) positions in order, all of one diagonal. at_doc, at_item: positions of the words that the
+    meetings count, where runs of names are one."""
+    at_doc = np.arange(len(doc)) if at_doc is None else at_doc
+    at_item = np.arange(len(item)) if at_item is None else at_item
+    td, ti = template[doc[at_doc]], template[item[at_item]]
+    d, i = meetings[0]
+    back = min(d, i)
+    lo_d, lo_i = d - back, i - back
+    n = min(len(td) - lo_d, len(ti) - lo_i)
+    same = td[lo_d : lo_d + n] == ti[lo_i : lo_i + n]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8))).tolist()
+    hit = np.array([x - lo_d for x, _ in meetings])
+    ends_d, ends_i = np.append(at_doc, len(doc)).tolist(), np.append(at_item, len(item)).tolist()
+    doc, item = doc.tolist(), item.tolist()
+    best = (0, 0)
+    for x, y in zip(edge[::2], edge[1::2]):
+        # the part from start to k holds no contradiction; words are those of the item
+        if ends_i[lo_i + y] - ends_i[lo_i + x] < LEAST or not ((hit >= x) & (hit < y)).any():
+            continue
+        start, seen, changed = x, {}, [0]
+        for k in range(x, y):
+            a, b = lo_d + k, lo_i + k
+            if ti[b] < _FIRST:
+                own, there = tuple(item[ends_i[b] : ends_i[b + 1]]), doc[ends_d[a] : ends_d[a + 1]]
+                value = _slot(there)
+                if value is not None:
+                    was = seen.get(own)
+                    if was and was[0] != value and was[1] >= start:
+                        best = max(best, (ends_i[b] - ends_i[lo_i + start], changed[k - x] - changed[start - x]))
+                        start = was[1] + 1
+                    seen[own] = (value, k)
+                changed.append(changed[-1] + (own != tuple(there)))
+            else:
+                changed.append(changed[-1])
+        best = max(best, (ends_i[lo_i + y] - ends_i[lo_i + start], changed[-1] - changed[start - x]))
+    return best
 
 
 def _may_hold(doc, item, shift):
@@ -290,6 +332,31 @@ def _verbatim(doc, item, weights, pairs):
     return best_stretch(doc, item, weights, set(pairs))
 
 
+def _meetings(raw, template, starts, keys, owner, place, sieve, n):
+    """Every meeting of a document's window with an item's, by document, item and diagonal: position,
+    document, item, place in it, number of the pair."""
+    h = window_hashes(raw, template[raw])
+    hit = np.flatnonzero(sieve[h & np.uint64((1 << _SIEVE_BITS) - 1)])
+    lo, hi = np.searchsorted(keys, h[hit]), np.searchsorted(keys, h[hit], "right")
+    hit, lo, hi = hit[hi > lo], lo[hi > lo], hi[hi > lo]
+    doc_of = np.searchsorted(starts, hit, "right") - 1
+    count = hi - lo
+    met = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    p, k, i, j = np.repeat(hit, count), np.repeat(doc_of, count), owner[met].astype(np.int64), place[met].astype(np.int64)
+    pair = k * n + i
+    order = np.lexsort((p, p - j, pair))
+    return tuple(x[order] for x in (p, k, i, j, pair))
+
+
+def _lines(p, j, pair):
+    """(first, end) of the meetings of each diagonal that holds enough of them to be tried."""
+    if not len(p):
+        return np.empty((0, 2), np.int64)
+    line = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | ((p - j)[1:] != (p - j)[:-1]))))
+    ends = np.append(line[1:], len(p))
+    return np.stack((line, ends), 1)[ends - line >= TEMPLATE_HITS]
+
+
 def find(ids, texts, items: Items, vocabulary: _Vocabulary):
     """Rows (doc_id, item_id, kind, words, changed) of a slice of documents."""
     gap = np.full(WINDOW, GAP, np.int64)
@@ -306,42 +373,39 @@ def find(ids, texts, items: Items, vocabulary: _Vocabulary):
         at += len(numbers) + WINDOW
     if not parts or not len(items.keys):
         return
-    raw = np.concatenate(parts)
-    h = window_hashes(raw, items.template[raw])
-    hit = np.flatnonzero(items.sieve[h & np.uint64((1 << _SIEVE_BITS) - 1)])
-    lo, hi = np.searchsorted(items.keys, h[hit]), np.searchsorted(items.keys, h[hit], "right")
-    hit, lo, hi = hit[hi > lo], lo[hi > lo], hi[hi > lo]
-    doc_of = np.searchsorted(starts, hit, "right") - 1
-    if not len(hit):
-        return
-    # every meeting of a document's window with an item's: position, document, item, place in it
-    count = hi - lo
-    met = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    p, k, i, j = np.repeat(hit, count), np.repeat(doc_of, count), items.owner[met].astype(np.int64), items.place[met].astype(np.int64)
+    raw, n = np.concatenate(parts), len(items.ids)
+    starts.append(len(raw))
+    words = lambda k: raw[starts[k] : starts[k + 1] - WINDOW]
+    p, k, i, j, pair = _meetings(raw, items.template, starts[:-1], items.keys, items.owner, items.place, items.sieve, n)
     exact = np.ones(len(p), bool)
     for x in range(WINDOW):
         exact &= raw[p + x] == items.flat[items.base[i] + j + x]
-    pair = k * len(items.ids) + i
-    order = np.lexsort((p - j, pair))
-    p, k, i, j, exact, pair = (x[order] for x in (p, k, i, j, exact, pair))
-    edge = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-    first = np.append(edge, len(pair))
-    line = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | ((p - j)[1:] != (p - j)[:-1]))))
-    tried = np.zeros(len(pair), bool)  # the first meeting of diagonals with enough of them
-    tried[line[np.diff(np.append(line, len(pair))) >= TEMPLATE_HITS]] = True
-    worth = np.add.reduceat((exact | tried).astype(np.int64), edge) > 0
-    for a, b in zip(first[:-1][worth].tolist(), first[1:][worth].tolist()):
-        s, doc_at = starts[k[a]], int(k[a])
-        doc = raw[s : (starts[doc_at + 1] if doc_at + 1 < len(starts) else len(raw)) - WINDOW]
-        item = items.tokens[i[a]]
-        seeds = np.flatnonzero(exact[a:b]) + a
-        best = _verbatim(doc, item, items.weights[i[a]], [(int(p[x]) - s, int(j[x])) for x in seeds]) if len(seeds) else None
+    done = set()
+    seeds = np.flatnonzero(exact)
+    first = np.flatnonzero(np.concatenate(([True], pair[seeds][1:] != pair[seeds][:-1]))) if len(seeds) else []
+    for own in np.split(seeds, first[1:]) if len(seeds) else []:
+        a, s = own[0], starts[k[own[0]]]
+        best = _verbatim(words(k[a]), items.tokens[i[a]], items.weights[i[a]], [(int(p[x]) - s, int(j[x])) for x in own])
         if best:
-            yield owner[doc_at], items.ids[i[a]], "verbatim", *best
-            continue
-        best = max((_consistent(doc, item, items.template, int(p[x]) - s, int(j[x])) for x in np.flatnonzero(tried[a:b]) + a), default=(0, 0))
+            done.add(int(pair[a]))
+            yield owner[k[a]], items.ids[i[a]], "verbatim", *best
+    found: dict[int, tuple[int, int]] = {}
+    for a, b in _lines(p, j, pair).tolist():
+        if (one := int(pair[a])) not in done:
+            s = starts[k[a]]
+            best = _template(words(k[a]), items.tokens[i[a]], items.template, [(int(p[x]) - s, int(j[x])) for x in range(a, b)])
+            found[one] = max(found.get(one, (0, 0)), best)
+    kept = _merged(items.template[raw])
+    edges = np.searchsorted(kept, starts)
+    p, k, i, j, pair = _meetings(raw[kept], items.template, edges[:-1], items.merged_keys, items.merged_owner, items.merged_place, items.merged_sieve, n)
+    for a, b in _lines(p, j, pair).tolist():
+        if (one := int(pair[a])) not in done:
+            x, y = int(edges[k[a]]), int(edges[k[a] + 1]) - WINDOW
+            best = _template(words(k[a]), items.tokens[i[a]], items.template, [(int(p[m]) - x, int(j[m])) for m in range(a, b)], kept[x:y] - starts[k[a]], items.merged[i[a]])
+            found[one] = max(found.get(one, (0, 0)), best)
+    for one, best in found.items():
         if best[0] >= LEAST:
-            yield owner[doc_at], items.ids[i[a]], "template", *best
+            yield owner[one // n], items.ids[one % n], "template", *best
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -48,3 +48,26 @@ def test_templates_and_blocks(spark, rnd, monkeypatch):
     assert (1, "x", "template") in got and (2, "x", "verbatim") in got
     monkeypatch.setattr(L, "BLOCK", 1)
     assert {(r.doc_id, r.item_id) for r in L.leaked(docs, q).collect() if r.kind == "verbatim"} >= {(2, "x")}
+
+
+def test_later_stretches_and_longer_names_are_templates(spark):
+    head, tail = "който е първи в реда", "пътеводител {a} твърди островни {b} траят точно {n} ридове мостови {c} дават {m} единици слънчеви {d} накрая бентове {e} край"
+    own, other = dict(a="Литисе", b="Зира", n=73, c="Зесиси", m=64, d="Тонза", e="Мира"), dict(a="Мехист", b="Дани", n=12, c="Рега", m=91, d="Лодо", e="Сума")
+    items = [("x", f"{head} обикновено {tail.format(**own)}"), ("y", "остров е друго място и градини има там при седла но единици не са бентове нито ридове")]
+    docs = [
+        (1, f"{head} остров {tail.format(**other)}"),  # one ordinary word changed, then other numbers and names
+        (2, tail.format(**{**other, "b": "Дани Рано", "d": "Лодо Дола Тип"})),  # longer names
+        (3, f"{head} остров " + " ".join(tail.format(**other).split()[:11])),  # too short
+    ]
+    q = spark.createDataFrame(items, "item_id string, question string")
+    got = {tuple(r) for r in L.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), q).collect()}
+    assert got == {(d, "x", "template", len(tail.split()), 7) for d in (1, 2)}
+
+
+def test_a_contradiction_ends_a_stretch_only(spark):
+    text = "{a} има стари {a} мостове тук {b} и нови {c} кули стоят {d} високи хълма {e} две дълбоки {f} реки"
+    names = dict(b="Дани", c="Рега", d="Тонза", e="Лодо", f="Сума")
+    q = spark.createDataFrame([("x", text.format(a="Литисе", b="Зира", c="Мира", d="Вено", e="Гуса", f="Пило")), ("n", "Мехист Рано " + " ".join(names.values()))], "item_id string, question string")
+    doc = text.replace("{a}", "Мехист", 1).format(a="Рано", **names)
+    got = L.leaked(spark.createDataFrame([(1, doc)], "doc_id bigint, text string"), q).collect()
+    assert [tuple(r) for r in got] == [(1, "x", "template", len(text.split()) - 1, 6)]
