@@ -7,6 +7,8 @@ stand-ins, so that everything can be run and tested without a network.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as v
 from ..functions.arrow import pieces, record
 from ..functions.text import answer_letter, without_country
-from ..operators import chunking, dataset, evaluation, graph, linking, ranking, vectors
+from ..operators import chunking, dataset, evaluation, extraction, graph, linking, ranking, vectors
 from ..sources.tables import settled
 
 DIMENSIONS = 64
@@ -53,6 +56,17 @@ def echo_model(prompts: list[str]) -> list[str]:
     return replies
 
 
+def word_selector(prompts: list[str]) -> list[str]:
+    """A stand-in for a model that selects facts: those that share a word of four letters or more with the question."""
+    replies = []
+    for p in prompts:
+        told, _, query = p.partition("\n\nВъпрос:")
+        known = {w for w in re.findall(r"\w+", query.lower()) if len(w) > 3}
+        facts_ = [re.sub(r"^\d+\. ", "", line) for line in told.splitlines()[1:]]
+        replies.append(json.dumps([f for f in facts_ if known & set(re.findall(r"\w+", f.lower()))], ensure_ascii=False))
+    return replies
+
+
 def asked(prompts: DataFrame, model: Callable[[list[str]], list[str]], batch: int = 32) -> DataFrame:
     """(query_id, reply, error) of (query_id, prompt): the model is called for batches; a failing batch is
     tried one by one, and what fails again is noted, not raised."""
@@ -90,33 +104,55 @@ class KgOptions:
     score: Callable = ranking.stem_score
 
 
-def answer_from_graph(questions: DataFrame, triples: DataFrame, embed=hashed_vectors, model=echo_model, options: KgOptions = KgOptions()) -> DataFrame:
+def answer_from_graph(questions: DataFrame, triples: DataFrame, embed=hashed_vectors, model=echo_model, options: KgOptions = KgOptions(), selector=word_selector) -> DataFrame:
     """Run records (query_id, reply, answer, recall, ctx_n, error, used_fallback) of questions
-    (query_id, question, options, correct_answer): retrieved and linked facts, their expansion, the funnel,
-    what can be told, the prompt, the model's letter."""
+    (query_id, question, options, correct_answer): retrieved and linked facts, their expansion, that by type
+    (whose new facts are protected), what can be told, the funnel, the selector's choice topped up, the
+    prompt, the model's letter."""
     q = settled(questions.select("query_id", "question", "options", "correct_answer", F.xxhash64("query_id").alias("qn"), dataset.prompt(F.col("question"), F.col("options")).alias("query")), "questions")
-    f = settled(graph.facts(triples).select("fact_id", "text", "subject_uri", "predicate_uri", "predicate_importance", "object_uri"), "facts")
+    f = settled(graph.facts(triples).select("fact_id", "text", "subject_uri", "predicate_uri", "predicate_importance", "object_uri", F.coalesce("object_bnode_id", "object_uri", "object_value").alias("o")), "facts")
     # retrieve widely, then by the domain score
     qv = embed(q.select(without_country(F.col("query")).alias("text")).distinct()).withColumnRenamed("vector", "embedding")
     asked_for = q.select("qn", without_country(F.col("query")).alias("text")).join(qv, "text").select(F.col("qn").alias("query_id"), "embedding")
     stored = f.join(embed(f.select("text").distinct()), "text").select(F.col("fact_id").alias("vec_id"), F.col("vector").alias("embedding"))
     near = vectors.top_k(asked_for, stored, options.top_k * options.over_fetch).withColumnRenamed("query_id", "qn")
-    hits = near.join(f, F.col("vec_id") == F.col("fact_id")).join(q.select("qn", "query_id", "query"), "qn")
-    scored = hits.withColumn("cand_id", F.col("text")).withColumn("domain", vectors.domain_score(F.col("query"), F.col("distance"), F.col("predicate_uri"), F.col("object_uri"), F.col("text"), F.col("predicate_importance"), F.lit("")))
+    kinds = graph.type_names(triples, v.IGNORED_SUBJECT_TYPES).select(F.col("node").alias("subject_uri"), F.col("types").alias("subject_types"))
+    hits = near.join(f, F.col("vec_id") == F.col("fact_id")).join(q.select("qn", "query_id", "query"), "qn").join(kinds, "subject_uri", "left")
+    scored = hits.withColumn("cand_id", F.col("text")).withColumn("domain", vectors.domain_score(F.col("query"), F.col("distance"), F.col("predicate_uri"), F.col("object_uri"), F.col("text"), F.col("predicate_importance"), F.col("subject_types")))
     first = settled(ranking.ranked(scored, -F.col("domain"), options.top_k), "hits")
     # from there and from what the question names, along the graph
     links = linking.linked(q.select("query_id", F.col("question").alias("text")), linking.label_index(triples))
-    nodes = first.select("query_id", F.col("subject_uri").alias("node"), "rank").unionByName(links.select("query_id", "node", (F.col("rank") + options.top_k).alias("rank")))
+    ends = first.filter(F.col("object_uri").isNotNull() & (F.col("predicate_uri") != v.TYPE)).select("query_id", F.col("object_uri").alias("node"), "rank")
+    nodes = first.select("query_id", F.col("subject_uri").alias("node"), "rank").unionByName(ends).unionByName(links.select("query_id", "node", (F.col("rank") + options.top_k).alias("rank")))
     seeds = nodes.groupBy("query_id", "node").agg(F.min("rank").alias("rank")).join(q.select("query_id", "query"), "query_id")
     grown = graph.beam_expansion(seeds, triples, options.score)
-    found = first.select("query_id", "text", F.lit(True).alias("protected")).unionByName(grown.select("query_id", "text", F.lit(False).alias("protected")))
-    found = found.groupBy("query_id", "text").agg(F.max("protected").alias("protected")).filter(graph.tellable(F.col("text"))).join(q.select("query_id", "query"), "query_id")
+    # facts of the hits' most frequent quantity; where they are new they are protected
+    met = first.select("query_id", F.col("subject_uri").alias("s"), F.col("predicate_uri").alias("p"), "o").filter(F.col("p") != v.TYPE)
+    own = graph.types(triples).select(F.col("node").alias("s"), F.lit(v.TYPE).alias("p"), F.col("type").alias("o"))
+    typed = first.select("query_id", F.col("subject_uri").alias("s")).union(first.filter("object_uri IS NOT NULL").select("query_id", "object_uri")).join(own, "s").select("query_id", "s", "p", "o")
+    alike = graph.type_expansion(met.unionByName(typed), triples).join(f.select(F.col("subject_uri").alias("s"), F.col("predicate_uri").alias("p"), "o", "text"), ["s", "p", "o"])
+    found = first.select("query_id", "text", F.lit(False).alias("protected")).unionByName(grown.select("query_id", "text", F.lit(False).alias("protected"))).unionByName(alike.select("query_id", "text", F.lit(True).alias("protected")))
+    found = found.groupBy("query_id", "text").agg(F.min("protected").alias("protected")).filter(graph.tellable(F.col("text"))).join(q.select("query_id", "query"), "query_id")
     s = found.select("query_id", F.col("text").alias("cand_id"), "protected", ranking.lexical_score(F.col("query"), F.col("text")).alias("coarse_score"), options.score(F.col("query"), F.col("text")).alias("fine_score"))
-    kept = ranking.funnel(s, options.coarse, options.rerank).select("query_id", F.col("place").alias("rank"), F.col("cand_id").alias("text"))
-    context = ranking.context_or_fallback(kept, kept.filter(F.col("rank") <= options.rerank), options.fallback)
+    kept = settled(ranking.funnel(s, options.coarse, options.rerank).select("query_id", F.col("place").alias("rank"), F.col("cand_id").alias("text")), "reranked")
+    context = ranking.context_or_fallback(kept, _selected(q, kept, selector, options.least), options.fallback)
     return _answered(q, context, model)
 
 
+def _selected(q: DataFrame, kept: DataFrame, selector, least: int) -> DataFrame:
+    """(query_id, rank, text): what the selector chooses of the ranked facts, in its order, and where that is
+    less than ``least``, the next ones by rank."""
+    listed = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("x")).join(q.select("query_id", "query"), "query_id")
+    lines = F.array_join(F.transform("x", lambda x: F.concat_ws(". ", x["rank"].cast("string"), x["text"])), "\n")
+    prompt = F.concat(F.lit("Изберете фактите, нужни за въпроса, като списък в JSON:\n"), lines, F.lit("\n\nВъпрос: "), F.col("query"))
+    replies = asked(listed.select("query_id", prompt.alias("prompt")), selector)
+    chosen = settled(extraction.selected(replies, kept), "selected").select("query_id", "text", "place")
+    marked = kept.join(chosen, ["query_id", "text"], "left")
+    taken = ranking.topped_up(marked.select("query_id", "rank", "text", F.col("place").isNotNull().alias("kept")), least)
+    # chosen ones in the selector's order, then the others
+    return taken.join(chosen, ["query_id", "text"], "left").select("query_id", F.when(F.col("kept"), F.col("place")).otherwise(F.col("rank") + (1 << 20)).alias("rank"), "text")
+
+
 def _answered(q: DataFrame, context: DataFrame, model) -> DataFrame:
     c = settled(q.join(context, "query_id", "left"), "contexts")
     replies = asked(c.select("query_id", dataset.grounded_prompt(F.col("context"), F.col("query")).alias("prompt")), model)
