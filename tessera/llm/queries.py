@@ -46,7 +46,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _question_rows(spark: SparkSession, d: str) -> DataFrame:
-    return settled(lookalikes.question_rows(table(spark, d, "questions")), "question-rows")
+    return spread(lookalikes.question_rows(table(spark, d, "questions")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -48,3 +48,33 @@ def test_automaton_costs():
     assert {(c, w) for c, _, w in t.spellings("рек", 1)} == {(1, "река"), (1, "реки")} and (1, "река") in {(c, w) for c, _, w in t.spellings("реека", 1)}
     assert L.by_table("TЕСT") == L.by_table("ТECТ") == "ТЕСТ" and L.by_table("GРЅ") == "GPS"
     assert L.forms is not None and L.composed("ａ\u200b") == "a"
+
+
+def test_the_vocabulary_decides_between_scripts(spark, monkeypatch):
+    # CO is made of look-alikes alone: most texts spell it in Latin, the table alone would give Cyrillic
+    texts = ["газът CO тук", "CO и вода", "мярка CO", "газът С​О тук", "газът CО тук", "сос от Сорос", "coс", "сос"]
+    rows = spark.createDataFrame([(str(i), t, ["а", "б", "в", "г"]) for i, t in enumerate(texts * 2)], Q).repartition(3)
+    want = {"газът CO тук", "CO и вода", "мярка CO", "сос от Сорос", "сос"}
+    assert L.by_table("CO") == "СО"
+    got = sorted(tuple(map(str, r)) for r in L.one_form_questions(L.question_rows(rows)).collect())
+    assert {q for _, q, _ in got} == want
+    pairs = sorted(L.alike_questions(L.question_rows(rows)).collect())
+    monkeypatch.setattr(L, "SPELLINGS", 0)  # spellings are joined to the texts instead
+    assert sorted(tuple(map(str, r)) for r in L.one_form_questions(L.question_rows(rows)).collect()) == got
+    assert sorted(L.alike_questions(L.question_rows(rows)).collect()) == pairs and len(pairs) > 8
+
+
+def test_table_is_the_only_clear_spelling(rnd):
+    # a letter of one script only settles a word: no other clear word has its skeleton
+    swap = {c: g for g in L.ALIKE for c in g}
+    for w in ("река", "centr", "Αθήνα", "GPS", "Хибини", "ёж"):
+        for _ in range(200):
+            mixed = "".join(rnd.choice(swap.get(c, c)) for c in w)
+            assert not L.unclear(L.skeleton(mixed)) and L.by_table(mixed) == w and (not L.clear(mixed) or mixed == w)
+    assert L.unclear("со") and not L.unclear("12") and not L.unclear("соб")
+
+
+def test_copies_stored_alike_never_meet(spark):
+    rows = [(f"{i:05}", "Коя е река Арда?", ["а", "б", "в", "г"]) for i in range(3000)] + [("x", "Koя е река Арда?", ["а", "б", "в", "г"])]
+    got = L.alike_questions(L.question_rows(spark.createDataFrame(rows, Q).repartition(4)))
+    assert got.count() == 3000 and got.filter("id_b <> 'x'").count() == 0
