@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -41,21 +42,45 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which all executors share.
 
-    Where the session names none (tests, single machine) a local folder is set
-    once for the session.
+    Where a session on one machine names none (tests), a local folder is set once for it; on a cluster
+    the setting is required, since executors would write to folders that the others can't see.
     """
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Removes what ``settled`` wrote for this application. It is called when the application ends; results
+    that still rest on these tables can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _discard_at_exit(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            discard(spark)
+    except Exception:  # noqa: BLE001 - the context may be gone, and the folder then stays
+        pass
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage and
     keeps what several later stages read from being computed again."""
     spark = df.sparkSession
     shipped(spark)
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if not getattr(spark.sparkContext, "_discards", False):
+        spark.sparkContext._discards = True
+        atexit.register(_discard_at_exit, spark)
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

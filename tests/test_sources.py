@@ -100,3 +100,26 @@ def test_engine(spark, tmp_path):
     e.model = fails
     done = {r.query_id: r for r in e.generate(spark.createDataFrame([("1", "good"), ("2", "bad")], "query_id string, prompt string")).collect()}
     assert done["1"].reply == "A" and done["2"].error == "no"
+
+
+def test_settled_tables_go_with_the_application(spark, monkeypatch):
+    import os
+
+    from tessera.sources import tables
+
+    df = tables.settled(spark.range(5), "five")
+    folder = tables._own_folder(spark).removeprefix("file://")
+    assert df.count() == 5 and any(x.startswith("five-") for x in os.listdir(folder))
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    try:
+        tables.shared_folder(Cluster)
+        raise AssertionError("a machine-local folder on a cluster")
+    except ValueError as e:
+        assert "spark.checkpoint.dir" in str(e)
