@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tessera.llm import markup as M
@@ -76,3 +78,33 @@ def test_long_page(spark):
     page = "<p>" + "дума " * 200_000 + "'''край'''"
     r = M.unmarked(spark.createDataFrame([(1, "a", "h", page), (1, "a", "h", page)], PAGE).distinct()).collect()
     assert r[0].kinds == ["html", "wiki"] and r[0].text.endswith("край") and len(r[0].text.split()) == 200_001
+
+
+TAIL = "удебелен следва дълъг текст, после 5 думи и край"
+
+
+@pytest.mark.parametrize(
+    "opened",
+    ["<b ", "<p ", "<!-- ", "<ref>", '<ref name="x">', "<table style ", '<table style="a" ', "<td ", "<h2>", "<script>", "<pre>", "<code>", "{{x ", "{{Шаблон|", "{{x|име=", "{| ", '{| class="a" ', "[[Файл:", "[[Файл:a.jpg|мини|", "[[Категория:",
+     "[[", "[[а|", "$$", "\\[", "\\(", "\\begin{equation} ", "\\begin{", "\\footnote{", "\\section{", "\\emph{", "\\cite{", "```", "```sql ", "`", "[1]: https://a.b ", "**", "__", "''", "# ", "\n|- ", "<li ", "&"],
+)
+def test_what_isnt_closed_loses_no_text(opened):
+    # the whole page is one line, as in pages whose line breaks were lost
+    out = M.cleaned(f"Увод {opened}{TAIL} [[Арда]] и '''още'''")
+    left = [w.lstrip("|`_&").removeprefix("име=") for w in out.split()]
+    at = iter(left)
+    assert all(w in at for w in f"Увод {TAIL} Арда и още".split()), out
+
+
+def test_closed_parts_in_any_depth_and_length():
+    deep = "{{а|" * 500 + "}}" * 500
+    assert M.cleaned(f"Увод {deep}край") == "Увод край" and M.cleaned("\\emph{" * 500 + "дума" + "}" * 500) == "дума"
+    long = " ".join(["дума"] * 300)
+    assert M.kinds(f"*{long}*") == ["markdown"] and M.cleaned(f"*{long}*") == long
+
+
+@pytest.mark.parametrize("part", ["<b a ", "{{", "\\a{", "[[", "<!--", "<ref>", "* a *", "$a_", "{|", "<h2>", "a=1 ", "<pre>", "<code>", "<script>", "`a` ", "[[Файл:", "\\[", "[a]: ", "__a ", "**a ", "```", "\\begin{math}", "[a ", "'' "])
+def test_repeated_openings_take_linear_time(part):
+    began = time.perf_counter()
+    M.cleaned("<b " + part * 10_000), M.kinds("x " + part * 10_000)
+    assert time.perf_counter() - began < 3
