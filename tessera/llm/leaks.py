@@ -18,9 +18,13 @@ runs, n >= 8 k), so its template window meets. Windows with fewer than
 ``LITERALS`` literal words are hashed with their slots, since a window of
 placeholders would meet everything; an unchanged run meets all the same.
 
+A window may be held by many items (a stock opening). Which of them can have a stretch
+in a document is then told for all of them at once, by the words that the document
+holds at all; only the others are looked at one by one.
+
 The items are a stated query set against all documents. They are sent to the tasks
-in blocks of ``BLOCK`` items (some 60 windows each), so what is broadcast has a
-fixed bound; a larger set takes more passes over the documents.
+in blocks of at most ``BLOCK`` items and ``BLOCK_CHARS`` characters (or one item), so
+what is broadcast has a fixed bound; a larger set takes more passes over the documents.
 
 Defined results: null and empty texts and items shorter than 12 words match nothing;
 repeated rows give one row; a document may hold several items and an item occur in
@@ -31,7 +35,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,10 @@ from ..functions.arrow import pieces, record
 WINDOW, LITERALS = 5, 2
 #: Windows that must meet on one diagonal before a stretch is tried as a re-parameterised copy.
 TEMPLATE_HITS = 4
-#: Items that are sent to the tasks at once.
-BLOCK = 20_000
+#: Items that are sent to the tasks at once, and characters of them.
+BLOCK, BLOCK_CHARS = 20_000, 8 << 20
+#: Meetings of documents and items that are held at once.
+MEETINGS = 2_000_000
 #: Least words of a stretch, and the words in which one may be changed.
 LEAST, ONE_IN = 12, 8
 
@@ -79,8 +84,31 @@ class Items:
     merged_owner: np.ndarray
     merged_place: np.ndarray
     merged_sieve: np.ndarray
+    plain: "Flat"  # the template words of all items, and those of the merged ones
+    joined: "Flat"
+    shapes: list  # by length class: the first tokens of the items' words, one row each
+    shape_of: np.ndarray  # by item its length class and row
+
+
+@dataclass
+class Flat:
+    """Template words of all items one after the other, with a separator after each."""
+
+    template: np.ndarray
+    base: np.ndarray  # by item its first place
+    at: np.ndarray  # by place its position in the item, at a separator the item's length
 
+    @staticmethod
+    def of(tokens: list, template: np.ndarray, kept: list) -> "Flat":
+        parts, at = [np.full(LEAST, _APART)], [np.zeros(LEAST, np.int64)]
+        for own, keep in zip(tokens, kept):
+            parts += [template[own[keep]], np.array([_APART])]
+            at += [keep, np.array([len(own)])]
+        sizes = [LEAST] + [len(keep) + 1 for keep in kept]
+        return Flat(np.concatenate([*parts, np.full(LEAST + WINDOW, _APART)]), np.cumsum(sizes), np.concatenate([*at, np.zeros(LEAST + WINDOW, np.int64)]))
 
+
+_APART = -9
 _SIEVE_BITS = 20
 
 
@@ -139,8 +167,23 @@ def prepared(rows: list[tuple[str, str]]) -> Items:
     template_of = np.array(template, np.int64)
     merged = [_merged(template_of[own]) for own in tokens]
     asked = [i for i in range(len(tokens)) if weights[i].sum() >= LEAST]
+    shapes, shape_of = _shapes(tokens, weights)
+    flats = Flat.of(tokens, template_of, [np.arange(len(x)) for x in tokens]), Flat.of(tokens, template_of, merged)
     index = _indexed([(i, tokens[i]) for i in asked], template_of)
-    return Items([i for i, _ in split], words, template_of, tokens, weights, *index, np.concatenate([*tokens, np.empty(0, np.int64)]), np.cumsum([0, *map(len, tokens)]), merged, *_indexed([(i, tokens[i][merged[i]]) for i in asked], template_of))
+    return Items([i for i, _ in split], words, template_of, tokens, weights, *index, np.concatenate([*tokens, np.empty(0, np.int64)]), np.cumsum([0, *map(len, tokens)]), merged, *_indexed([(i, tokens[i][merged[i]]) for i in asked], template_of), *flats, shapes, shape_of)
+
+
+def _shapes(tokens: list, weights: list) -> tuple[list, np.ndarray]:
+    """The first tokens of items' words as matrices, by length up to a power of two, filled with -1."""
+    rows: list[list] = [[] for _ in range(40)]
+    shape_of = np.zeros((len(tokens), 2), np.int64)
+    for i, (own, first) in enumerate(zip(tokens, weights)):
+        kind = max(4, int(first.sum() - 1).bit_length())
+        shape_of[i] = kind, len(rows[kind])
+        row = np.full(1 << kind, -1, np.int32)
+        row[: int(first.sum())] = own[first == 1]
+        rows[kind].append(row)
+    return [np.stack(r) if r else None for r in rows], shape_of
 
 
 def _merged(template: np.ndarray) -> np.ndarray:
@@ -182,15 +225,18 @@ class _Vocabulary(dict):
         return found
 
 
-def _numbers(text: str, vocabulary: _Vocabulary) -> np.ndarray:
+def _numbers(text: str, vocabulary: _Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a text as numbers, and 1 where a word between white space begins."""
     own = [vocabulary[w] for w in text.split()]
     found = np.array(own, np.int64)
-    if len(found) and found.min() < 0:
-        flat = []
-        for x in own:
-            flat.extend(vocabulary.several[-1 - x]) if x < 0 else flat.append(x)
-        found = np.array(flat, np.int64)
-    return found
+    if not len(found) or found.min() >= 0:
+        return found, np.ones(len(found), np.int8)
+    flat, first = [], []
+    for x in own:
+        several = vocabulary.several[-1 - x] if x < 0 else (x,)
+        flat.extend(several)
+        first.extend(k == 0 for k in range(len(several)))
+    return np.array(flat, np.int64), np.array(first, np.int8)
 
 
 def _runs(doc: np.ndarray, item: np.ndarray, pairs: set[tuple[int, int]]):
@@ -228,21 +274,23 @@ def _near(doc, item, runs, reach):
     return sorted(found)
 
 
-def best_stretch(doc, item, weights, pairs):
+def best_stretch(doc, item, weights, pairs, doc_weights=None):
     """(words, changed) of the longest stretch of the item in the document within the limits, or None.
 
     Runs are chained in order; between two of them the larger of the gaps in item and
-    document counts as changed (replaced, added or left out).
+    document, in words between white space, counts as changed (replaced, added or left out).
     """
     runs = _runs(doc, item, pairs)
     # a neighbour of a seed run stays within the changes that a whole item may have
-    reach = len(item) // ONE_IN + WINDOW + 1
+    reach = (len(item) // ONE_IN + 1) * _widest(weights, doc_weights) + WINDOW
     for _ in range(3):
         more = _near(doc, item, runs, reach)
         if len(more) == len(runs):
             break
         runs = more
     before = np.concatenate(([0], np.cumsum(weights)))
+    word, doc_word = np.cumsum(weights).tolist(), (np.arange(len(doc)) if doc_weights is None else np.cumsum(doc_weights, dtype=np.int64)).tolist()
+    count = lambda numbers, x, y: numbers[y - 1] - numbers[x] + 1 if y > x else 0
     best = None
     cost: list[dict[int, int]] = [{} for _ in runs]  # by run: start of the chain in the item -> least changed
     for k, (b, a, n) in enumerate(runs):
@@ -252,9 +300,9 @@ def best_stretch(doc, item, weights, pairs):
             cut = max(0, pb + pn - b, pa_ + pn - a)  # runs that overlap: the later is shortened
             if cut >= n or pb >= b or pa_ >= a:
                 continue
-            gap = max(b + cut - pb - pn, a + cut - pa_ - pn)
-            if gap > reach:
+            if max(b + cut - pb - pn, a + cut - pa_ - pn) > reach:
                 continue
+            gap = max(count(word, pb + pn, b + cut), count(doc_word, pa_ + pn, a + cut))
             for start, c in cost[j].items():
                 if c + gap < cost[k].get(start, 1 << 30):
                     cost[k][start] = c + gap
@@ -310,35 +358,78 @@ def _template(doc, item, template, meetings, at_doc=None, at_item=None):
     return best
 
 
-def _may_hold(doc, item, shift):
+def _widest(*weights) -> int:
+    """The most tokens of a word between white space."""
+    widest = 1
+    for w in weights:
+        if w is not None and len(w) and not w.all():
+            widest = max(widest, int(np.diff(np.append(np.flatnonzero(w), len(w))).max()))
+    return widest
+
+
+def _may_hold(doc, item, weights, shift, widest):
     """Whether a stretch within the limits can lie near the diagonal ``shift``: its words
     stand at most as many places off as it may have changes, unchanged ones count 1,
     changed ones 1 - ``ONE_IN``, and some stretch of 11 words of the item, or more, has
     a sum of 0 or more. (11: the item's word that isn't there may be the twelfth.)"""
-    n, off = len(item), len(item) // ONE_IN + 1
+    n, off = len(item), (len(item) // ONE_IN + 1) * widest
     padded = np.full(n + 2 * off, -1, np.int64)
     lo, hi = max(0, shift - off), min(len(doc), shift + n + off)
     padded[lo - shift + off : hi - shift + off] = doc[lo:hi]
-    seen = (np.lib.stride_tricks.sliding_window_view(padded, 2 * off + 1) == item[:, None]).any(1)
-    total = np.concatenate(([0], np.cumsum(np.where(seen, 1, 1 - ONE_IN))))
-    least = LEAST - 1
-    return n >= least and bool((total[least:] >= np.minimum.accumulate(total[:-least])).any())
+    seen = (np.lib.stride_tricks.sliding_window_view(padded, 2 * off + 1) == item[:, None]).any(1)[weights == 1]
+    return bool(_held(seen[None, :])[0])
 
 
-def _verbatim(doc, item, weights, pairs):
+def _held(seen: np.ndarray) -> np.ndarray:
+    """By row, whether some stretch of LEAST - 1 words and more has a seventh of them unseen at most (one in eight changed)."""
+    total = np.zeros((len(seen), seen.shape[1] + 1), np.int32)
+    np.cumsum(np.where(seen, 1, 1 - ONE_IN), axis=1, out=total[:, 1:])
+    least = LEAST - 1
+    return (total[:, least:] >= np.minimum.accumulate(total[:, :-least], axis=1)).any(1) if seen.shape[1] >= least else np.zeros(len(seen), bool)
+
+
+def _present(doc: np.ndarray, asked: np.ndarray, items: Items, known: np.ndarray) -> np.ndarray:
+    """Which of the items can have a stretch in the document, by the words that it holds, wherever they stand.
+    known: a scratch array of False by word number, and one more."""
+    known[doc] = True
+    known[:_FIRST] = False
+    ok = np.zeros(len(asked), bool)
+    kind, row = items.shape_of[asked].T
+    for c in np.unique(kind):
+        own = np.flatnonzero(kind == c)
+        step = max(1, (1 << 22) >> int(c))
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
+            ok[part] = _held(known[items.shapes[c][row[part]]])
+    known[doc] = False
+    return ok
+
+
+def _verbatim(doc, item, weights, pairs, doc_weights=None):
     """The best stretch through the exact seeds ``pairs``, or None."""
-    if not any(_may_hold(doc, item, shift) for shift in {d - j for d, j in pairs}):
+    widest = _widest(weights, doc_weights)
+    if not any(_may_hold(doc, item, weights, shift, widest) for shift in {d - j for d, j in pairs}):
         return None
-    return best_stretch(doc, item, weights, set(pairs))
+    return best_stretch(doc, item, weights, set(pairs), doc_weights)
 
 
-def _meetings(raw, template, starts, keys, owner, place, sieve, n):
-    """Every meeting of a document's window with an item's, by document, item and diagonal: position,
-    document, item, place in it, number of the pair."""
+def _hits(raw, template, keys, sieve):
+    """Positions of windows that some item has too, and where its equals begin and end in keys."""
     h = window_hashes(raw, template[raw])
     hit = np.flatnonzero(sieve[h & np.uint64((1 << _SIEVE_BITS) - 1)])
     lo, hi = np.searchsorted(keys, h[hit]), np.searchsorted(keys, h[hit], "right")
-    hit, lo, hi = hit[hi > lo], lo[hi > lo], hi[hi > lo]
+    return hit[hi > lo], lo[hi > lo], hi[hi > lo]
+
+
+def _meetings(hits, starts, keys, owner, place, n, first, last):
+    """Every meeting of a document's window with one of the items from first to last, by document, item and
+    diagonal: position, document, item, place in it, number of the pair."""
+    hit, lo, hi = hits
+    if (first, last) != (0, n) and len(hit):  # the windows of equal hash are in order of their items
+        rank = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1])))
+        both = rank * n + owner
+        lo, hi = np.searchsorted(both, rank[lo] * n + first), np.searchsorted(both, rank[lo] * n + last)
+        hit, lo, hi = hit[hi > lo], lo[hi > lo], hi[hi > lo]
     doc_of = np.searchsorted(starts, hit, "right") - 1
     count = hi - lo
     met = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -348,57 +439,101 @@ def _meetings(raw, template, starts, keys, owner, place, sieve, n):
     return tuple(x[order] for x in (p, k, i, j, pair))
 
 
-def _lines(p, j, pair):
-    """(first, end) of the meetings of each diagonal that holds enough of them to be tried."""
+def _long(template, p, j, i, flat: Flat) -> np.ndarray:
+    """Which meetings stand in a stretch of equal templates of LEAST words of the item, or more."""
+    ok, offsets = np.zeros(len(p), bool), np.arange(1, LEAST + 1)
+    for at in range(0, len(p), 50_000):
+        x, y = p[at : at + 50_000], flat.base[i[at : at + 50_000]] + j[at : at + 50_000]
+        same = lambda dx, dy: np.cumprod(template[np.clip(dx, 0, len(template) - 1)] == flat.template[dy], axis=1).sum(1)
+        left = same(x[:, None] - offsets, y[:, None] - offsets)
+        right = same(x[:, None] + WINDOW - 1 + offsets, y[:, None] + WINDOW - 1 + offsets)
+        ok[at : at + 50_000] = flat.at[y + WINDOW + right] - flat.at[y - left] >= LEAST
+    return ok
+
+
+def _lines(p, j, i, pair, template, flat: Flat):
+    """(first, end) of the meetings of each diagonal that holds enough of them, and a long enough stretch, to be tried."""
     if not len(p):
         return np.empty((0, 2), np.int64)
     line = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | ((p - j)[1:] != (p - j)[:-1]))))
     ends = np.append(line[1:], len(p))
-    return np.stack((line, ends), 1)[ends - line >= TEMPLATE_HITS]
+    many = ends - line >= TEMPLATE_HITS
+    line, ends = line[many], ends[many]
+    if not len(line):
+        return np.empty((0, 2), np.int64)
+    of = np.repeat(np.arange(len(line)), ends - line)
+    own = np.repeat(line, ends - line) + np.arange(len(of)) - np.repeat(np.cumsum(ends - line) - (ends - line), ends - line)
+    # one meeting of each run of them will do
+    new = np.concatenate(([True], (of[1:] != of[:-1]) | (j[own[1:]] != j[own[:-1]] + 1)))
+    of, own = of[new], own[new]
+    long = np.zeros(len(line), bool)
+    long[of[_long(template, p[own], j[own], i[own], flat)]] = True
+    return np.stack((line, ends), 1)[long]
 
 
 def find(ids, texts, items: Items, vocabulary: _Vocabulary):
     """Rows (doc_id, item_id, kind, words, changed) of a slice of documents."""
-    gap = np.full(WINDOW, GAP, np.int64)
-    parts, owner, starts, at = [], [], [], 0
+    docs = []
     for ident, text in zip(ids, texts):
         if ident is None or not text:
             continue
-        numbers = _numbers(text, vocabulary)
-        if len(numbers) < WINDOW:
-            continue
-        parts += [numbers, gap]
-        owner.append(ident)
-        starts.append(at)
-        at += len(numbers) + WINDOW
-    if not parts or not len(items.keys):
-        return
-    raw, n = np.concatenate(parts), len(items.ids)
-    starts.append(len(raw))
+        numbers, first_of = _numbers(text, vocabulary)
+        if len(numbers) >= WINDOW:
+            docs.append((ident, numbers, first_of))
+    if docs and len(items.keys):
+        yield from _found(docs, items, 0, len(items.ids))
+
+
+def _found(docs, items: Items, first_item: int, last_item: int):
+    """The rows of documents (id, words, starts of words) and the items from first to last; where these meet
+    more often than MEETINGS, half of them at a time."""
+    gap, n = np.full(WINDOW, GAP, np.int64), len(items.ids)
+    raw = np.concatenate([x for _, numbers, _ in docs for x in (numbers, gap)])
+    owner, begins = [d for d, *_ in docs], [b for *_, b in docs]
+    starts = np.cumsum([0] + [len(numbers) + WINDOW for _, numbers, _ in docs])
     words = lambda k: raw[starts[k] : starts[k + 1] - WINDOW]
-    p, k, i, j, pair = _meetings(raw, items.template, starts[:-1], items.keys, items.owner, items.place, items.sieve, n)
+    template = items.template[raw]
+    kept = _merged(template)
+    hits, merged_hits = _hits(raw, items.template, items.keys, items.sieve), _hits(raw[kept], items.template, items.merged_keys, items.merged_sieve)
+    if (last_item - first_item) / n * max((hi - lo).sum() for _, lo, hi in (hits, merged_hits)) > MEETINGS and (len(docs) > 1 or last_item - first_item > 1):
+        if len(docs) > 1:
+            half = len(docs) // 2
+            yield from _found(docs[:half], items, first_item, last_item)
+            yield from _found(docs[half:], items, first_item, last_item)
+        else:
+            half = (first_item + last_item) // 2
+            yield from _found(docs, items, first_item, half)
+            yield from _found(docs, items, half, last_item)
+        return
+    p, k, i, j, pair = _meetings(hits, starts[:-1], items.keys, items.owner, items.place, n, first_item, last_item)
     exact = np.ones(len(p), bool)
     for x in range(WINDOW):
         exact &= raw[p + x] == items.flat[items.base[i] + j + x]
     done = set()
     seeds = np.flatnonzero(exact)
     first = np.flatnonzero(np.concatenate(([True], pair[seeds][1:] != pair[seeds][:-1]))) if len(seeds) else []
-    for own in np.split(seeds, first[1:]) if len(seeds) else []:
+    groups = np.split(seeds, first[1:]) if len(seeds) else []
+    # a window may be held by many items: those that can't have a stretch here go out first, all at once
+    heads = seeds[first] if len(seeds) else seeds
+    may, known = np.zeros(len(heads), bool), np.zeros(len(items.template) + 1, bool)
+    for d in np.unique(k[heads]):
+        of = np.flatnonzero(k[heads] == d)
+        may[of] = _present(words(d), i[heads[of]], items, known)
+    for own in (groups[x] for x in np.flatnonzero(may)):
         a, s = own[0], starts[k[own[0]]]
-        best = _verbatim(words(k[a]), items.tokens[i[a]], items.weights[i[a]], [(int(p[x]) - s, int(j[x])) for x in own])
+        best = _verbatim(words(k[a]), items.tokens[i[a]], items.weights[i[a]], [(int(p[x]) - s, int(j[x])) for x in own], begins[k[a]])
         if best:
             done.add(int(pair[a]))
             yield owner[k[a]], items.ids[i[a]], "verbatim", *best
     found: dict[int, tuple[int, int]] = {}
-    for a, b in _lines(p, j, pair).tolist():
+    for a, b in _lines(p, j, i, pair, template, items.plain).tolist():
         if (one := int(pair[a])) not in done:
             s = starts[k[a]]
             best = _template(words(k[a]), items.tokens[i[a]], items.template, [(int(p[x]) - s, int(j[x])) for x in range(a, b)])
             found[one] = max(found.get(one, (0, 0)), best)
-    kept = _merged(items.template[raw])
     edges = np.searchsorted(kept, starts)
-    p, k, i, j, pair = _meetings(raw[kept], items.template, edges[:-1], items.merged_keys, items.merged_owner, items.merged_place, items.merged_sieve, n)
-    for a, b in _lines(p, j, pair).tolist():
+    p, k, i, j, pair = _meetings(merged_hits, edges[:-1], items.merged_keys, items.merged_owner, items.merged_place, n, first_item, last_item)
+    for a, b in _lines(p, j, i, pair, template[kept], items.joined).tolist():
         if (one := int(pair[a])) not in done:
             x, y = int(edges[k[a]]), int(edges[k[a] + 1]) - WINDOW
             best = _template(words(k[a]), items.tokens[i[a]], items.template, [(int(p[m]) - x, int(j[m])) for m in range(a, b)], kept[x:y] - starts[k[a]], items.merged[i[a]])
@@ -408,11 +543,24 @@ def find(ids, texts, items: Items, vocabulary: _Vocabulary):
             yield owner[one // n], items.ids[one % n], "template", *best
 
 
+def _blocks(rows):
+    """Lists of (id, question) within the limits of a block."""
+    own, size = [], 0
+    for row in rows:
+        if own and (len(own) >= BLOCK or size + len(row[1]) > BLOCK_CHARS):
+            yield own
+            own, size = [], 0
+        own.append(row)
+        size += len(row[1])
+    if own:
+        yield own
+
+
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """LEAKS: the documents and the items that leaked into each. items: (item_id, question)."""
     known = items.select("item_id", "question").filter("item_id IS NOT NULL AND question IS NOT NULL").distinct().orderBy("item_id", "question")
-    rows = ((r[0], r[1]) for r in known.toLocalIterator())
-    out, own = None, list(islice(rows, BLOCK))
+    blocks = _blocks((r[0], r[1]) for r in known.toLocalIterator())
+    out, own = None, next(blocks, [])
     while own or out is None:
         block = documents.sparkSession.sparkContext.broadcast(prepared(own))
 
@@ -427,5 +575,5 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         one = documents.select("doc_id", "text").mapInArrow(run, LEAKS)
         out = one if out is None else out.unionByName(one)
-        own = list(islice(rows, BLOCK))
+        own = next(blocks, [])
     return out.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("kind", "words", "changed"), F.struct(F.col("kind") == "template", -F.col("words"), "changed")).alias("x")).select("doc_id", "item_id", "x.*")

@@ -1,3 +1,5 @@
+import time
+
 from tessera.llm import leaks as L
 from tests.llm.conftest import clashing, pseudo_words
 
@@ -71,3 +73,54 @@ def test_a_contradiction_ends_a_stretch_only(spark):
     doc = text.replace("{a}", "Мехист", 1).format(a="Рано", **names)
     got = L.leaked(spark.createDataFrame([(1, doc)], "doc_id bigint, text string"), q).collect()
     assert [tuple(r) for r in got] == [(1, "x", "template", len(text.split()) - 1, 6)]
+
+
+def test_a_stock_opening_of_many_items(rnd, monkeypatch):
+    vocabulary = pseudo_words(rnd, 4000)
+    opening = rnd.sample(vocabulary, 8)
+    items = [(f"i{k}", " ".join(opening + [rnd.choice(vocabulary) for _ in range(30)])) for k in range(2400)]
+    docs = [" ".join([rnd.choice(vocabulary) for _ in range(100)] + opening + [rnd.choice(vocabulary) for _ in range(200)]) for _ in range(100)]
+    docs[5] += " " + " ".join(items[77][1].split()[3:20])
+    docs[6] = docs[6].replace(" ".join(opening), " ".join(items[78][1].split()[:10] + ["друга"] + items[78][1].split()[11:20]))
+    ready = L.prepared(items)
+    began = time.perf_counter()
+    got = set(L.find(range(100), docs, ready, L._Vocabulary(ready)))
+    assert time.perf_counter() - began < 8 and {r[:3] for r in got} == {(5, "i77", "verbatim"), (6, "i78", "verbatim")}
+    monkeypatch.setattr(L, "MEETINGS", 500)  # in parts, also of the items
+    few = [docs[k] for k in (4, 5, 6)]
+    assert {r[1:] for r in L.find(range(3), few, ready, L._Vocabulary(ready))} == {r[1:] for r in got}
+
+
+def test_a_word_of_several_tokens_is_one_change(rnd):
+    words = pseudo_words(rnd, 12)
+    for own, other in ((words[:6] + ["14,1"] + words[6:11], words[:6] + ["друго"] + words[6:11]), (words, words[:6] + ["по-малко-от"] + words[7:])):
+        ready = L.prepared([("x", " ".join(own))])
+        got = list(L.find([1], ["начало " + " ".join(other) + " край"], ready, L._Vocabulary(ready)))
+        assert got == [(1, "x", "verbatim", 12, 1)]
+
+
+def test_items_go_in_blocks_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_CHARS", 10)
+    assert [len(b) for b in L._blocks([("a", "x" * 6), ("b", "x" * 4), ("c", "x" * 30), ("d", "x")])] == [2, 1, 1]
+
+
+def test_reparameterised_items_in_a_corpus(spark, rnd):
+    # a hundred items of which each stands once with other names and numbers among two thousand documents
+    lower, names = pseudo_words(rnd, 2000), [w.capitalize() for w in pseudo_words(rnd, 400, "бвгджзклмнпрстаеиоу") if len(w) > 3]
+
+    def make(fill):
+        return " ".join(fill(w) if w in ("N", "Z") else w for w in shape)
+
+    items, docs, want = [], [], set()
+    for k in range(100):
+        shape = [rnd.choice(lower) for _ in range(24)]
+        for at in rnd.sample(range(24), 5):
+            shape[at] = rnd.choice("NZ")
+        fresh = lambda w: rnd.choice(names) if w == "N" else str(rnd.randint(10, 9999))
+        items.append((f"i{k}", make(fresh)))
+        docs.append((k, " ".join(rnd.choice(lower) for _ in range(30)) + " " + make(fresh) + " " + " ".join(rnd.choice(lower) for _ in range(30))))
+        want.add((k, f"i{k}"))
+    docs += [(1000 + k, " ".join(rnd.choice(lower + names) for _ in range(80))) for k in range(2000)]
+    q = spark.createDataFrame(items, "item_id string, question string")
+    got = {(r.doc_id, r.item_id) for r in L.leaked(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), q).collect()}
+    assert len(got & want) >= 95 and len(got - want) == 0
