@@ -31,6 +31,10 @@ IMPORTANCE = {
     10: "държава",
 }
 
+#: Types that say too little to expand by.
+GENERAL_TYPES = [NS + x for x in ("Местоположение", "КоличественаСтойност", "МернаЕдиница")]
+NUMBER_TYPES = [XSD + x for x in ("decimal", "integer", "float", "double")]
+
 TYPE_WORDS = "е тип"
 MISSING = "[липсва стойност]"
 GENERIC_TYPES = ["Мерна Единица", "Количествена Стойност", "Клас", "Property", "Местоположение", "Воден Обект", "Релефна Форма", "Местност"]

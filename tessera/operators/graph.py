@@ -22,7 +22,7 @@ def triple_set(triples: DataFrame) -> DataFrame:
 
 
 def star_triples(t) -> DataFrame:
-    """The star schema as a graph. t: function from table name to DataFrame."""
+    """The star schema as a graph. t: function from table name to DataFrame; keys of its tables are unique."""
 
     def make(df, s, p, o, kind="uri"):
         return df.select(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"))
@@ -39,15 +39,23 @@ def star_triples(t) -> DataFrame:
         make(t("customer"), node("customer", "c_custkey"), "locatedIn", node("nation", "c_nationkey")),
         make(t("supplier"), node("supplier", "s_suppkey"), "locatedIn", node("nation", "s_nationkey")),
         make(t("orders"), node("order", "o_orderkey"), "placedBy", node("customer", "o_custkey")),
-        make(t("lineitem"), node("order", "l_orderkey"), "contains", node("part", "l_partkey")),
-        make(t("lineitem"), node("supplier", "l_suppkey"), "supplies", node("part", "l_partkey")),
+        # the others are told once for each key of a table; only these edges repeat, and are compared as numbers
+        make(t("lineitem").select("l_orderkey", "l_partkey").distinct(), node("order", "l_orderkey"), "contains", node("part", "l_partkey")),
+        make(t("lineitem").select("l_suppkey", "l_partkey").distinct(), node("supplier", "l_suppkey"), "supplies", node("part", "l_partkey")),
         make(t("part"), node("part", "p_partkey"), "brand", F.col("p_brand"), "literal"),
         make(t("customer"), node("customer", "c_custkey"), "segment", F.col("c_mktsegment"), "literal"),
     ]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.filter("s IS NOT NULL AND o IS NOT NULL").distinct()
+    return out.filter("s IS NOT NULL AND o IS NOT NULL")
+
+
+def plain_number(text: Column) -> Column:
+    """A decimal number without sign of plus, zeros before it and zeros after its point; other texts as they are."""
+    t = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"^(-?)0+(\d)", "$1$2")
+    t = F.when(F.contains(t, F.lit(".")), F.regexp_replace(F.regexp_replace(t, r"\.?0+$", ""), r"\.$", "")).otherwise(t)
+    return F.when(text.rlike(r"^[+-]?\d+(\.\d*)?$"), F.when(t == "-0", "0").otherwise(t)).otherwise(text)
 
 
 def number_text(c: Column) -> Column:
@@ -111,7 +119,8 @@ def facts(triples: DataFrame, strict_unit: bool = False) -> DataFrame:
     can be told, one row for each text (the first by subject, predicate and object).
 
     Plain: subject, predicate and object; type: subject, ``е тип``, type; quantity: with value and unit
-    (without unit as well, unless strict_unit).
+    (without unit as well, unless strict_unit). Numbers are told plainly (``2925``, not ``2925.0``); the
+    columns keep them as they are stored.
     """
     t = triple_set(triples).filter("s_kind = 'uri'")
     names = labels(t)
@@ -133,8 +142,9 @@ def facts(triples: DataFrame, strict_unit: bool = False) -> DataFrame:
         values = values.filter("unit_uri IS NOT NULL")
     t = t.join(values.withColumnRenamed("qid", "o"), "o", "left")
     own = names.select(F.col("node").alias("o"), F.col("label").alias("ol"))
-    t = t.join(own, "o", "left").withColumn("ol", F.when(F.col("o_kind") == "literal", F.col("o")).otherwise(F.coalesce("ol", derived_label(F.col("o")))))
-    text = F.when(F.col("kind") == "type", F.concat_ws(" ", "sl", F.lit(v.TYPE_WORDS), "ol")).when(F.col("kind") == "quantity", F.when(F.col("value_lex").isNotNull(), F.concat_ws(" ", "sl", "pl", "value_lex", "ul"))).otherwise(F.concat_ws(" ", "sl", "pl", "ol"))
+    told = F.when(F.col("o_datatype").isin(v.NUMBER_TYPES), plain_number(F.col("o"))).otherwise(F.col("o"))
+    t = t.join(own, "o", "left").withColumn("ol", F.when(F.col("o_kind") == "literal", told).otherwise(F.coalesce("ol", derived_label(F.col("o")))))
+    text = F.when(F.col("kind") == "type", F.concat_ws(" ", "sl", F.lit(v.TYPE_WORDS), "ol")).when(F.col("kind") == "quantity", F.when(F.col("value_lex").isNotNull(), F.concat_ws(" ", "sl", "pl", plain_number(F.col("value_lex")), "ul"))).otherwise(F.concat_ws(" ", "sl", "pl", "ol"))
     t = t.withColumn("text", text).filter((F.col("text").isNotNull()) & (F.col("sl") != F.col("s")) & (F.col("pl") != F.col("p")))
     first = F.row_number().over(Window.partitionBy("text").orderBy("s", "p", "o"))
     t = t.withColumn("n", first).filter("n = 1")
@@ -200,10 +210,18 @@ def edges(triples: DataFrame) -> DataFrame:
     return triple_set(triples).filter(~F.col("p").isin(v.SKIPPED_PREDICATES))
 
 
+#: Parts into which the edges of a node are dealt where a frontier meets them, however many they are.
+SALTS = 8
+
+
 def hop(frontier: DataFrame, edge: DataFrame, keys: list[str]) -> DataFrame:
-    """Triples out of (uri subjects only for incoming ones) and into the nodes of a frontier (*keys, node)."""
-    out = frontier.join(edge, frontier["node"] == edge["s"]).select(*keys, *[edge[c] for c in TRIPLE])
-    into = frontier.join(edge.filter("s_kind <> 'bnode'"), frontier["node"] == F.col("o")).select(*keys, *[edge[c] for c in TRIPLE])
+    """Triples out of (uri subjects only for incoming ones) and into the nodes of a frontier (*keys, node).
+
+    A hub's edges are dealt over SALTS parts by their other end, and the frontier is repeated for each."""
+    parts = frontier.withColumn("part", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salted = lambda node, other: edge.withColumn("node", F.col(node)).withColumn("part", F.pmod(F.xxhash64("p", other), F.lit(SALTS)).cast("int"))
+    out = parts.join(salted("s", "o"), ["node", "part"]).select(*keys, *TRIPLE)
+    into = parts.join(salted("o", "s").filter("s_kind <> 'bnode'"), ["node", "part"]).select(*keys, *TRIPLE)
     return out.unionByName(into).distinct()
 
 
@@ -313,15 +331,15 @@ def subgraph(triples: DataFrame, seeds: DataFrame, cap: int = v.HUB_DEGREE) -> D
 def type_expansion(retrieved: DataFrame, triples: DataFrame, limit: int = 30) -> DataFrame:
     """(query_id, s, p, o, value_lex): quantity facts of the query's most frequent quantity predicate.
 
-    retrieved: (query_id, s, p, o), repeated rows counting again. A query without type edges or quantity
-    predicates has none.
+    retrieved: (query_id, s, p, o), repeated rows counting again. A query without an edge to a type of the
+    namespace (the most general ones aside) or without quantity predicates has none.
     """
     def most(df, column, out):
         n = df.groupBy("query_id", column).agg(F.count("*").alias("n"))
         k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), column))
         return n.withColumn("k", k).filter("k = 1").select("query_id", F.col(column).alias(out))
 
-    kind = most(retrieved.filter(F.col("p") == v.TYPE), "o", "type")
+    kind = most(retrieved.filter((F.col("p") == v.TYPE) & F.startswith("o", F.lit(v.NS)) & ~F.col("o").isin(v.GENERAL_TYPES)), "o", "type")
     predicate = most(retrieved.filter(F.col("p").isin(v.QUANTITY_PROPERTIES)), "p", "p")
     wanted = predicate.join(kind, "query_id", "left_semi")
     t = triple_set(triples)

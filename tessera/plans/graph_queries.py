@@ -74,8 +74,8 @@ def kg_nhop_1(spark, d):
 
 
 def kg_nhop_2(spark, d):
-    """The triples within two hops of what any question names."""
-    return graph.neighbourhood(_links(spark, d).select("node"), _t(spark, d), 2, [])
+    """The triples within two hops of what each question names."""
+    return graph.neighbourhood(_links(spark, d).select("query_id", "node"), _t(spark, d), 2, ["query_id"])
 
 
 def kg_beam_expand(spark, d):
@@ -88,12 +88,17 @@ def kg_type_expansion(spark, d):
     return graph.type_expansion(graph.neighbourhood(links, _t(spark, d), 1, ["query_id"]), _t(spark, d))
 
 
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    return settled(linking.seeds(_texts(spark, d), _t(spark, d)), "seeds")
+
+
 def kg_hop_distance(spark, d):
-    return graph.hop_distances(_links(spark, d).select("node"), graph.adjacency(_t(spark, d)))
+    """Hops from what any text links to, exactly or by stems."""
+    return graph.hop_distances(_seeds(spark, d), graph.adjacency(_t(spark, d)))
 
 
 def kg_subgraph(spark, d):
-    return graph.subgraph(_t(spark, d), _links(spark, d).select("node"))
+    return graph.subgraph(_t(spark, d), _seeds(spark, d))
 
 
 def kg_merge_duplicate_labels(spark, d):
@@ -232,6 +237,13 @@ def _derived(x: str) -> str:
     return f"CASE WHEN {_local(x)} = '' THEN {x} WHEN {spaced} = '' THEN {name} ELSE {spaced} END"
 
 
+def _plain(x: str) -> str:
+    """A decimal number told plainly."""
+    t = f"regexp_replace(regexp_replace({x}, '^\\+', ''), '^(-?)0+(\\d)', '\\1\\2')"
+    t = f"CASE WHEN contains({t}, '.') THEN regexp_replace(regexp_replace({t}, '\\.?0+$', ''), '\\.$', '') ELSE {t} END"
+    return f"CASE WHEN regexp_full_match({x}, '[+-]?\\d+(\\.\\d*)?') THEN CASE WHEN ({t}) = '-0' THEN '0' ELSE ({t}) END ELSE {x} END"
+
+
 _IMPORTANCE = (
     f"CASE WHEN p IN ({_list(v.QUANTITY_PROPERTIES)}) THEN 1 WHEN p = '{v.TYPE}' THEN 2 "
     + " ".join(f"WHEN p IN ({_list(v.NS + n for n in names.split())}) THEN {tier}" for tier, names in v.IMPORTANCE.items())
@@ -248,10 +260,10 @@ kinds AS (SELECT *, CASE WHEN p IN ({_list(v.SKIPPED_PREDICATES)}) THEN NULL
   WHEN p IN ({_list(v.QUANTITY_PROPERTIES)}) AND contains(o, 'Entity') THEN NULL
   WHEN o_kind <> 'bnode' THEN 'plain' END AS kind FROM t WHERE s_kind = 'uri'),
 named AS (SELECT k.*, coalesce(a.label, {_derived("k.s")}) AS sl, coalesce(b.label, {_derived("k.p")}) AS pl,
-    CASE WHEN k.o_kind = 'literal' THEN k.o ELSE coalesce(c.label, {_derived("k.o")}) END AS ol, q.value_lex, q.unit_uri,
+    CASE WHEN k.o_kind = 'literal' THEN CASE WHEN k.o_datatype IN ({_list(v.NUMBER_TYPES)}) THEN {_plain("k.o")} ELSE k.o END ELSE coalesce(c.label, {_derived("k.o")}) END AS ol, q.value_lex, q.unit_uri,
     CASE WHEN q.unit_uri IS NOT NULL THEN coalesce(u.label, {_derived("q.unit_uri")}) END AS ul
   FROM kinds k LEFT JOIN names a ON a.node = k.s LEFT JOIN names b ON b.node = k.p LEFT JOIN names c ON c.node = k.o LEFT JOIN qv q ON q.qid = k.o LEFT JOIN names u ON u.node = q.unit_uri WHERE k.kind IS NOT NULL),
-told AS (SELECT *, CASE kind WHEN 'type' THEN sl || ' {v.TYPE_WORDS} ' || ol WHEN 'quantity' THEN CASE WHEN value_lex IS NOT NULL THEN concat_ws(' ', sl, pl, value_lex, ul) END ELSE concat_ws(' ', sl, pl, ol) END AS text FROM named),
+told AS (SELECT *, CASE kind WHEN 'type' THEN sl || ' {v.TYPE_WORDS} ' || ol WHEN 'quantity' THEN CASE WHEN value_lex IS NOT NULL THEN concat_ws(' ', sl, pl, {_plain("value_lex")}, ul) END ELSE concat_ws(' ', sl, pl, ol) END AS text FROM named),
 facts AS MATERIALIZED (SELECT * FROM told WHERE text IS NOT NULL AND sl <> s AND pl <> p QUALIFY row_number() OVER (PARTITION BY text ORDER BY s, p, o) = 1)"""
 _TYPES = f"types AS MATERIALIZED (SELECT DISTINCT s AS node, o AS type FROM t WHERE p = '{v.TYPE}' AND o_kind = 'uri')"
 
@@ -276,7 +288,18 @@ _EDGES = f"{_T}, edges AS MATERIALIZED (SELECT * FROM t WHERE p NOT IN ({_list(v
 _HOP1 = """hop1 AS MATERIALIZED (SELECT query_id, e.* FROM links l JOIN edges e ON e.s = l.node UNION SELECT query_id, e.* FROM links l JOIN edges e ON e.o = l.node AND e.s_kind <> 'bnode')"""
 _ADJ = f"""adj AS MATERIALIZED (SELECT s AS src, o AS dst FROM t WHERE p <> '{v.TYPE}' AND o_kind = 'uri' AND starts_with(s, '{v.NS}') AND starts_with(o, '{v.NS}')
   UNION SELECT o, s FROM t WHERE p <> '{v.TYPE}' AND o_kind = 'uri' AND starts_with(s, '{v.NS}') AND starts_with(o, '{v.NS}'))"""
-_DIST = f"""{_T}, {_L}, {_ADJ}, seeds AS MATERIALIZED (SELECT DISTINCT node FROM links), one_hop AS MATERIALIZED (SELECT DISTINCT dst AS node FROM seeds JOIN adj ON src = node),
+def _content(x: str) -> str:
+    """Words of four and more characters without signs at their ends."""
+    every = f"list_filter(string_split_regex(lower({x}), '{_SP}+'), lambda w: w <> '')"
+    return f"list_filter(list_transform({every}, lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: length(w) >= 4)"
+
+
+_FUZZY = f"""st AS (SELECT label, node, list_transform({_content('label')}, lambda w: substr(w, 1, greatest(4, length(w) - 3))) AS stems FROM ix),
+one_stem AS (SELECT label, node, len(stems) AS n, unnest(stems) AS stem, unnest(generate_series(0, len(stems) - 1)) AS i FROM st WHERE len(stems) > 0),
+pre AS (SELECT DISTINCT query_id, substr(w, 1, CAST(k AS BIGINT)) AS stem FROM (SELECT query_id, w, unnest(generate_series(4, length(w))) AS k FROM (SELECT query_id, unnest({_content('text')}) AS w FROM texts))),
+hit AS (SELECT query_id, node, label, n, count(*) AS hits, count(*) FILTER (i < 2) AS firsts FROM pre JOIN one_stem USING (stem) GROUP BY 1, 2, 3, 4),
+fuzzy AS MATERIALIZED (SELECT query_id, node, label FROM hit WHERE hits = n OR (n >= 3 AND (hits >= n - 1 OR firsts = 2)))"""
+_DIST = f"""{_T}, {_linked(v.LINKED_PER_QUESTION)}, {_FUZZY}, {_ADJ}, seeds AS MATERIALIZED (SELECT node FROM links UNION SELECT node FROM fuzzy), one_hop AS MATERIALIZED (SELECT DISTINCT dst AS node FROM seeds JOIN adj ON src = node),
 two_hop AS (SELECT DISTINCT dst AS node FROM one_hop JOIN adj ON src = node WHERE node IN (SELECT src FROM adj GROUP BY src HAVING count(*) <= {v.HUB_DEGREE})),
 dist AS MATERIALIZED (SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT node, 0 AS hop FROM seeds UNION ALL SELECT node, 1 FROM one_hop UNION ALL SELECT node, 2 FROM two_hop) GROUP BY node)"""
 _KEYS = f"keys AS MATERIALIZED (SELECT DISTINCT lower({_strip('o')}) AS key, s AS node FROM t WHERE p = '{v.LABEL}' AND o_kind = 'literal' AND lower({_strip('o')}) <> '')"
@@ -343,12 +366,6 @@ x{n} AS (SELECT w.*, g.text, {stem_sql("w.query", "g.text")} AS score FROM w{n}
 b{n} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id, seed ORDER BY score DESC, text) AS n FROM x{n} QUALIFY n <= 50)"""
 
 
-def _content(x: str) -> str:
-    """Words of four and more characters without signs at their ends."""
-    every = f"list_filter(string_split_regex(lower({x}), '{_SP}+'), lambda w: w <> '')"
-    return f"list_filter(list_transform({every}, lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: length(w) >= 4)"
-
-
 ORACLE = {
     "kg_star_triples": _star(),
     "kg_top10_quantity": r"SELECT p_partkey, concat_ws(' ', p_name, 'retailPrice', regexp_replace(regexp_replace(CAST(CAST(round(p_retailprice, 2) AS DECIMAL(18,2)) AS VARCHAR), '0+$', ''), '\.$', ''), 'USD') AS text, p_retailprice AS value FROM part WHERE p_retailprice IS NOT NULL ORDER BY p_retailprice DESC, p_partkey LIMIT 10",
@@ -363,11 +380,11 @@ ORACLE = {
   count(DISTINCT p) FILTER (o_kind = 'literal' AND starts_with(p, '{v.NS}')), count(DISTINCT s) FILTER (p = '{v.TYPE}' AND s_kind = 'uri' AND starts_with(s, '{v.NS}')),
   count(*) FILTER (p IN ({_list([v.RDFS + x for x in ("subClassOf", "domain", "range")] + [v.OWL + "inverseOf"])})), count(*)]) AS n FROM t""",
     "kg_nhop_1": f"WITH {_EDGES}, {_L}, {_HOP1} SELECT DISTINCT query_id, 1 AS hop, s, p, o FROM hop1",
-    "kg_nhop_2": f"""WITH {_EDGES}, {_L}, seeds AS MATERIALIZED (SELECT DISTINCT node FROM links),
-h1 AS MATERIALIZED (SELECT e.* FROM seeds JOIN edges e ON e.s = node UNION SELECT e.* FROM seeds JOIN edges e ON e.o = node AND e.s_kind <> 'bnode'),
-f1 AS MATERIALIZED (SELECT s AS node FROM h1 WHERE s_kind = 'uri' UNION SELECT o FROM h1 WHERE o_kind = 'uri' AND p <> '{v.TYPE}' EXCEPT SELECT node FROM seeds),
-h2 AS (SELECT e.* FROM f1 JOIN edges e ON e.s = node UNION SELECT e.* FROM f1 JOIN edges e ON e.o = node AND e.s_kind <> 'bnode')
-SELECT 1 AS hop, s, p, o FROM h1 UNION ALL SELECT 2, s, p, o FROM h2 WHERE (s, p, o) NOT IN (SELECT (s, p, o) FROM h1)""",
+    "kg_nhop_2": f"""WITH {_EDGES}, {_L}, seeds AS MATERIALIZED (SELECT DISTINCT query_id, node FROM links),
+h1 AS MATERIALIZED (SELECT query_id, e.* FROM seeds JOIN edges e ON e.s = node UNION SELECT query_id, e.* FROM seeds JOIN edges e ON e.o = node AND e.s_kind <> 'bnode'),
+f1 AS MATERIALIZED (SELECT query_id, s AS node FROM h1 WHERE s_kind = 'uri' UNION SELECT query_id, o FROM h1 WHERE o_kind = 'uri' AND p <> '{v.TYPE}' EXCEPT SELECT query_id, node FROM seeds),
+h2 AS (SELECT query_id, e.* FROM f1 JOIN edges e ON e.s = node UNION SELECT query_id, e.* FROM f1 JOIN edges e ON e.o = node AND e.s_kind <> 'bnode')
+SELECT query_id, 1 AS hop, s, p, o FROM h1 UNION ALL SELECT query_id, 2, s, p, o FROM h2 z WHERE NOT EXISTS (SELECT 1 FROM h1 y WHERE y.query_id = z.query_id AND y.s = z.s AND y.p = z.p AND y.o = z.o)""",
     "kg_beam_expand": f"""WITH {_FACTS}, edges AS MATERIALIZED (SELECT * FROM t WHERE p NOT IN ({_list(v.SKIPPED_PREDICATES)})), {_L},
 told_as AS MATERIALIZED (SELECT s, p, CASE WHEN o_kind IN ('bnode', 'uri') THEN o WHEN kind = 'quantity' THEN value_lex ELSE o END AS obj, text FROM facts),
 start AS MATERIALIZED (SELECT l.query_id, x.text AS query, l.node AS seed, l.node FROM links l JOIN texts x USING (query_id) QUALIFY row_number() OVER (PARTITION BY l.query_id, l.node ORDER BY l.rank) = 1),
@@ -377,7 +394,7 @@ f1 AS MATERIALIZED (SELECT query_id, query, seed, node FROM e1 QUALIFY row_numbe
 {_beam(2, "f1")}
 SELECT query_id, 1 AS hop, s, p, o, text, score FROM b1 UNION ALL SELECT query_id, 2, s, p, o, text, score FROM b2""",
     "kg_type_expansion": f"""WITH {_EDGES}, {_QV}, {_L}, {_HOP1}, got AS MATERIALIZED (SELECT DISTINCT query_id, s, p, o FROM hop1),
-k AS (SELECT DISTINCT query_id FROM got WHERE p = '{v.TYPE}'),
+k AS (SELECT DISTINCT query_id FROM got WHERE p = '{v.TYPE}' AND starts_with(o, '{v.NS}') AND o NOT IN ({_list(v.GENERAL_TYPES)})),
 m AS (SELECT query_id, p FROM (SELECT query_id, p, count(*) AS n FROM got WHERE p IN ({_list(v.QUANTITY_PROPERTIES)}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, p) = 1),
 f AS (SELECT t.s, t.p, t.o, q.value_lex FROM t JOIN qv q ON q.qid = t.o WHERE t.p IN ({_list(v.QUANTITY_PROPERTIES)}) AND t.o_kind = 'bnode' AND t.s_kind = 'uri' AND q.unit_uri IS NOT NULL QUALIFY row_number() OVER (PARTITION BY t.p ORDER BY t.s, t.o) <= 30)
 SELECT query_id, f.s, f.p, f.o, f.value_lex FROM m JOIN k USING (query_id) JOIN f USING (p)""",
@@ -408,12 +425,7 @@ SELECT DISTINCT p.node, p.text, p.base AS alias FROM paren p WHERE base <> '' AN
     "kg_quantity_conflicts": f"WITH {_QL} SELECT s, p, list_sort(list_distinct(list(concat_ws(' ', value_lex, unit_uri)))) AS readings FROM ql GROUP BY s, p HAVING len(readings) > 1",
     "kg_label_unlabeled": f"WITH {_T} SELECT node, {_derived('node')} AS label FROM (SELECT DISTINCT s AS node FROM t WHERE p = '{v.TYPE}' AND s_kind = 'uri' AND starts_with(s, '{v.NS}') AND s NOT IN (SELECT s FROM t WHERE p = '{v.LABEL}'))",
     "link_entities": f"WITH {_L} SELECT query_id, rank, node, label FROM links",
-    "link_fuzzy_stems": f"""WITH {_TEXTS}, {_INDEX},
-st AS (SELECT label, node, list_transform({_content('label')}, lambda w: substr(w, 1, greatest(4, length(w) - 3))) AS stems FROM ix),
-one AS (SELECT label, node, len(stems) AS n, unnest(stems) AS stem, unnest(generate_series(0, len(stems) - 1)) AS i FROM st WHERE len(stems) > 0),
-pre AS (SELECT DISTINCT query_id, substr(w, 1, CAST(k AS BIGINT)) AS stem FROM (SELECT query_id, w, unnest(generate_series(4, length(w))) AS k FROM (SELECT query_id, unnest({_content('text')}) AS w FROM texts))),
-hit AS (SELECT query_id, node, label, n, count(*) AS hits, count(*) FILTER (i < 2) AS firsts FROM pre JOIN one USING (stem) GROUP BY 1, 2, 3, 4)
-SELECT query_id, node, label FROM hit WHERE hits = n OR (n >= 3 AND (hits >= n - 1 OR firsts = 2))""",
+    "link_fuzzy_stems": f"WITH {_TEXTS}, {_INDEX}, {_FUZZY} SELECT query_id, node, label FROM fuzzy",
 }
 
 # the same SQL over the parts, which stand in for the triples
