@@ -154,9 +154,13 @@ def link_fuzzy_stems(spark, d):
     return linking.fuzzy_linked(_texts(spark, d), linking.label_index(_t(spark, d)))
 
 
-def _quantities(spark: SparkSession, d: str) -> DataFrame:
+def _read_quantities(spark: SparkSession, d: str) -> DataFrame:
     # read by the mixtures and by what they are applied to
-    read = settled(quantities.read_quantities(quantities.nodes(_t(spark, d)), table(spark, d, "unit_items")), "quantities")
+    return settled(quantities.read_quantities(quantities.nodes(_t(spark, d)), table(spark, d, "unit_items")), "quantities")
+
+
+def _quantities(spark: SparkSession, d: str) -> DataFrame:
+    read = _read_quantities(spark, d)
     return quantities.with_inferred(read, quantities.mixtures(read))
 
 
@@ -172,6 +176,11 @@ def p4_report(spark, d):
     return quantities.unit_report(_quantities(spark, d))
 
 
+def p4_mixture(spark, d):
+    """How well units are told where they are missing, by property."""
+    return quantities.held_out(_read_quantities(spark, d))
+
+
 def _part_triples(spark: SparkSession, d: str) -> DataFrame:
     """Parts as a graph with namesakes: the label is name and size, for every other part with its type after it."""
     p = table(spark, d, "part").filter("p_name IS NOT NULL AND p_type IS NOT NULL")
@@ -205,7 +214,7 @@ QUERIES = {
         kg_star_triples, kg_top10_quantity, kg_labels, kg_facts, kg_fact_metadata, kg_fact_prefilter, kg_type_census, kg_degree, kg_snapshot, kg_nhop_1, kg_nhop_2, kg_beam_expand,
         kg_type_expansion, kg_hop_distance, kg_subgraph, kg_merge_duplicate_labels, kg_ambiguous_labels, kg_merged_graph, kg_type_qualified_pairs, kg_bare_alias,
         kg_placeholder_values, kg_unit_canon, kg_quantity_dedupe, kg_quantity_conflicts, kg_label_unlabeled, kg_curation_report, link_entities, link_fuzzy_stems,
-        p4_found, p4_quantities, p4_report,
+        p4_found, p4_quantities, p4_report, p4_mixture,
     )
 }
 
