@@ -6,9 +6,14 @@ over the query, so a limit is per query and never depends on the order of rows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions import vocabulary as v
+from ..functions.arrow import pieces
 from ..functions.text import bound, keywords, stem, words
 
 
@@ -30,6 +35,41 @@ def stem_score(query: Column, text: Column) -> Column:
     return bound(keywords(query), both)
 
 
+def word_overlap(queries: list[str], texts: list[str]) -> list[float]:
+    """A stand-in for a model that scores pairs: the keywords that a text shares with the query, in thousandths of its own."""
+    known: dict = {}
+
+    def own(text):
+        if text not in known:
+            known[text] = {w for w in (text or "").lower().split() if len(w) > 2 and w not in v.STOP_WORDS}
+        return known[text]
+
+    return [float(1000 * len(own(q) & own(t)) // (1 + len(own(t)))) for q, t in zip(queries, texts)]
+
+
+def model_scores(rows: DataFrame, query: str, text: str, model, out: str = "score", batch: int = 64) -> DataFrame:
+    """Rows with the score that a model for pairs (queries, texts) -> scores gives, called for batches in Python
+    workers: it is loaded there once, by its first call. A null among the texts scores 0."""
+    kept = rows.schema
+    schema = pa.schema([*to_arrow_schema(kept), pa.field(out, pa.float64())])
+
+    def run(batches):
+        for b in pieces(batches, rows=batch):
+            q, t = b.column(kept.names.index(query)).to_pylist(), b.column(kept.names.index(text)).to_pylist()
+            at = [k for k in range(len(q)) if q[k] is not None and t[k] is not None]
+            scores = [0.0] * len(q)
+            for k, s in zip(at, model([q[k] for k in at], [t[k] for k in at]) if at else ()):
+                scores[k] = float(s)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], schema=schema)
+
+    return rows.mapInArrow(run, StructType([*kept.fields, StructField(out, DoubleType())]))
+
+
+def reranked(candidates: DataFrame, model=word_overlap, k: int | None = None) -> DataFrame:
+    """Candidates (query_id, query, cand_id, text) ranked by a model for pairs, the first k of each query."""
+    return ranked(model_scores(candidates, "query", "text", model, "_model"), F.col("_model"), k).drop("_model")
+
+
 SCORES = {"lexical": lexical_score, "stem": stem_score}
 
 

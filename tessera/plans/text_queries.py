@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vocabulary as v
-from ..operators import chunking, dataset, evaluation, extraction, graph, ranking, vectors
+from ..operators import chunking, dataset, evaluation, evidence, extraction, graph, ranking, vectors
 from ..sources.tables import settled, spread, table
 from . import graph_queries as gq
-from .graph_queries import _list, _squeeze, _strip
+from .graph_queries import _list, _squeeze, _strip, keywords_sql
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +136,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     near = gq.kg_nhop_1(spark, d).select("query_id", "s", "p", "o")
     f = graph.facts(table(spark, d, "triples")).withColumn("o", F.coalesce("object_bnode_id", "object_uri", "object_value"))
     told = near.join(f, (near["s"] == f["subject_uri"]) & (near["p"] == f["predicate_uri"]) & (near["o"] == f["o"]))
-    return told.select("query_id", F.col("text").alias("cand_id"), "text", "predicate_uri", "object_uri", "predicate_importance").join(gq._texts(spark, d).withColumnRenamed("text", "query"), "query_id")
+    return told.select("query_id", F.col("text").alias("cand_id"), "text", "subject_uri", "predicate_uri", "object_uri", "predicate_importance").join(gq._texts(spark, d).withColumnRenamed("text", "query"), "query_id")
 
 
 def rank_lexical(spark, d):
@@ -148,10 +148,13 @@ def rank_stem_lexical(spark, d):
 
 
 def vec_rerank_domain(spark, d):
-    """The domain score of each question's candidates, at one distance for all."""
-    c = _candidates(spark, d)
+    """The domain score of each question's candidates with the types of their subjects; the distance is the
+    closer the more keywords they share."""
+    kinds = graph.type_names(graph.triple_set(table(spark, d, "triples")), v.IGNORED_SUBJECT_TYPES).select(F.col("node").alias("subject_uri"), F.col("types").alias("subject_types"))
+    c = _candidates(spark, d).join(kinds, "subject_uri", "left")
     question = F.concat(F.lit("Колко е височината и площта на "), "query")
-    s = vectors.domain_score(question, F.lit(0.5), F.col("predicate_uri"), F.col("object_uri"), F.col("text"), F.col("predicate_importance"), F.lit(""))
+    distance = 1.0 / (1.0 + ranking.lexical_score(F.col("query"), F.col("text")))
+    s = vectors.domain_score(question, distance, F.col("predicate_uri"), F.col("object_uri"), F.col("text"), F.col("predicate_importance"), F.col("subject_types"))
     return ranking.ranked(c, -s, 10).select("query_id", "rank", "text", F.round(-F.col("score"), 4).alias("score"))
 
 
@@ -304,11 +307,10 @@ def eval_slices(spark, d):
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    """(model, id, answer, gold, recall, ctx_n): runs with the options as context."""
-    b = table(spark, d, "bench_items")
-    ctx = b.select("id", F.array_join(F.transform("options", lambda o: o["text"]), " ").alias("ctx"), dataset.gold_text(F.col("options"), F.col("correct_answer")).alias("gold_text"), F.size("options").alias("ctx_n"))
+    """(model, id, answer, gold, recall, ctx_n): runs with the first 15 documents of evidence as context."""
+    ctx = _evidence(spark, d).select("id", F.col("stem_15").alias("recall"), F.least("ctx_n", F.lit(15)).alias("ctx_n"))
     r = _runs(spark, d).join(ctx, "id")
-    return r.select("model", "source_dataset", "id", F.col("predicted").alias("answer"), "gold", F.when(F.col("gold") != "-", evaluation.recall_proxy(F.col("gold_text"), F.col("ctx"))).alias("recall"), F.when(F.col("predicted") == "-", 0).otherwise(F.col("ctx_n")).alias("ctx_n"))
+    return r.select("model", "source_dataset", "id", F.col("predicted").alias("answer"), "gold", F.when(F.col("gold") != "-", F.col("recall")).alias("recall"), F.when(F.col("predicted") == "-", 0).otherwise(F.col("ctx_n")).alias("ctx_n"))
 
 
 def eval_run_metrics(spark, d):
@@ -325,30 +327,33 @@ def eval_hybrid(spark, d):
     return evaluation.accuracy(mixed.withColumnRenamed("answer", "predicted"))
 
 
-def eval_recall_proxy(spark, d):
-    """Whether a question's gold answer occurs in the chunk texts of its own words: here in its answers."""
-    q = _questions(spark, d).filter("correct IS NOT NULL")
-    return q.select("id", evaluation.recall_proxy(F.col("correct"), F.array_join("answers", " ")).alias("recall")).distinct()
-
-
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    """(id, domain, ctx): benchmark items with the first documents that hold one of them, here their own options."""
+    """Benchmark items with whether the documents that share a name with them hold the gold answer: all, the
+    first 60 and the first 15 by three scorers."""
     b = table(spark, d, "bench_items")
     text = F.concat_ws(" ", "question", F.array_join(F.transform("options", lambda o: tx.option_text(o["text"])), " "))
-    return b.select("id", evaluation.domain(text).alias("domain"), dataset.gold_text(F.col("options"), F.col("correct_answer")).alias("gold"), F.transform("options", lambda o: o["text"]).alias("ctx"))
+    gold = b.select("id", evaluation.domain(text).alias("domain"), dataset.gold_text(F.col("options"), F.col("correct_answer")).alias("gold"))
+    placed = settled(evidence.ranked(b.select("id", "question"), spread(table(spark, d, "documents").select("doc_id", "text"))), "evidence")
+    return settled(evidence.recalls(gold, placed), "recalls")
+
+
+def eval_recall_proxy(spark, d):
+    """Whether a question's gold answer occurs in its evidence."""
+    return _evidence(spark, d).select("id", "ctx_n", "recall", F.col("stem_15").alias("recall_15"))
 
 
 def eval_coverage(spark, d):
+    """Coverage by domain of all evidence and of the first 60 and 15 by stems."""
     e = _evidence(spark, d)
-    return evaluation.coverage(e.select("domain", evaluation.recall_proxy(F.col("gold"), F.array_join(F.slice("ctx", 1, 2), " ")).alias("recall")))
+    parts = [evaluation.coverage(e.select("domain", F.col(c).alias("recall"))).withColumn("cut", F.lit(name)) for name, c in (("all", "recall"), ("60", "stem_60"), ("15", "stem_15"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def eval_survival(spark, d):
+    """How much of the evidence each scorer keeps among the first 60 and 15."""
     e = _evidence(spark, d)
-    arms = F.array(F.struct(F.lit("given").alias("arm"), F.col("ctx").alias("c")), F.struct(F.lit("reversed").alias("arm"), F.reverse("ctx").alias("c")), F.struct(F.lit("sorted").alias("arm"), F.array_sort("ctx").alias("c")))
-    one = e.select("gold", "ctx", F.explode(arms).alias("x"))
-    has = lambda c, n: evaluation.recall_proxy(F.col("gold"), F.array_join(F.slice(c, 1, n), " "))
-    return evaluation.survival(one.select("x.arm", has("ctx", 4).alias("oracle"), has("x.c", 2).alias("r60"), has("x.c", 1).alias("r15")))
+    arms = F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"{a}_60").alias("r60"), F.col(f"{a}_15").alias("r15")) for a in evidence.ARMS])
+    return evaluation.survival(e.select(F.col("recall").alias("oracle"), F.explode(arms).alias("x")).select("oracle", "x.*"))
 
 
 QUERIES = {
@@ -412,7 +417,7 @@ top AS MATERIALIZED (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION
 
 _COS = "1 - list_dot_product(q.e, x.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(x.e, x.e)))"
 _CAND = f"""{gq._FACTS}, edges AS MATERIALIZED (SELECT * FROM t WHERE p NOT IN ({_list(v.SKIPPED_PREDICATES)})), {gq._L}, {gq._HOP1},
-cand AS MATERIALIZED (SELECT h.query_id, x.text AS query, f.text, f.p, CASE WHEN f.o_kind = 'uri' THEN f.o END AS object_uri, {gq._IMPORTANCE.replace(' p ', ' f.p ').replace('(p,', '(f.p,')} AS imp FROM (SELECT DISTINCT query_id, s, p, o FROM hop1) h JOIN facts f ON f.s = h.s AND f.p = h.p AND h.o = CASE WHEN f.o_kind IN ('bnode', 'uri') THEN f.o WHEN f.kind = 'quantity' THEN f.value_lex ELSE f.o END JOIN texts x ON x.query_id = h.query_id)"""
+cand AS MATERIALIZED (SELECT h.query_id, x.text AS query, f.text, f.s, f.p, CASE WHEN f.o_kind = 'uri' THEN f.o END AS object_uri, {gq._IMPORTANCE.replace(' p ', ' f.p ').replace('(p,', '(f.p,')} AS imp FROM (SELECT DISTINCT query_id, s, p, o FROM hop1) h JOIN facts f ON f.s = h.s AND f.p = h.p AND h.o = CASE WHEN f.o_kind IN ('bnode', 'uri') THEN f.o WHEN f.kind = 'quantity' THEN f.value_lex ELSE f.o END JOIN texts x ON x.query_id = h.query_id)"""
 
 
 def _rank(score: str) -> str:
@@ -425,9 +430,10 @@ def _any(x: str, parts) -> str:
 
 _Q = "lower('Колко е височината и площта на ' || query)"
 _AFFINE = "(" + " OR ".join(f"(contains({_Q}, '{a}') AND contains(lower(split_part(p, '#', -1)), '{b}'))" for a, b in v.AFFINITY.items()) + ")"
-_DOMAIN_SCORE = f"""0.8 * 0.5 + 1.5 * imp
+_TYPED = f"(length(w) > 3 AND w NOT IN ({_list(v.PLAIN_NOUNS)}) AND contains(lower(coalesce(subject_types, '')), w) AND contains(lower(text), w))"
+_DOMAIN_SCORE = f"""0.8 * (1.0 / (1.0 + {gq.lexical_sql('query', 'text')})) + 1.5 * imp
  + CASE WHEN NOT coalesce(p = '{v.COUNTRY_PREDICATE}' AND object_uri = '{v.COUNTRY}', false) THEN 0.0 WHEN {_any(_Q, v.COUNTRY_ASKED)} THEN 0.0 WHEN {_any(_Q, v.COUNTRY_OFF)} THEN 60.0 ELSE 30.0 END
- + CASE WHEN {_any(_Q, v.QUANTITY_STEMS)} AND p IN ({_list(v.QUANTITY_PROPERTIES)}) THEN CASE WHEN {_AFFINE} THEN -60.0 ELSE -15.0 END ELSE 0.0 END
+ + CASE WHEN {_any(_Q, v.QUANTITY_STEMS)} AND p IN ({_list(v.QUANTITY_PROPERTIES)}) THEN CASE WHEN {_AFFINE} THEN -60.0 ELSE -15.0 END + CASE WHEN len(list_filter({_words(_Q)}, lambda w: {_TYPED})) > 0 THEN -5.0 ELSE 0.0 END ELSE 0.0 END
  + greatest(-20.0, -({gq.lexical_sql("'Колко е височината и площта на ' || query", 'text')}))"""
 _MAPPED = """um AS (SELECT current_url AS url, min(new_url) AS new_url FROM url_map WHERE current_url IS NOT NULL GROUP BY 1),
 ak AS (SELECT qid, url, min(correct) AS k FROM (SELECT a.qid, coalesce(m.new_url, a.url) AS url, a.correct FROM answer_keys a LEFT JOIN um m ON m.url = a.url) WHERE qid IS NOT NULL AND url IS NOT NULL AND correct BETWEEN 1 AND 4 GROUP BY 1, 2),
@@ -473,9 +479,16 @@ _ITEM = f"concat_ws(' ', question, array_to_string(list_transform(options, lambd
 _DOMAIN = "CASE " + " ".join(f"WHEN {_any('lower(' + _ITEM + ')', parts)} THEN '{name}'" for name, parts in v.DOMAINS.items()) + " ELSE 'bg_physical_geo' END"
 _HITSOF = {name: " + ".join(f"CAST(contains(lower(question), '{p}') AS INTEGER)" for p in parts) for name, parts in v.TOPICS.items()}
 _TOPIC = "CASE WHEN question IS NULL THEN NULL WHEN list_max([" + ", ".join(_HITSOF.values()) + "]) = 0 THEN 'other' ELSE [" + _list(v.TOPICS) + "][list_position([" + ", ".join(_HITSOF.values()) + "], list_max([" + ", ".join(_HITSOF.values()) + "]))] END"
-_CTX = "array_to_string(list_transform(options, lambda o: o.text), ' ')"
-_SCORED = f"{_RUNS}, scored AS MATERIALIZED (SELECT r.model, r.id, r.predicted AS answer, r.gold, CASE WHEN r.gold <> '-' THEN {_recall('b.gold_text', 'b.ctx')} END AS recall, CASE WHEN r.predicted = '-' THEN 0 ELSE b.n END AS ctx_n FROM runs r JOIN (SELECT id, {_CTX} AS ctx, {_GOLD} AS gold_text, len(options) AS n FROM bench_items) b USING (id))"
-_EVIDENCE = f"ev AS MATERIALIZED (SELECT id, {_DOMAIN} AS domain, {_GOLD} AS gold, list_transform(options, lambda o: o.text) AS ctx FROM bench_items)"
+_SHARE = f"1000 * len(list_intersect({keywords_sql('question')}, {keywords_sql('x.text')})) // (1 + len({keywords_sql('x.text')}))"
+_ARMS = [(a, n) for a in evidence.ARMS for n in evidence.CUTS]
+_EVIDENCE = f"""met AS MATERIALIZED (SELECT DISTINCT id, doc_id FROM (SELECT id, unnest(regexp_extract_all(question, '{evidence.NAME}')) AS w FROM bench_items) JOIN (SELECT doc_id, unnest(regexp_extract_all(text, '{evidence.NAME}')) AS w FROM documents) USING (w)),
+pl AS MATERIALIZED (SELECT id, doc_id, text, row_number() OVER (PARTITION BY id ORDER BY a DESC, doc_id) AS lexical, row_number() OVER (PARTITION BY id ORDER BY b DESC, doc_id) AS stem, row_number() OVER (PARTITION BY id ORDER BY c DESC, doc_id) AS pair
+  FROM (SELECT b.id, x.doc_id, x.text, {gq.lexical_sql('question', 'x.text')} AS a, {gq.stem_sql('question', 'x.text')} AS b, {_SHARE} AS c FROM met m JOIN bench_items b ON b.id = m.id JOIN documents x ON x.doc_id = m.doc_id)),
+gw AS MATERIALIZED (SELECT id, domain, CASE WHEN gold IS NULL OR gold = '' THEN [] WHEN len(long_words) > 0 THEN long_words ELSE [lower(gold)] END AS ws FROM (SELECT id, domain, gold, list_filter({_words('lower(gold)')}, lambda w: length(w) > 3) AS long_words FROM (SELECT id, {_DOMAIN} AS domain, {_GOLD} AS gold FROM bench_items))),
+hw AS (SELECT g.id, g.i, {', '.join(['max(h) AS recall'] + [f'max(h) FILTER ({a} <= {n}) AS {a}_{n}' for a, n in _ARMS])} FROM (SELECT id, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS i FROM gw) g JOIN (SELECT * FROM pl) p USING (id), LATERAL (SELECT CAST(contains(lower(p.text), g.w) AS INTEGER) AS h) GROUP BY 1, 2),
+ev AS MATERIALIZED (SELECT g.id, g.domain, coalesce(n.n, 0) AS ctx_n, {', '.join(f'coalesce(r.{k}, false) AS {k}' for k in ['recall'] + [f'{a}_{n}' for a, n in _ARMS])} FROM gw g
+  LEFT JOIN (SELECT id, {', '.join(f'sum(coalesce({k}, 0)) / count(*) >= 0.5 AS {k}' for k in ['recall'] + [f'{a}_{n}' for a, n in _ARMS])} FROM hw GROUP BY 1) r USING (id) LEFT JOIN (SELECT id, count(*) AS n FROM pl GROUP BY 1) n USING (id))"""
+_SCORED = f"{_RUNS}, {_EVIDENCE}, scored AS MATERIALIZED (SELECT r.model, r.id, r.predicted AS answer, r.gold, CASE WHEN r.gold <> '-' THEN e.stem_15 END AS recall, CASE WHEN r.predicted = '-' THEN 0 ELSE least(e.ctx_n, 15) END AS ctx_n FROM runs r JOIN ev e USING (id))"
 _HITTEXT = "(SELECT query_id, rank, text FROM hits)"
 
 ORACLE = {
@@ -501,7 +514,7 @@ ORACLE = {
     "vec_cosine_label_centers": "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), o AS (SELECT label, unnest(e) AS x, unnest(generate_series(1, len(e))) AS i FROM v), m AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM o GROUP BY 1, 2) GROUP BY 1) SELECT vec_id, v.label, round(list_dot_product(e, c) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(c, c)) + 1e-9), 6) AS similarity FROM v JOIN m USING (label)",
     "rank_lexical": _rank(gq.lexical_sql("query", "text")),
     "rank_stem_lexical": _rank(gq.stem_sql("query", "text")),
-    "vec_rerank_domain": f"WITH {_CAND} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, text) AS INTEGER) AS rank, text, round(score, 4) AS score FROM (SELECT query_id, text, CAST({_DOMAIN_SCORE} AS DOUBLE) AS score FROM cand) QUALIFY rank <= 10",
+    "vec_rerank_domain": f"WITH {_CAND}, {gq._TYPES}, st AS ({gq._type_names(v.IGNORED_SUBJECT_TYPES)}) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, text) AS INTEGER) AS rank, text, round(score, 4) AS score FROM (SELECT query_id, text, CAST({_DOMAIN_SCORE} AS DOUBLE) AS score FROM (SELECT c.*, st.types AS subject_types FROM cand c LEFT JOIN st ON st.node = c.s)) QUALIFY rank <= 10",
     "rank_two_stage_protected": f"""WITH {_CAND}, s AS (SELECT query_id, text AS cand_id, imp = 1 AS protected, {gq.lexical_sql('query', 'text')} AS a, {gq.stem_sql('query', 'text')} AS b FROM cand),
 h AS (SELECT *, count(*) FILTER (protected) OVER (PARTITION BY query_id) AS held, row_number() OVER (PARTITION BY query_id, protected ORDER BY a DESC, cand_id) AS ra FROM s),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, protected ORDER BY b DESC, cand_id) AS rb FROM h WHERE protected OR ra <= greatest(0, 40 - held))
@@ -535,7 +548,7 @@ SELECT query_id, cand_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
     "eval_run_metrics": f"WITH {_SCORED} SELECT model, n, {_pct('c', 'n')} AS accuracy, {_pct('a', 'n')} AS abstention, {_pct('r', 'n')} AS recall, round(CAST(x AS DOUBLE) / n, 4) AS avg_ctx FROM (SELECT model, count(*) AS n, count(*) FILTER (answer = gold) AS c, count(*) FILTER (answer IS NULL OR answer IN ('', '-')) AS a, count(*) FILTER (recall) AS r, sum(coalesce(ctx_n, 0)) AS x FROM scored GROUP BY 1)",
     "eval_console_metrics": f"WITH {_SCORED} SELECT model, {_pct('r', 'k')} AS recall, round(x, 4) AS avg_ctx FROM (SELECT model, count(recall) AS k, count(*) FILTER (recall) AS r, avg(nullif(ctx_n, 0)) AS x FROM scored GROUP BY 1)",
     "eval_hybrid": f"WITH {_SCORED}, h AS (SELECT CASE WHEN b.answer IS NULL OR b.answer IN ('', '-') THEN coalesce(a.answer, b.answer) ELSE b.answer END AS predicted, b.gold FROM (SELECT * FROM scored WHERE model = 'model-b') b LEFT JOIN (SELECT id, answer FROM scored WHERE model = 'model-a') a USING (id)) {_accuracy('h', '')}",
-    "eval_recall_proxy": f"SELECT DISTINCT id, {_recall('correct', '''array_to_string(answers, ' ')''')} AS recall FROM questions WHERE correct IS NOT NULL",
-    "eval_coverage": f"WITH {_EVIDENCE}, r AS (SELECT domain, {_recall('gold', '''array_to_string(ctx[1:2], ' ')''')} AS recall FROM ev), x AS (SELECT * FROM r UNION ALL SELECT 'in_scope', recall FROM r WHERE domain <> 'world_geo' UNION ALL SELECT 'all', recall FROM r) SELECT domain, n, covered, {_pct('(n - covered)', 'n')} AS gap_rate FROM (SELECT domain, count(*) AS n, count(*) FILTER (recall) AS covered FROM x GROUP BY 1)",
-    "eval_survival": f"WITH {_EVIDENCE}, a AS (SELECT gold, ctx, 'given' AS arm, ctx AS c FROM ev UNION ALL SELECT gold, ctx, 'reversed', list_reverse(ctx) FROM ev UNION ALL SELECT gold, ctx, 'sorted', list_sort(ctx) FROM ev), r AS (SELECT arm, {_recall('gold', '''array_to_string(c[1:2], ' ')''')} AS r60, {_recall('gold', '''array_to_string(c[1:1], ' ')''')} AS r15 FROM a WHERE {_recall('gold', '''array_to_string(ctx[1:4], ' ')''')}) SELECT arm, oracle, {_pct('a', 'oracle')} AS at_60, {_pct('b', 'oracle')} AS at_15 FROM (SELECT arm, count(*) AS oracle, count(*) FILTER (r60) AS a, count(*) FILTER (r15) AS b FROM r GROUP BY 1)",
+    "eval_recall_proxy": f"WITH {_EVIDENCE} SELECT id, ctx_n, recall, stem_15 AS recall_15 FROM ev",
+    "eval_coverage": f"WITH {_EVIDENCE}, r AS (SELECT domain, 'all' AS cut, recall FROM ev UNION ALL SELECT domain, '60', stem_60 FROM ev UNION ALL SELECT domain, '15', stem_15 FROM ev), x AS (SELECT * FROM r UNION ALL SELECT 'in_scope', cut, recall FROM r WHERE domain <> 'world_geo' UNION ALL SELECT 'all', cut, recall FROM r) SELECT domain, cut, n, covered, {_pct('(n - covered)', 'n')} AS gap_rate FROM (SELECT domain, cut, count(*) AS n, count(*) FILTER (recall) AS covered FROM x GROUP BY 1, 2)",
+    "eval_survival": f"WITH {_EVIDENCE}, a AS ({' UNION ALL '.join(f"SELECT '{a}' AS arm, {a}_60 AS r60, {a}_15 AS r15 FROM ev WHERE recall" for a in evidence.ARMS)}) SELECT arm, oracle, {_pct('a', 'oracle')} AS at_60, {_pct('b', 'oracle')} AS at_15 FROM (SELECT arm, count(*) AS oracle, count(*) FILTER (r60) AS a, count(*) FILTER (r15) AS b FROM a GROUP BY 1)",
 }
