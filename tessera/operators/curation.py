@@ -58,7 +58,13 @@ def merge_map(triples: DataFrame) -> DataFrame:
     t = g.triple_set(triples)
     member = label_keys(t).join(label_groups(t).filter("shared > 0"), "key")
     least = member.groupBy("key").agg(F.min("node").alias("b"))
-    root = components(member.join(least, "key").select(F.col("node").alias("a"), "b"))
+    return kept_of(member.join(least, "key").select(F.col("node").alias("a"), "b"), t)
+
+
+def kept_of(pairs: DataFrame, t: DataFrame) -> DataFrame:
+    """(node, kept) of the components of pairs (a, b): a uri before a blank node, then the highest degree,
+    then the smallest."""
+    root = components(pairs)
     ends = t.select(F.col("s").alias("node"), F.col("s_kind").alias("kind")).unionAll(t.filter("o_kind <> 'literal'").select("o", "o_kind"))
     degree = ends.groupBy("node").agg(F.count("*").alias("degree"), F.max((F.col("kind") == "uri").cast("int")).alias("is_uri"))
     best = root.join(degree, "node").groupBy("root").agg(F.min_by("node", F.struct(-F.col("is_uri"), -F.col("degree"), "node")).alias("kept"))
@@ -111,6 +117,17 @@ def type_qualified_pairs(triples: DataFrame) -> DataFrame:
     return shared.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def merge_type_qualified(triples: DataFrame) -> DataFrame:
+    """The triples with each subject labelled ``X (type)`` or ``X type`` and its namesake X as one."""
+    t = settled(g.triple_set(triples), "triples")
+    return rewritten(t, kept_of(type_qualified_pairs(t), t))
+
+
+def with_aliases(triples: DataFrame) -> DataFrame:
+    """The triples and the labels that ``bare_aliases`` finds."""
+    return with_labels(triples, bare_aliases(triples).select("node", F.col("alias").alias("label")))
+
+
 def bare_aliases(triples: DataFrame) -> DataFrame:
     """(node, text, alias): subjects with the one label ``X (type)`` where nobody else is labelled X."""
     t = g.triple_set(triples)

@@ -83,13 +83,37 @@ def overlap(pool: DataFrame, known: DataFrame, new_only: bool = False, compose:
     return a.join(b, "_key", "left_anti" if new_only else "left_semi").drop("_key")
 
 
+def annotated(pool: DataFrame, known: DataFrame, compose: bool = True) -> DataFrame:
+    """The pool with ``known``: whether a question is among the known ones."""
+    a = pool.withColumn("_key", question_key(F.col("question"), compose))
+    b = known.select(question_key(F.col("question"), compose).alias("_key")).filter("_key IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    return a.join(b, "_key", "left").withColumn("known", F.coalesce("known", F.lit(False))).drop("_key")
+
+
+def merged_batches(batches: DataFrame, key: str = "question", order: list[str] = (), dedupe: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows of all batches, and (rows, repeated). Repeated rows stay unless ``dedupe``: then the first of
+    each key by ``order`` is kept."""
+    counts = batches.agg(F.count("*").alias("rows"), (F.count(key) - F.count_distinct(key)).alias("repeated"))
+    return (first_of(batches, [key], list(order) or [key]) if dedupe else batches), counts
+
+
+def ordinals(df: DataFrame, key: str, out: str = "ordinal") -> DataFrame:
+    """With the place of each row by key, from 0: counts of range partitions, not one global window."""
+    ordered = settled(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ordinals")
+    w = Window.orderBy("least")  # one row for each partition
+    before = ordered.groupBy("_part").agg(F.count("*").alias("c"), F.min(key).alias("least")).select("_part", (F.sum("c").over(w) - F.col("c")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1 + F.col("before")
+    return ordered.join(before, "_part").withColumn(out, place.cast("bigint")).drop("_part", "before")
+
+
 def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """About n rows, each stratum by its share (rounded half to even, one at least), drawn by the hash of seed and key."""
+    """n rows (or all), each stratum by its share (rounded half to even, one at least), drawn by the hash of seed
+    and key. Where the shares give fewer than n, the next ones by hash are added, where more, the last are left out."""
     sizes = df.groupBy(F.coalesce(stratum, F.lit("unknown")).alias("_s")).agg(F.count("*").alias("_c"))
     total = sizes.agg(F.sum("_c").alias("_t"))
     quota = sizes.join(F.broadcast(total)).withColumn("_q", F.greatest(F.lit(1), F.bround(F.col("_c") * n / F.col("_t")).cast("int"))).select("_s", "_q")
     order = F.row_number().over(Window.partitionBy("_s").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key))
-    return df.withColumn("_s", F.coalesce(stratum, F.lit("unknown"))).withColumn("_n", order).join(F.broadcast(quota), "_s").filter("_n <= _q").drop("_s", "_n", "_q")
+    return df.withColumn("_s", F.coalesce(stratum, F.lit("unknown"))).withColumn("_n", order).join(F.broadcast(quota), "_s").withColumn("_in", F.col("_n") <= F.col("_q")).orderBy(F.desc("_in"), F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n).drop("_s", "_n", "_q", "_in")
 
 
 def pending(questions: DataFrame, done: DataFrame, key: str = "id", retry_errors: bool = False) -> DataFrame:

@@ -19,6 +19,11 @@ def accuracy(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     return seen.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(F.expr("predicted = gold")).alias("correct")).withColumn("accuracy", percent(F.col("correct"), F.col("total")))
 
 
+def errors(rows: DataFrame) -> DataFrame:
+    """The rows (predicted, gold, ...) that ``accuracy`` counts as wrong."""
+    return rows.filter("predicted IS NOT NULL AND predicted <> '' AND gold IS NOT NULL AND predicted <> gold")
+
+
 def model_answers(items: DataFrame) -> DataFrame:
     """(id, source_dataset, model, predicted, gold) of benchmark items, one row for each model's answer."""
     return items.select("id", F.coalesce("source_dataset", F.lit("unknown")).alias("source_dataset"), F.explode("model_answers").alias("model", "predicted"), F.col("correct_answer").alias("gold"))

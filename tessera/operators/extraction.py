@@ -58,7 +58,9 @@ def relevant_names(names: DataFrame, texts: DataFrame, k: int = 300) -> DataFram
     parts = parts.distinct().withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("name"))).filter(F.col("n") <= k).drop("n")
     low = texts.filter(F.length("text") >= 4).select("text_id", F.lower("text").alias("low"))
     starts = low.select("text_id", "low", F.posexplode(F.transform(F.array("low"), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 3), lambda i: F.substring(x, i, F.lit(4))))[0]).alias("at", "start"))
-    held = starts.join(parts, "start").filter(F.substring(F.col("low"), F.col("at") + 1, F.length("part")) == F.col("part")).select("text_id", "name").distinct()
+    dealt = starts.withColumn("part_no", F.pmod(F.xxhash64("text_id", "at"), F.lit(8)).cast("int"))
+    each = parts.withColumn("part_no", F.explode(F.array(*map(F.lit, range(8)))))
+    held = dealt.join(each, ["start", "part_no"]).filter(F.substring(F.col("low"), F.col("at") + 1, F.length("part")) == F.col("part")).select("text_id", "name").distinct()
     return held.withColumn("n", F.row_number().over(Window.partitionBy("text_id").orderBy("name"))).filter(F.col("n") <= k).drop("n")
 
 

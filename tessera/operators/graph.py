@@ -189,6 +189,22 @@ def type_census(triples: DataFrame) -> DataFrame:
     return types(triple_set(triples)).groupBy(local_name(F.col("type")).alias("type_name")).agg(F.count("*").alias("n"))
 
 
+def census_change(before: DataFrame, after: DataFrame, k: int = 40) -> DataFrame:
+    """(type_name, before, after): the k most frequent types of two graphs, by the first one's counts."""
+    a, b = type_census(before).withColumnRenamed("n", "before"), type_census(after).withColumnRenamed("n", "after")
+    both = a.join(b, "type_name", "full").select("type_name", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+    return both.orderBy(F.desc("before"), F.desc("after"), "type_name").limit(k)
+
+
+def snapshot_names(triples: DataFrame) -> DataFrame:
+    """(what, name): classes in use, properties and typed instances of the namespace by local name."""
+    t = triple_set(triples)
+    own = lambda c: F.startswith(c, F.lit(v.NS))
+    row = lambda df, what, c: df.select(F.lit(what).alias("what"), local_name(F.col(c)).alias("name"))
+    parts = [row(t.filter((F.col("p") == v.TYPE) & own("o")), "class", "o"), row(t.filter(own("p")), "property", "p"), row(t.filter((F.col("p") == v.TYPE) & (F.col("s_kind") == "uri") & own("s")), "instance", "s")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
 def snapshot(triples: DataFrame) -> DataFrame:
     """(what, n): classes in use, predicates, typed instances, schema triples."""
     t = triple_set(triples)

@@ -12,6 +12,14 @@ from ..functions.text import bound, stem, stripped, words
 SHORTEST = 4
 
 
+#: Parts over which the texts that meet at one key are dealt, however many they are.
+SALTS = 8
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    return df.withColumn("part", F.explode(F.array(*map(F.lit, range(SALTS)))))
+
+
 def label_index(triples: DataFrame) -> DataFrame:
     """(label, node): labels in lower case of at least four characters, one node (the largest) each."""
     t = triples.filter((F.col("p") == v.LABEL) & (F.col("o_kind") == "literal") & F.col("s").isNotNull())
@@ -28,7 +36,9 @@ def linked(texts: DataFrame, index: DataFrame, k: int = v.LINKED_ONLINE) -> Data
     low = F.lower("text")
     starts = bound(low, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - SHORTEST + 1), lambda i: F.substring(x, i, F.lit(SHORTEST))))
     places = texts.filter(F.length(low) >= SHORTEST).select("query_id", low.alias("low"), F.posexplode(starts).alias("at", "start"))
-    met = places.join(index.withColumn("start", F.substring("label", 1, SHORTEST)), "start")
+    # a start like the four letters of a common word may stand anywhere: its places are dealt over parts
+    dealt = places.withColumn("part", F.pmod(F.xxhash64("query_id", "at"), F.lit(SALTS)).cast("int"))
+    met = dealt.join(_repeated(index.withColumn("start", F.substring("label", 1, SHORTEST))), ["start", "part"])
     held = met.filter(F.substring(F.col("low"), F.col("at") + 1, F.length("label")) == F.col("label")).select("query_id", "label", "node").distinct()
     one = held.groupBy("query_id", "node").agg(F.min_by("label", F.struct(-F.length("label"), "label")).alias("label"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.length("label")), "label"))
@@ -48,7 +58,8 @@ def fuzzy_linked(texts: DataFrame, index: DataFrame) -> DataFrame:
     one = stems.select("label", "node", F.size("stems").alias("n"), F.posexplode("stems").alias("i", "stem"))
     prefixes = F.flatten(F.transform(content_words(F.col("text")), lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.length(w)), lambda k: F.substring(w, F.lit(1), k))))
     own = texts.select("query_id", F.explode(F.array_distinct(prefixes)).alias("stem"))
-    hits = own.join(one, "stem").groupBy("query_id", "node", "label", "n").agg(F.count("*").alias("hits"), F.count_if(F.col("i") < 2).alias("first"))
+    dealt = own.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
+    hits = dealt.join(_repeated(one), ["stem", "part"]).groupBy("query_id", "node", "label", "n").agg(F.count("*").alias("hits"), F.count_if(F.col("i") < 2).alias("first"))
     return hits.filter("hits = n OR (n >= 3 AND (hits >= n - 1 OR first = 2))").select("query_id", "node", "label")
 
 

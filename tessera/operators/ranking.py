@@ -35,6 +35,17 @@ def stem_score(query: Column, text: Column) -> Column:
     return bound(keywords(query), both)
 
 
+def ready(text: Column) -> Column:
+    """What the stem score needs of a text: its keywords, their stems, and the text in lower case."""
+    return bound(keywords(text), lambda k: F.struct(k.alias("words"), F.array_distinct(F.transform(k, stem)).alias("stems"), F.lower(text).alias("low")))
+
+
+def ready_stem_score(query: str, text: str) -> Column:
+    """``stem_score`` of two columns made by ``ready``."""
+    q, t = F.col(query), F.col(text)
+    return _lexical(q["words"], t["low"]) + F.aggregate(F.array_intersect(q["stems"], t["stems"]), F.lit(0), lambda s, w: s + F.length(w))
+
+
 def word_overlap(queries: list[str], texts: list[str]) -> list[float]:
     """A stand-in for a model that scores pairs: the keywords that a text shares with the query, in thousandths of its own."""
     known: dict = {}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as v
 from ..functions.arrow import pieces, record
 from ..functions.text import bound, holds_any, keywords, words
+from .dataset import ordinals
 
 METRICS = ("cosine", "l2", "ip")
 #: Queries that are sent to the tasks at once.
@@ -31,6 +32,31 @@ def distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarr
     return 1.0 - dot / np.maximum(np.sqrt(q) * np.sqrt(x), 1e-30)
 
 
+class _Best:
+    """The k nearest of each of some queries, from distances that come in blocks."""
+
+    def __init__(self, rows: int, k: int):
+        self.k, self.parts, self.held = k, [], 0
+        self.most = max(1 << 16, 4 * rows * k)
+
+    def add(self, d: np.ndarray, ids: np.ndarray) -> None:
+        k = min(self.k, d.shape[1])
+        row, col = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+        self.parts.append((row, d[row, col], ids[col]))
+        self.held += len(row)
+        if self.held > self.most:
+            self.parts = [self.done()]
+            self.held = len(self.parts[0][0])
+
+    def done(self):
+        row, dist, who = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        order = np.lexsort((who, dist, row))
+        row, dist, who = row[order], dist[order], who[order]
+        first = np.searchsorted(row, row)  # where each query's own begin
+        kept = (np.arange(len(row)) - first < self.k) & np.isfinite(dist)
+        return row[kept], dist[kept], who[kept]
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
     """(query_id, vec_id, rank, distance): the k nearest vectors (vec_id, embedding) of each query
     (query_id, embedding), exactly; ties by vec_id. Null vectors and other lengths than the query's match nothing.
@@ -48,25 +74,25 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
         sent = vectors.sparkSession.sparkContext.broadcast({n: (np.array([i for i, _ in b]), np.array([x for _, x in b], float)) for n, b in by_length.items()})
 
         def run(batches):
-            best: dict = {}
+            best = {n: _Best(len(qid), k) for n, (qid, _) in sent.value.items()}
             for b in pieces(batches, rows=2000):
-                ids, flat = b.column(0).to_pylist(), b.column(1).to_pylist()
+                held, lists = b.column(0).is_valid().to_numpy(zero_copy_only=False), b.column(1)
+                length = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+                ids, flat = b.column(0).fill_null(0).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+                at = np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
                 for n, (qid, q) in sent.value.items():
-                    own = [(i, x) for i, x in zip(ids, flat) if i is not None and x is not None and len(x) == n and None not in x]
-                    if not own:
-                        continue
-                    vid = np.array([i for i, _ in own])
-                    d = distances(q, np.array([x for _, x in own], float), metric)
-                    if exclude_self:
-                        d[qid[:, None] == vid[None, :]] = np.inf
-                    for row in range(len(qid)):
-                        at = np.flatnonzero(d[row] <= np.partition(d[row], k - 1)[k - 1]) if len(vid) > k else np.arange(len(vid))
-                        old = best.get((n, row))
-                        dist, who = (d[row, at], vid[at]) if old is None else (np.append(old[0], d[row, at]), np.append(old[1], vid[at]))
-                        order = np.lexsort((who, dist))[:k]
-                        best[n, row] = dist[order], who[order]
-            got = [(int(sent.value[n][0][row]), int(i), float(x)) for (n, row), (dist, who) in best.items() for x, i in zip(dist, who) if np.isfinite(x)]
-            yield record(out, *(map(list, zip(*got)) if got else [[], [], []]))
+                    own = np.flatnonzero(held & (length == n))
+                    x = flat[at[own][:, None] + np.arange(n)]
+                    whole = np.isfinite(x).all(1)  # a null in a vector reads as no number
+                    own, x = own[whole], x[whole]
+                    if len(own):
+                        d = distances(q, x, metric)
+                        if exclude_self:
+                            d[qid[:, None] == ids[own][None, :]] = np.inf
+                        best[n].add(d, ids[own])
+            for n, found in best.items():
+                row, dist, who = found.done()
+                yield record(out, pa.array(sent.value[n][0][row]), pa.array(who), pa.array(dist))
 
         return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, distance double")
 
@@ -120,12 +146,50 @@ def cached_vectors(texts: DataFrame, cache: DataFrame, embed) -> DataFrame:
     return known.unionByName(embed(one.join(cache.select("text"), "text", "left_anti")).withColumn("hit", F.lit(False)))
 
 
-def write_collection(vectors: DataFrame, path: str, collection: str, metric: str = "cosine") -> None:
-    """Vectors (vec_id, embedding, ...) as a collection of a store, in place of an older one of that name."""
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    vectors.withColumn("metric", F.lit(metric)).write.mode("overwrite").parquet(f"{path}/collection={collection}")
-
-
-def read_collection(spark, path: str, collection: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/collection={collection}")
+class Store:
+    """Collections of vectors (vec_id, embedding, ...) by name, in a folder, or in memory where none is given.
+
+    A collection's metric is stored beside it, so it can be changed without touching a vector; a search by
+    another metric than the stored one is refused."""
+
+    def __init__(self, spark, path: str | None = None):
+        self.spark, self.path, self._held = spark, path, {}
+
+    def write(self, collection: str, vectors: DataFrame, metric: str = "cosine") -> None:
+        """In place of an older collection of that name. Rows without vec_id get their place by text from 0."""
+        if metric not in METRICS:
+            raise ValueError(f"metric must be one of {METRICS}")
+        if "vec_id" not in vectors.columns:
+            vectors = ordinals(vectors, "text", "vec_id")
+        if self.path is None:
+            self._held[collection] = [vectors.persist(), metric]
+            return
+        vectors.write.mode("overwrite").parquet(f"{self.path}/collection={collection}")
+        self.change_metric(collection, metric)
+
+    def read(self, collection: str) -> DataFrame:
+        return self._held[collection][0] if self.path is None else self.spark.read.parquet(f"{self.path}/collection={collection}")
+
+    def count(self, collection: str) -> int:
+        return self.read(collection).count()
+
+    def dump(self, collection: str) -> DataFrame:
+        """(text, vector): what a cache of embeddings is filled with."""
+        return self.read(collection).select("text", F.col("embedding").alias("vector")).filter("text IS NOT NULL")
+
+    def metric(self, collection: str) -> str:
+        return self._held[collection][1] if self.path is None else self.spark.read.parquet(f"{self.path}/metric/of={collection}").first()[0]
+
+    def change_metric(self, collection: str, metric: str) -> None:
+        if metric not in METRICS:
+            raise ValueError(f"metric must be one of {METRICS}")
+        if self.path is None:
+            self._held[collection][1] = metric
+        else:
+            self.spark.createDataFrame([(metric,)], "metric string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/metric/of={collection}")
+
+    def search(self, collection: str, queries: DataFrame, k: int, metric: str | None = None) -> DataFrame:
+        own = self.metric(collection)
+        if metric not in (None, own):
+            raise ValueError(f"collection {collection!r} is made for {own}, not {metric}")
+        return top_k(queries, self.read(collection), k, own)

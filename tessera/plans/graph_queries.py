@@ -207,9 +207,33 @@ def part_bare_alias(spark, d):
     return curation.bare_aliases(_part_triples(spark, d))
 
 
+def part_merged_graph(spark, d):
+    return curation.merge_duplicate_labels(_part_triples(spark, d))
+
+
+def part_type_qualified_merge(spark, d):
+    return curation.merge_type_qualified(_part_triples(spark, d))
+
+
+def part_aliased_graph(spark, d):
+    return curation.with_aliases(_part_triples(spark, d))
+
+
+def kg_census_change(spark, d):
+    """The most frequent types of the graph and of the part around what texts link to."""
+    t = settled(graph.triple_set(_t(spark, d)), "triples")
+    kept = graph.subgraph(t, _seeds(spark, d))
+    return graph.census_change(t, t.join(kept, ["s", "p", "o"], "left_semi"))
+
+
+def kg_snapshot_names(spark, d):
+    return graph.snapshot_names(_t(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        part_merged_graph, part_type_qualified_merge, part_aliased_graph, kg_census_change, kg_snapshot_names,
         part_merge_labels, part_ambiguous_labels, part_type_qualified_pairs, part_bare_alias,
         kg_star_triples, kg_top10_quantity, kg_labels, kg_facts, kg_fact_metadata, kg_fact_prefilter, kg_type_census, kg_degree, kg_snapshot, kg_nhop_1, kg_nhop_2, kg_beam_expand,
         kg_type_expansion, kg_hop_distance, kg_subgraph, kg_merge_duplicate_labels, kg_ambiguous_labels, kg_merged_graph, kg_type_qualified_pairs, kg_bare_alias,
@@ -417,6 +441,7 @@ kept AS MATERIALIZED (SELECT s, p, o, o_kind FROM own WHERE is_schema
   OR (near AND NOT (p IN ('{v.NS}имаОписание', '{v.COMMENT}') AND length(o) > {v.DESCRIPTION_CHARS} AND NOT seed) AND NOT (o_kind = 'uri' AND starts_with(o, '{v.NS}') AND o_far AND NOT o_schema AND p <> '{v.TYPE}'))
   OR (NOT near AND p = '{v.LABEL}' AND known))
 SELECT s, p, o FROM kept UNION SELECT t.s, t.p, t.o FROM t WHERE t.s IN (SELECT o FROM kept WHERE o_kind = 'bnode')""",
+    "kg_snapshot_names": f"WITH {_T} SELECT 'class' AS what, {_local('o')} AS name FROM t WHERE p = '{v.TYPE}' AND starts_with(o, '{v.NS}') UNION SELECT 'property', {_local('p')} FROM t WHERE starts_with(p, '{v.NS}') UNION SELECT 'instance', {_local('s')} FROM t WHERE p = '{v.TYPE}' AND s_kind = 'uri' AND starts_with(s, '{v.NS}')",
     "kg_merge_duplicate_labels": f"WITH RECURSIVE {_MERGE} SELECT node, kept FROM map",
     "kg_ambiguous_labels": f"WITH {_GROUPS} SELECT key, members FROM groups WHERE key NOT IN (SELECT key FROM shared)",
     "kg_merged_graph": f"""WITH RECURSIVE {_MERGE}, r AS (SELECT coalesce(a.kept, t.s) AS s, t.p, CASE WHEN t.o_kind = 'literal' THEN t.o ELSE coalesce(b.kept, t.o) END AS o, t.o_kind AS k, t.o_datatype, t.o_lang FROM t LEFT JOIN map a ON a.node = t.s LEFT JOIN map b ON b.node = t.o)
@@ -437,10 +462,47 @@ SELECT DISTINCT p.node, p.text, p.base AS alias FROM paren p WHERE base <> '' AN
     "link_fuzzy_stems": f"WITH {_TEXTS}, {_INDEX}, {_FUZZY} SELECT query_id, node, label FROM fuzzy",
 }
 
+_SUB = ORACLE["kg_subgraph"].removeprefix("WITH ").replace("SELECT s, p, o FROM kept UNION SELECT t.s", ", sub AS MATERIALIZED (SELECT s, p, o FROM kept UNION SELECT t.s") + ")"
+ORACLE["kg_census_change"] = f"""WITH {_SUB.replace(chr(10) + ", sub", ", sub")}, x AS (SELECT DISTINCT t.s AS node, t.o AS type, EXISTS (SELECT 1 FROM sub WHERE sub.s = t.s AND sub.p = t.p AND sub.o = t.o) AS stays FROM t WHERE p = '{v.TYPE}' AND o_kind = 'uri')
+SELECT {_local('type')} AS type_name, count(*) AS before, count(*) FILTER (stays) AS after FROM x GROUP BY 1 ORDER BY before DESC, after DESC, type_name LIMIT 40"""
+
+
+def _rewritten(source: str, mapping: str) -> str:
+    """The triples of a table with every mapped node replaced."""
+    return f"""SELECT DISTINCT s, CASE WHEN starts_with(s, '_:') THEN 'bnode' ELSE 'uri' END AS s_kind, p, o, CASE WHEN k = 'literal' THEN k WHEN starts_with(o, '_:') THEN 'bnode' ELSE 'uri' END AS o_kind, o_datatype, o_lang
+  FROM (SELECT coalesce(a.kept, z.s) AS s, z.p, CASE WHEN z.o_kind = 'literal' THEN z.o ELSE coalesce(b.kept, z.o) END AS o, z.o_kind AS k, z.o_datatype, z.o_lang FROM {source} z LEFT JOIN {mapping} a ON a.node = z.s LEFT JOIN {mapping} b ON b.node = z.o)"""
+
+
+_TQ = ORACLE["kg_type_qualified_pairs"].removeprefix("WITH ")
+_TQ_HEAD, _, _TQ_PAIRS = _TQ.rpartition("SELECT DISTINCT least(p.node")
+ORACLE["kg_type_qualified_merge"] = f"""WITH RECURSIVE {_TQ_HEAD.rstrip()}, tq AS MATERIALIZED (SELECT DISTINCT least(p.node{_TQ_PAIRS}), both_ways AS MATERIALIZED (SELECT a, b FROM tq UNION SELECT b, a FROM tq),
+reach(node, other) AS (SELECT a, b FROM both_ways UNION SELECT r.node, p.b FROM reach r JOIN both_ways p ON r.other = p.a),
+roots AS (SELECT node, least(node, min(other)) AS root FROM reach GROUP BY node),
+ends AS (SELECT s AS node, s_kind AS kind FROM t UNION ALL SELECT o, o_kind FROM t WHERE o_kind <> 'literal'),
+deg AS (SELECT node, count(*) AS degree, max(CAST(kind = 'uri' AS INTEGER)) AS is_uri FROM ends GROUP BY node),
+best AS (SELECT root, first(node ORDER BY is_uri DESC, degree DESC, node) AS kept FROM roots JOIN deg USING (node) GROUP BY root),
+map AS MATERIALIZED (SELECT node, kept FROM roots JOIN best USING (root) WHERE node <> kept)
+{_rewritten("t", "map")}"""
+ORACLE["kg_aliased_graph"] = ORACLE["kg_bare_alias"].replace("SELECT DISTINCT p.node, p.text", "SELECT * FROM t UNION SELECT node, 'uri', '" + v.LABEL + "', alias, 'literal', NULL, 'bg' FROM (SELECT DISTINCT p.node, p.text", 1) + ")"
+ORACLE["kg_curation_report"] = f"""WITH RECURSIVE {_MERGE}, t1 AS MATERIALIZED ({_rewritten("t", "map")}),
+bad AS MATERIALIZED (SELECT s AS qid, o FROM t1 WHERE p = '{v.VALUE}' AND o_kind = 'literal' AND NOT regexp_matches(o, '{_NUMBER}')),
+t2 AS MATERIALIZED (SELECT * FROM t1 WHERE s NOT IN (SELECT qid FROM bad) AND o NOT IN (SELECT qid FROM bad)),
+t3 AS MATERIALIZED (SELECT DISTINCT s, s_kind, p, CASE WHEN p = '{v.UNIT}' AND o = '{v.NS}‰' THEN '{v.NS}Промил' ELSE o END AS o, o_kind, o_datatype, o_lang FROM t2),
+q3 AS MATERIALIZED (SELECT z.s, z.p, z.o AS qid, a.value_lex, b.unit_uri FROM t3 z JOIN (SELECT s AS qid, min(o) AS value_lex FROM t3 WHERE p = '{v.VALUE}' AND o_kind = 'literal' GROUP BY s) a ON a.qid = z.o LEFT JOIN (SELECT s AS qid, min(o) AS unit_uri FROM t3 WHERE p = '{v.UNIT}' GROUP BY s) b ON b.qid = z.o WHERE z.o_kind = 'bnode'),
+again AS MATERIALIZED (SELECT DISTINCT qid, kept FROM (SELECT qid, min(qid) OVER (PARTITION BY s, p, value_lex, unit_uri) AS kept FROM q3) WHERE qid <> kept),
+t4 AS MATERIALIZED (SELECT * FROM t3 WHERE s NOT IN (SELECT qid FROM again) AND o NOT IN (SELECT qid FROM again)),
+q4 AS (SELECT * FROM q3 WHERE qid NOT IN (SELECT qid FROM again) AND s NOT IN (SELECT qid FROM again))
+SELECT 'merged_labels' AS pass, count(*) AS changed FROM map UNION ALL SELECT 'ambiguous_labels', count(*) FROM groups WHERE key NOT IN (SELECT key FROM shared)
+UNION ALL SELECT 'placeholder_values', count(*) FROM bad UNION ALL SELECT 'unit_aliases', count(*) FROM t2 WHERE p = '{v.UNIT}' AND o = '{v.NS}‰'
+UNION ALL SELECT 'repeated_quantities', count(*) FROM again UNION ALL SELECT 'conflicting_quantities', count(*) FROM (SELECT s, p FROM q4 GROUP BY s, p HAVING count(DISTINCT concat_ws(' ', value_lex, unit_uri)) > 1)
+UNION ALL SELECT 'labels_added', count(*) FROM (SELECT DISTINCT s FROM t4 WHERE p = '{v.TYPE}' AND s_kind = 'uri' AND starts_with(s, '{v.NS}') AND s NOT IN (SELECT s FROM t4 WHERE p = '{v.LABEL}'))"""
+
 # the same SQL over the parts, which stand in for the triples
 _PARTS = f"""triples AS (SELECT s, 'uri' AS s_kind, p, o, o_kind, CAST(NULL AS VARCHAR) AS o_datatype, CAST(NULL AS VARCHAR) AS o_lang FROM (
   SELECT '{v.NS}part' || p_partkey AS s, '{v.LABEL}' AS p, p_name || ' ' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ' (' || split_part(p_type, ' ', -1) || ')' ELSE '' END AS o, 'literal' AS o_kind FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL
   UNION ALL SELECT '{v.NS}part' || p_partkey, '{v.TYPE}', '{v.NS}' || split_part(p_type, ' ', -1), 'uri' FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL))"""
-for _own, _of in (("part_merge_labels", "kg_merge_duplicate_labels"), ("part_ambiguous_labels", "kg_ambiguous_labels"), ("part_type_qualified_pairs", "kg_type_qualified_pairs"), ("part_bare_alias", "kg_bare_alias")):
+for _own, _of in (("part_merge_labels", "kg_merge_duplicate_labels"), ("part_ambiguous_labels", "kg_ambiguous_labels"), ("part_type_qualified_pairs", "kg_type_qualified_pairs"), ("part_bare_alias", "kg_bare_alias"), ("part_merged_graph", "kg_merged_graph"), ("part_type_qualified_merge", "kg_type_qualified_merge"), ("part_aliased_graph", "kg_aliased_graph")):
     _head, _, _rest = ORACLE[_of].partition(" t AS MATERIALIZED")
     ORACLE[_own] = f"{_head} {_PARTS}, t AS MATERIALIZED{_rest}"
+for _of in ("kg_type_qualified_merge", "kg_aliased_graph"):  # only asked of the parts, which have such names
+    del ORACLE[_of]

@@ -131,12 +131,17 @@ def vec_cosine_label_centers(spark, d):
     return _vectors(spark, d).join(mean, "label").select("vec_id", "label", F.round(vectors.cosine(F.col("embedding"), F.col("center")), 6).alias("similarity"))
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, query, cand_id, text, ...): the facts next to what a described node's text names."""
+def _candidates(spark: SparkSession, d: str, ready: bool = False) -> DataFrame:
+    """(query_id, query, cand_id, text, ...): the facts next to what a described node's text names. ready: with
+    what the stem score needs of a query and of a fact, found once for each."""
     near = gq.kg_nhop_1(spark, d).select("query_id", "s", "p", "o")
     f = graph.facts(table(spark, d, "triples")).withColumn("o", F.coalesce("object_bnode_id", "object_uri", "object_value"))
+    own = ["query_id", F.col("text").alias("cand_id"), "text", "subject_uri", "predicate_uri", "object_uri", "predicate_importance"]
+    queries = gq._texts(spark, d).withColumnRenamed("text", "query")
+    if ready:
+        f, queries, own = settled(f.withColumn("text_ready", ranking.ready(F.col("text"))), "facts-ready"), settled(queries.withColumn("query_ready", ranking.ready(F.col("query"))), "queries-ready"), [*own, "text_ready"]
     told = near.join(f, (near["s"] == f["subject_uri"]) & (near["p"] == f["predicate_uri"]) & (near["o"] == f["o"]))
-    return told.select("query_id", F.col("text").alias("cand_id"), "text", "subject_uri", "predicate_uri", "object_uri", "predicate_importance").join(gq._texts(spark, d).withColumnRenamed("text", "query"), "query_id")
+    return told.select(*own).join(queries, "query_id")
 
 
 def rank_lexical(spark, d):
@@ -144,7 +149,7 @@ def rank_lexical(spark, d):
 
 
 def rank_stem_lexical(spark, d):
-    return ranking.ranked(_candidates(spark, d), ranking.stem_score(F.col("query"), F.col("text")), 30).select("query_id", "rank", "text", "score")
+    return ranking.ranked(_candidates(spark, d, ready=True), ranking.ready_stem_score("query_ready", "text_ready"), 30).select("query_id", "rank", "text", "score")
 
 
 def vec_rerank_domain(spark, d):
@@ -265,6 +270,15 @@ def resume_pending(spark, d):
     return dataset.pending(table(spark, d, "bench_items").select("id", "qid"), done)
 
 
+def overlap_annotated(spark, d):
+    return dataset.annotated(_questions(spark, d).select("id", "question"), table(spark, d, "bench_items")).distinct()
+
+
+def eval_errors(spark, d):
+    """The wrong answers of each model."""
+    return evaluation.errors(_runs(spark, d)).select("id", "model", "predicted", "gold")
+
+
 def merge_runs(spark, d):
     """Rows and repeated questions of the question batches by exam."""
     q = _questions(spark, d)
@@ -362,8 +376,8 @@ QUERIES = {
         doc_clean_article, doc_clean_wiki, doc_extraction_text, doc_truncate_section, doc_clean_stats, doc_dedup_titles, doc_dup_counts, doc_split_halves, doc_title_search,
         chunk_fixed256, chunk_fixed500, chunk_structure, chunk_parents, chunk_parent_child, parent_expand, vec_topk_cosine, vec_topk_l2, vec_topk_ip, vec_knn_label_accuracy,
         vec_cosine_label_centers, vec_rerank_domain, rank_lexical, rank_stem_lexical, rank_two_stage_protected, rank_context_budget, rank_topup, rank_fallback, filter_selection, relevant_names, cache_hit_rate,
-        answers_join, url_remap, homoglyph_fix, testset_build, testset_merge, text_normalise_key, overlap_semi, overlap_anti, sample_stratified, batch_slice, resume_pending,
-        merge_runs, mcq_prompt, mcq_letter, grounded_prompts, extract_year, classify_domain, classify_bucket, eval_accuracy, eval_slices, eval_run_metrics, eval_console_metrics,
+        answers_join, url_remap, homoglyph_fix, testset_build, testset_merge, text_normalise_key, overlap_semi, overlap_anti, overlap_annotated, sample_stratified, batch_slice, resume_pending,
+        merge_runs, mcq_prompt, mcq_letter, grounded_prompts, extract_year, classify_domain, classify_bucket, eval_accuracy, eval_errors, eval_slices, eval_run_metrics, eval_console_metrics,
         eval_hybrid, eval_recall_proxy, eval_coverage, eval_survival,
     )
 }
@@ -533,7 +547,9 @@ SELECT query_id, cand_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
     "text_normalise_key": f"SELECT DISTINCT id, {_key('question')} AS key FROM questions",
     "overlap_semi": f"SELECT DISTINCT id, question FROM questions WHERE {_key('question')} IN (SELECT {_key('question')} FROM questions WHERE correct IS NULL AND question IS NOT NULL)",
     "overlap_anti": f"SELECT DISTINCT id, question FROM questions WHERE question IS NULL OR {_key('question')} NOT IN (SELECT {_key('question')} FROM bench_items WHERE question IS NOT NULL)",
-    "sample_stratified": "WITH s AS (SELECT id, source_dataset, coalesce(source_dataset, 'unknown') AS st FROM bench_items), q AS (SELECT st, greatest(1, CAST(round_even(count(*) * 60 / CAST((SELECT count(*) FROM s) AS DOUBLE), 0) AS INTEGER)) AS quota FROM s GROUP BY 1) SELECT id, source_dataset FROM s JOIN q USING (st) QUALIFY row_number() OVER (PARTITION BY st ORDER BY md5('42|' || id), id) <= quota",
+    "overlap_annotated": f"SELECT DISTINCT id, question, coalesce({_key('question')} IN (SELECT {_key('question')} FROM bench_items WHERE question IS NOT NULL), false) AS known FROM questions",
+    "eval_errors": f"WITH {_RUNS} SELECT id, model, predicted, gold FROM runs WHERE predicted <> '' AND predicted <> gold",
+    "sample_stratified": "WITH s AS (SELECT id, source_dataset, coalesce(source_dataset, 'unknown') AS st FROM bench_items), q AS (SELECT st, greatest(1, CAST(round_even(count(*) * 60 / CAST((SELECT count(*) FROM s) AS DOUBLE), 0) AS INTEGER)) AS quota FROM s GROUP BY 1) SELECT id, source_dataset FROM (SELECT *, row_number() OVER (PARTITION BY st ORDER BY md5('42|' || id), id) <= quota AS own FROM s JOIN q USING (st)) ORDER BY own DESC, md5('42|' || id), id LIMIT 60",
     "batch_slice": "SELECT id, qid FROM bench_items ORDER BY id LIMIT 100 OFFSET 100",
     "resume_pending": f"WITH {_RUNS} SELECT id, qid FROM bench_items WHERE id NOT IN (SELECT id FROM runs WHERE model = 'model-a' AND predicted IS NOT NULL AND predicted <> '')",
     "merge_runs": "SELECT url, count(*) AS n, count(*) - count(DISTINCT question) AS repeated FROM questions GROUP BY 1",
