@@ -106,20 +106,20 @@ def importance(p: Column) -> Column:
     return c.when(p.isin(v.VALUE, v.UNIT), 98).when(F.startswith(p, F.lit(v.RDFS)) | F.startswith(p, F.lit(v.OWL)), 99).when(F.startswith(p, F.lit(v.NS)), 15).otherwise(20)
 
 
-def quantity_values(triples: DataFrame) -> DataFrame:
-    """(qid, value_lex, unit_uri) of nodes with a literal value; the unit may be missing."""
+def quantity_values(triples: DataFrame, valueless: bool = False) -> DataFrame:
+    """(qid, value_lex, unit_uri) of nodes with a literal value; the unit may be missing. valueless: also of those with a unit only."""
     value = triples.filter((F.col("p") == v.VALUE) & (F.col("o_kind") == "literal")).groupBy(F.col("s").alias("qid")).agg(F.min("o").alias("value_lex"))
     unit = triples.filter(F.col("p") == v.UNIT).groupBy(F.col("s").alias("qid")).agg(F.min("o").alias("unit_uri"))
-    return value.join(unit, "qid", "left")
+    return value.join(unit, "qid", "full" if valueless else "left")
 
 
-def facts(triples: DataFrame, strict_unit: bool = False) -> DataFrame:
+def facts(triples: DataFrame, strict_unit: bool = False, dedupe: bool = True, missing: bool = False) -> DataFrame:
     """(fact_id, text, subject_uri, predicate_uri, predicate_importance, object_uri, object_value,
     object_datatype, object_bnode_id, object_unit_uri): one sentence for each triple of a uri subject that
-    can be told, one row for each text (the first by subject, predicate and object).
+    can be told, one row for each text (the first by subject, predicate and object; all without dedupe).
 
     Plain: subject, predicate and object; type: subject, ``е тип``, type; quantity: with value and unit
-    (without unit as well, unless strict_unit). Numbers are told plainly (``2925``, not ``2925.0``); the
+    (without unit as well, unless strict_unit; with ``MISSING`` for the value of a node without one, if missing). Numbers are told plainly (``2925``, not ``2925.0``); the
     columns keep them as they are stored.
     """
     t = triple_set(triples).filter("s_kind = 'uri'")
@@ -136,7 +136,7 @@ def facts(triples: DataFrame, strict_unit: bool = False) -> DataFrame:
     t = with_label(t, "s", names, "sl")
     # predicates are few and each in many rows: their labels are found once, not by a join of all rows
     t = t.join(with_label(t.select("p").distinct(), "p", names, "pl"), "p")
-    values = quantity_values(triples.filter(F.col("p").isin(v.VALUE, v.UNIT)))
+    values = quantity_values(triples.filter(F.col("p").isin(v.VALUE, v.UNIT)), valueless=missing)
     values = values.join(names.select(F.col("node").alias("unit_uri"), F.col("label").alias("ul")), "unit_uri", "left").withColumn("ul", F.coalesce("ul", derived_label(F.col("unit_uri"))))
     if strict_unit:
         values = values.filter("unit_uri IS NOT NULL")
@@ -144,10 +144,11 @@ def facts(triples: DataFrame, strict_unit: bool = False) -> DataFrame:
     own = names.select(F.col("node").alias("o"), F.col("label").alias("ol"))
     told = F.when(F.col("o_datatype").isin(v.NUMBER_TYPES), plain_number(F.col("o"))).otherwise(F.col("o"))
     t = t.join(own, "o", "left").withColumn("ol", F.when(F.col("o_kind") == "literal", told).otherwise(F.coalesce("ol", derived_label(F.col("o")))))
-    text = F.when(F.col("kind") == "type", F.concat_ws(" ", "sl", F.lit(v.TYPE_WORDS), "ol")).when(F.col("kind") == "quantity", F.when(F.col("value_lex").isNotNull(), F.concat_ws(" ", "sl", "pl", plain_number(F.col("value_lex")), "ul"))).otherwise(F.concat_ws(" ", "sl", "pl", "ol"))
+    text = F.when(F.col("kind") == "type", F.concat_ws(" ", "sl", F.lit(v.TYPE_WORDS), "ol")).when(F.col("kind") == "quantity", F.when(F.col("value_lex").isNotNull() | F.lit(missing), F.concat_ws(" ", "sl", "pl", F.coalesce(plain_number(F.col("value_lex")), F.lit(v.MISSING)), "ul"))).otherwise(F.concat_ws(" ", "sl", "pl", "ol"))
     t = t.withColumn("text", text).filter((F.col("text").isNotNull()) & (F.col("sl") != F.col("s")) & (F.col("pl") != F.col("p")))
-    first = F.row_number().over(Window.partitionBy("text").orderBy("s", "p", "o"))
-    t = t.withColumn("n", first).filter("n = 1")
+    if dedupe:
+        first = F.row_number().over(Window.partitionBy("text").orderBy("s", "p", "o"))
+        t = t.withColumn("n", first).filter("n = 1")
     return t.select(
         F.xxhash64("s", "p", "o").alias("fact_id"), "text", F.col("s").alias("subject_uri"), F.col("p").alias("predicate_uri"), importance(F.col("p")).alias("predicate_importance"),
         F.when(F.col("o_kind") == "uri", F.col("o")).alias("object_uri"), F.when(F.col("kind") == "quantity", F.col("value_lex")).when(F.col("o_kind") == "literal", F.col("o")).alias("object_value"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation
 from ..sources import rdf
 from ..sources.tables import table
-from . import rag
+from . import rag, runners
 
 
 def _items(spark, d):
@@ -26,11 +26,24 @@ def rag_chunks(spark, d):
 
 def rag_metrics(spark, d):
     """Accuracy, abstention, recall and context size of the chunk pipeline by strategy."""
-    runs = None
-    for name in ("fixed256", "structure", "parentchild"):
-        one = rag.answer_from_chunks(_items(spark, d), table(spark, d, "wiki_pages"), name).withColumn("strategy", F.lit(name))
-        runs = one if runs is None else runs.unionByName(one)
-    return evaluation.run_metrics(runs, ["strategy"])
+    return evaluation.run_metrics(runners.chunk_strategies(_items(spark, d), table(spark, d, "wiki_pages")), ["strategy"])
+
+
+def rag_pipelines(spark, d):
+    """The graph, the chunks, both, and the model alone on the same items."""
+    return evaluation.run_metrics(runners.compared_pipelines(_items(spark, d), table(spark, d, "triples"), table(spark, d, "wiki_pages")), ["pipeline"])
+
+
+def rag_diagnostics(spark, d):
+    """What each stage of the graph pipeline brought for each item."""
+    return rag.answer_from_graph(_items(spark, d), table(spark, d, "triples")).select("query_id", "kg_diag.*")
+
+
+def rag_report(spark, d):
+    """Chunk strategies as they are and with a baseline's answers where they abstain, and the baseline."""
+    items = table(spark, d, "bench_items")
+    baseline = evaluation.model_answers(items).filter("model = 'model-a'").select(F.col("id").alias("query_id"), F.col("predicted").alias("answer"))
+    return runners.strategy_report(runners.chunk_strategies(_items(spark, d), table(spark, d, "wiki_pages"), ["structure"]), baseline)
 
 
 def embed_documents(spark, d):
@@ -49,4 +62,4 @@ def extract_triples(spark, d):
     return rdf.parsed_replies(pages.filter(name != "").select(F.col("page_id").alias("id"), text.alias("text"))).select("id", "s", "p", "o", "o_kind")
 
 
-QUERIES = {f.__name__: f for f in (rag_graph, rag_chunks, embed_documents, extract_triples)}
+QUERIES = {f.__name__: f for f in (rag_graph, rag_chunks, rag_metrics, rag_pipelines, rag_diagnostics, rag_report, embed_documents, extract_triples)}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
 from ..functions.arrow import pieces, record
-from ..functions.text import answer_letter, without_country
+from ..functions.text import answer_letter, without_country, words
 from ..operators import chunking, dataset, evaluation, extraction, graph, linking, ranking, vectors
 from ..sources.tables import settled
 
@@ -102,13 +103,19 @@ class KgOptions:
     least: int = 10
     fallback: int = 30
     score: Callable = ranking.stem_score
+    #: A model for pairs that ranks last, in place of ``score``; see ``ranking.model_scores``.
+    reranker: Callable | None = None
+    #: What an empty context gives: the first reranked facts (``fallback``) or no answer (``abstain``).
+    empty: str = "fallback"
 
 
-def answer_from_graph(questions: DataFrame, triples: DataFrame, embed=hashed_vectors, model=echo_model, options: KgOptions = KgOptions(), selector=word_selector) -> DataFrame:
-    """Run records (query_id, reply, answer, recall, ctx_n, error, used_fallback) of questions
+def answer_from_graph(questions: DataFrame, triples: DataFrame, embed=hashed_vectors, model=echo_model, options: KgOptions = KgOptions(), selector=word_selector, timings: dict | None = None) -> DataFrame:
+    """Run records (query_id, reply, answer, recall, ctx_n, error, used_fallback, kg_diag) of questions
     (query_id, question, options, correct_answer): retrieved and linked facts, their expansion, that by type
-    (whose new facts are protected), what can be told, the funnel, the selector's choice topped up, the
-    prompt, the model's letter."""
+    (whose new facts are protected), what can be told, the funnel (by cosine, then by the score or a model for
+    pairs), the selector's choice topped up, the prompt, the model's letter. timings: gets the seconds of each
+    stage for all questions together."""
+    clock = Clock(timings)
     q = settled(questions.select("query_id", "question", "options", "correct_answer", F.xxhash64("query_id").alias("qn"), dataset.prompt(F.col("question"), F.col("options")).alias("query")), "questions")
     f = settled(graph.facts(triples).select("fact_id", "text", "subject_uri", "predicate_uri", "predicate_importance", "object_uri", F.coalesce("object_bnode_id", "object_uri", "object_value").alias("o")), "facts")
     # retrieve widely, then by the domain score
@@ -120,6 +127,7 @@ def answer_from_graph(questions: DataFrame, triples: DataFrame, embed=hashed_vec
     hits = near.join(f, F.col("vec_id") == F.col("fact_id")).join(q.select("qn", "query_id", "query"), "qn").join(kinds, "subject_uri", "left")
     scored = hits.withColumn("cand_id", F.col("text")).withColumn("domain", vectors.domain_score(F.col("query"), F.col("distance"), F.col("predicate_uri"), F.col("object_uri"), F.col("text"), F.col("predicate_importance"), F.col("subject_types")))
     first = settled(ranking.ranked(scored, -F.col("domain"), options.top_k), "hits")
+    clock("retrieval")
     # from there and from what the question names, along the graph
     links = linking.linked(q.select("query_id", F.col("question").alias("text")), linking.label_index(triples))
     ends = first.filter(F.col("object_uri").isNotNull() & (F.col("predicate_uri") != v.TYPE)).select("query_id", F.col("object_uri").alias("node"), "rank")
@@ -132,11 +140,57 @@ def answer_from_graph(questions: DataFrame, triples: DataFrame, embed=hashed_vec
     typed = first.select("query_id", F.col("subject_uri").alias("s")).union(first.filter("object_uri IS NOT NULL").select("query_id", "object_uri")).join(own, "s").select("query_id", "s", "p", "o")
     alike = graph.type_expansion(met.unionByName(typed), triples).join(f.select(F.col("subject_uri").alias("s"), F.col("predicate_uri").alias("p"), "o", "text"), ["s", "p", "o"])
     found = first.select("query_id", "text", F.lit(False).alias("protected")).unionByName(grown.select("query_id", "text", F.lit(False).alias("protected"))).unionByName(alike.select("query_id", "text", F.lit(True).alias("protected")))
-    found = found.groupBy("query_id", "text").agg(F.min("protected").alias("protected")).filter(graph.tellable(F.col("text"))).join(q.select("query_id", "query"), "query_id")
-    s = found.select("query_id", F.col("text").alias("cand_id"), "protected", ranking.lexical_score(F.col("query"), F.col("text")).alias("coarse_score"), options.score(F.col("query"), F.col("text")).alias("fine_score"))
+    found = settled(found.groupBy("query_id", "text").agg(F.min("protected").alias("protected")), "expanded")
+    clock("expansion")
+    vector = stored.join(f.select("fact_id", "text"), F.col("vec_id") == F.col("fact_id")).select("text", F.col("embedding").alias("tv"))
+    asked_by = asked_for.withColumnsRenamed({"query_id": "qn", "embedding": "qv"}).join(q.select("qn", "query_id", "query"), "qn").drop("qn")
+    can = found.filter(graph.tellable(F.col("text"))).join(asked_by, "query_id").join(vector, "text")
+    s = can.select("query_id", "query", "text", F.col("text").alias("cand_id"), "protected", vectors.cosine(F.col("qv"), F.col("tv")).alias("coarse_score"))
+    if options.reranker is None:
+        s = s.withColumn("fine_score", options.score(F.col("query"), F.col("text")))
+    else:
+        s = ranking.model_scores(s, "query", "text", options.reranker, "fine_score")
     kept = settled(ranking.funnel(s, options.coarse, options.rerank).select("query_id", F.col("place").alias("rank"), F.col("cand_id").alias("text")), "reranked")
-    context = ranking.context_or_fallback(kept, _selected(q, kept, selector, options.least), options.fallback)
-    return _answered(q, context, model)
+    clock("rerank")
+    chosen = settled(_selected(q, kept, selector, options.least), "chosen")
+    clock("filtering")
+    context = ranking.context_or_fallback(kept, chosen, options.fallback)
+    if options.empty == "abstain":
+        context = context.withColumn("context", F.when(~F.col("fallback"), F.col("context")))
+    n = lambda df, name, by="*": df.groupBy("query_id").agg(F.count(by).alias(name))
+    gold = q.select("query_id", dataset.gold_text(F.col("options"), F.col("correct_answer")).alias("gold_text"))
+    held = lambda df, name: _recalled(df, gold, name)
+    parts = [n(nodes.select("query_id", "node").distinct(), "n_seeds"), n(links, "n_linked_entities"), n(grown.select("query_id", "text").distinct(), "n_expanded"), n(found.filter("protected"), "n_protected"), n(kept, "n_reranked"), n(kept.filter(graph.tellable(F.col("text"))), "n_prefiltered"), n(chosen, "n_filtered"), held(first, "seed_recall"), held(found, "expanded_recall")]
+    counts = q.select("query_id")
+    for part in parts:
+        counts = counts.join(part, "query_id", "left")
+    counters = ["n_seeds", "n_linked_entities", "n_expanded", "n_protected", "n_reranked", "n_prefiltered", "n_filtered"]
+    counts = settled(counts.select("query_id", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in counters], *[F.coalesce(c, F.lit(False)).alias(c) for c in ("seed_recall", "expanded_recall")]), "counts")
+    done = _answered(q, context, model, options.empty == "abstain").join(counts, "query_id")
+    flags = [F.lit(selector is not None).alias("filter_llm_used"), F.col("used_fallback").alias("used_fallback_context")]
+    return done.withColumn("kg_diag", F.struct(*counters, *flags, "seed_recall", "expanded_recall")).drop(*counters, "seed_recall", "expanded_recall")
+
+
+class Clock:
+    """Adds the seconds since its last call to the named stage of a dictionary."""
+
+    def __init__(self, timings: dict | None):
+        self.timings, self.began = timings, time.perf_counter()
+
+    def __call__(self, stage: str) -> None:
+        now = time.perf_counter()
+        if self.timings is not None:
+            self.timings[stage] = round(self.timings.get(stage, 0.0) + now - self.began, 2)
+        self.began = now
+
+
+def _recalled(texts: DataFrame, gold: DataFrame, name: str) -> DataFrame:
+    """(query_id, name): whether the texts (query_id, text) of a query together hold its gold text, word by word."""
+    low = F.lower("gold_text")
+    long_words = F.filter(words(low), lambda w: F.length(w) > 3)
+    wanted = gold.filter("gold_text <> ''").select("query_id", F.explode(F.when(F.size(long_words) > 0, long_words).otherwise(F.array(low))).alias("w"))
+    hit = texts.select("query_id", F.lower("text").alias("t")).join(wanted, "query_id").groupBy("query_id", "w").agg(F.max(F.contains("t", F.col("w")).cast("int")).alias("hit"))
+    return hit.groupBy("query_id").agg((F.avg("hit") >= 0.5).alias(name))
 
 
 def _selected(q: DataFrame, kept: DataFrame, selector, least: int) -> DataFrame:
@@ -153,11 +207,12 @@ def _selected(q: DataFrame, kept: DataFrame, selector, least: int) -> DataFrame:
     return taken.join(chosen, ["query_id", "text"], "left").select("query_id", F.when(F.col("kept"), F.col("place")).otherwise(F.col("rank") + (1 << 20)).alias("rank"), "text")
 
 
-def _answered(q: DataFrame, context: DataFrame, model) -> DataFrame:
+def _answered(q: DataFrame, context: DataFrame, model, abstain: bool = False) -> DataFrame:
     c = settled(q.join(context, "query_id", "left"), "contexts")
-    replies = asked(c.select("query_id", dataset.grounded_prompt(F.col("context"), F.col("query")).alias("prompt")), model)
+    able = c.filter(F.col("context").isNotNull()) if abstain else c  # without context nothing is asked
+    replies = asked(able.select("query_id", dataset.grounded_prompt(F.col("context"), F.col("query")).alias("prompt")), model)
     gold = dataset.gold_text(F.col("options"), F.col("correct_answer"))
-    return c.join(replies, "query_id").select(
+    return c.join(replies, "query_id", "left").select(
         "query_id", "reply", F.coalesce(answer_letter(F.col("reply")), F.lit("-")).alias("answer"), F.col("correct_answer").alias("gold"),
         evaluation.recall_proxy(gold, F.array_join(F.coalesce("context", F.array().cast("array<string>")), " ")).alias("recall"),
         F.coalesce(F.size("context"), F.lit(0)).alias("ctx_n"), "error", F.coalesce("fallback", F.lit(False)).alias("used_fallback"),
@@ -180,3 +235,11 @@ def answer_from_chunks(questions: DataFrame, pages: DataFrame, strategy: str = "
     within = ranking.within_budget(best.select("query_id", "rank", "text"), budget)
     context = ranking.context_or_fallback(within, within, kept)
     return _answered(q, context, model)
+
+
+def answer_from_hits(questions: DataFrame, collection: DataFrame, embed=hashed_vectors, model=echo_model, metric: str = "cosine", k: int = 5) -> DataFrame:
+    """Run records from the k nearest rows of a collection (vec_id, embedding, text), as they come."""
+    q = settled(questions.select("query_id", "question", "options", "correct_answer", F.xxhash64("query_id").alias("qn"), dataset.prompt(F.col("question"), F.col("options")).alias("query")), "questions")
+    qv = q.select("qn", F.col("query").alias("text")).join(embed(q.select(F.col("query").alias("text")).distinct()), "text").select(F.col("qn").alias("query_id"), F.col("vector").alias("embedding"))
+    hits = vectors.top_k(qv, collection, k, metric).withColumnRenamed("query_id", "qn").join(collection.select("vec_id", "text"), "vec_id").join(q.select("qn", "query_id"), "qn").select("query_id", "rank", "text")
+    return _answered(q, ranking.context_or_fallback(hits, hits, k), model)

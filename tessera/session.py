@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text as tx
 from .functions import vocabulary as v
 from .operators import chunking, curation, evaluation, graph, linking, ranking, vectors
 from .plans import rag
 from .sources import rdf
-from .sources.tables import shipped
+from .sources.tables import settled, shipped
 
 
 @dataclass
@@ -20,14 +21,16 @@ class Engine:
     arguments of each call; nothing is changed behind one."""
 
     spark: SparkSession
-    store: str
+    store: str | None = None
     embed: object = rag.hashed_vectors
     model: object = rag.echo_model
     triples: DataFrame | None = None
+    selector: object = rag.word_selector
     _status: dict = field(default_factory=dict)
 
     def __post_init__(self):
         shipped(self.spark)
+        self.collections = vectors.Store(self.spark, self.store)
 
     def health(self) -> dict[str, bool]:
         return {"spark": not self.spark.sparkContext._jsc.sc().isStopped(), "graph": self.triples is not None, **self._status}
@@ -51,23 +54,37 @@ class Engine:
     def ingest(self, collection: str, texts: DataFrame, metric: str = "cosine") -> None:
         """(id, text) and further columns as a collection of vectors."""
         df = texts.join(self.embed(texts.select("text").distinct()), "text").withColumnRenamed("vector", "embedding").withColumn("vec_id", F.col("id").cast("bigint")).drop("id")
-        vectors.write_collection(df, self.store, collection, metric)
+        self.collections.write(collection, df, metric)
         self._status[collection] = True
 
     def ingest_facts(self, collection: str) -> None:
         self.ingest(collection, self.facts().withColumnRenamed("fact_id", "id"))
 
-    def ingest_pages(self, collection: str, pages: DataFrame, strategy: str = "fixed500") -> None:
-        self.ingest(collection, chunking.chunked(pages, strategy).withColumn("id", F.xxhash64("page_id", "chunk_index")))
+    def ingest_pages(self, collection: str, pages: DataFrame, strategy: str = "fixed500", size: int | None = None, overlap: int = 50) -> None:
+        """Chunks of pages by a named strategy, or by windows of ``size`` tokens."""
+        chunks = chunking.chunked(pages, strategy) if size is None else chunking.fixed(pages, size, overlap).withColumn("section", F.lit(""))
+        self.ingest(collection, chunks.withColumn("id", F.xxhash64("page_id", "chunk_index")))
 
-    def query(self, collection: str, text: str, k: int = 10, metric: str = "cosine") -> DataFrame:
-        """The k nearest of a collection with their columns; the metric is the query's, nothing is embedded anew."""
+    def query(self, collection: str, text: str, k: int = 10, metric: str | None = None) -> DataFrame:
+        """The k nearest of a collection with their columns, by its own metric; another one is refused."""
         q = self.embed(self.spark.createDataFrame([(text,)], "text string")).select(F.lit(0).cast("bigint").alias("query_id"), F.col("vector").alias("embedding"))
-        rows = vectors.read_collection(self.spark, self.store, collection)
-        hits = vectors.top_k(q, rows, k, metric).join(rows.drop("embedding"), "vec_id")
+        hits = self.collections.search(collection, q, k, metric).join(self.collections.read(collection).drop("embedding"), "vec_id")
         preview = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
         return hits.withColumn("preview", preview).withColumn("distance_text", F.format_number("distance", 4)).orderBy("rank")
 
+    def query_facts(self, collection: str, text: str, k: int = 10, over_fetch: int = 30) -> DataFrame:
+        """The k best facts of a collection by the domain score, of over_fetch times as many nearest ones."""
+        kinds = graph.type_names(graph.triple_set(self.triples), v.IGNORED_SUBJECT_TYPES).select(F.col("node").alias("subject_uri"), F.col("types").alias("subject_types"))
+        near = self.query(collection, text, k * over_fetch).drop("rank", "score").join(kinds, "subject_uri", "left")
+        score = vectors.domain_score(F.lit(text), F.col("distance"), F.col("predicate_uri"), F.col("object_uri"), F.col("text"), F.col("predicate_importance"), F.col("subject_types"))
+        return ranking.ranked(near.withColumn("cand_id", F.col("text")), -score, k).orderBy("rank")
+
+    def select(self, texts: list[str], query: str, least: int = 10) -> DataFrame:
+        """(rank, text): the facts that can be told and that the selector chooses for a query, topped up."""
+        kept = self.spark.createDataFrame([("q", i + 1, t) for i, t in enumerate(dict.fromkeys(texts))], "query_id string, rank int, text string").filter(graph.tellable(F.col("text")))
+        q = self.spark.createDataFrame([("q", query)], "query_id string, query string")
+        return rag._selected(q, kept, self.selector, least).select("rank", "text").orderBy("rank")
+
     def expand(self, text: str, nodes: list[str] | None = None) -> DataFrame:
         q = self.spark.createDataFrame([("q", text)], "query_id string, text string")
         found = linking.linked(q, linking.label_index(self.triples)).select("query_id", "node", "rank")
@@ -101,6 +118,15 @@ class Engine:
         self.triples = graph.triple_set(self.triples).unionByName(graph.triple_set(new)).distinct()
         return new.groupBy("id").agg(F.count("*").alias("triples"))
 
+    def extract(self, pages: DataFrame, model) -> tuple[DataFrame, DataFrame]:
+        """Pages (title, content) through a model that replies in Turtle, joined to the graph: what each page
+        added (title, triples) and the errors (title, error)."""
+        text = F.substring(tx.plain_wiki(F.col("content")), 1, 6000)
+        prompts = pages.filter("content IS NOT NULL").select(F.col("title").alias("query_id"), F.concat_ws("\n", F.lit("Извлечете знанията от текста като Turtle."), "title", text).alias("prompt"))
+        got = settled(rag.asked(prompts, model).select(F.col("query_id").alias("id"), F.col("reply").alias("text"), "error"), "replies")
+        bad = rdf.reply_errors(got.filter("text IS NOT NULL")).unionByName(got.filter("error IS NOT NULL").select("id", "error"))
+        return self.add_turtle(got).withColumnRenamed("id", "title"), bad.withColumnRenamed("id", "title")
+
     def evaluate(self, runs: DataFrame, by: list[str] = ()) -> DataFrame:
         return evaluation.run_metrics(runs, list(by))
 

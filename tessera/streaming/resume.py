@@ -21,12 +21,9 @@ def answer_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, a
 
     def one(batch: DataFrame, _: int) -> None:
         todo = batch.dropDuplicates(["id"])
-        try:
-            done = spark.read.schema("id string, answer string").parquet(out)
-            todo = pending(todo, done)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            todo = pending(todo, spark.read.schema("id string, answer string").parquet(out))
         answer(todo).select("id", "answer").write.mode("append").parquet(out)
 
     return spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

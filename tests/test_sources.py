@@ -123,3 +123,54 @@ def test_settled_tables_go_with_the_application(spark, monkeypatch):
         raise AssertionError("a machine-local folder on a cluster")
     except ValueError as e:
         assert "spark.checkpoint.dir" in str(e)
+
+
+def test_turtle_is_written_with_backup(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text(TTL)
+    t = rdf.read_turtle(spark, str(tmp_path / "a.ttl"))
+    out = str(tmp_path / "graph")
+    assert rdf.write_turtle(t, out, dry_run=True) == {"triples": 16, "written": False, "backup": None} and not (tmp_path / "graph").exists()
+    assert rdf.write_turtle(t, out)["triples"] == 16
+    again = lambda p: {tuple(r) for r in rdf.read_turtle(spark, f"{p}/*.txt", scoped=False).collect()}
+    assert again(out) == {tuple(r) for r in t.collect()}
+    got = rdf.write_turtle(t.limit(3), out)
+    assert got["triples"] == 3 and got["backup"] == out + ".bak-1" and len(again(got["backup"])) == 16
+    with pytest.raises(FileExistsError):
+        rdf.write_turtle(t, out, backup=False)
+
+
+def test_replies_are_unfenced_repaired_and_classified(spark):
+    known = spark.createDataFrame([(v.NS + "Мусала", "uri", v.TYPE, v.NS + "Връх", "uri", None, None)], rdf.TRIPLES)
+    rows = [("1", "Ето:\n```turtle\n:Ботев a :Връх .\n:Мусала a :Връх .\n```"), ("2", ":X a owl:Class . :x geo:lat \"1\" ."), ("3", ":Вихрен a :Връх .\n:Рила rdfs:label \"нед"), ("4", "няма ~~"), ("5", None)]
+    graph, counts, errors = rdf.merged_replies(spark.createDataFrame(rows, "id string, text string"), known)
+    assert {r.kind: r.added for r in counts.collect()} == {"class": 1, "instance": 2, "triple": 4} and graph.count() == 5
+    assert {r.id for r in errors.collect()} == {"4"}
+
+
+def test_bindings_of_an_endpoint(spark):
+    def fetch(query):
+        if query == "bad":
+            raise OSError
+        row = {"s": {"type": "uri", "value": v.NS + "A"}, "p": {"type": "uri", "value": v.LABEL}, "o": {"type": "literal", "value": "А", "xml:lang": "bg"}}
+        node = {"s": {"type": "uri", "value": v.NS + "A"}, "p": {"type": "uri", "value": v.NS + "r"}, "o": {"type": "bnode", "value": "b0"}}
+        return json.dumps({"head": {"vars": ["s", "p", "o"]}, "results": {"bindings": [row, node, {"s": row["s"]}]}})
+
+    got = {tuple(r) for r in rdf.endpoint_triples(spark.createDataFrame([("1", "q"), ("2", "bad")], "id string, query string"), fetch).collect()}
+    assert got == {("1", v.NS + "A", "uri", v.LABEL, "А", "literal", None, "bg"), ("1", v.NS + "A", "uri", v.NS + "r", "_:b0", "bnode", None, None)}
+
+
+def test_json_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"т{i}", None) for i in range(20)], "n int, t string, x string").repartition(3)
+    files.write_in_order(df, str(tmp_path / "o"), "n")
+    lines = [json.loads(x) for p in sorted((tmp_path / "o").glob("part*")) for x in p.read_text().splitlines()]
+    assert [x["n"] for x in lines] == list(range(20)) and "x" in lines[0]
+    assert [r.n for r in files.read_benchmark(spark, str(tmp_path / "o"), 7).collect()] == list(range(7))
+    files.write_pretty(df, str(tmp_path / "p"))
+    lists = [json.loads(p.read_text()) for p in (tmp_path / "p").glob("part*")]
+    assert sorted(x["n"] for y in lists for x in y) == list(range(20))
+    parents = spark.createDataFrame([("f::t::s0::p0", "t", "s", "текст")], files.PARENT)
+    files.write_parents(parents, str(tmp_path / "q"))
+    assert files.read_parents(spark, str(tmp_path / "q")).collect() == parents.collect()
+    (tmp_path / "list.json").write_text(json.dumps([{"title": "A", "content": "x"}, {"title": "A", "content": "y"}]))
+    pages, repeated = files.read_page_list(spark, str(tmp_path / "list.json"))
+    assert pages.count() == 2 and [tuple(r) for r in repeated.collect()] == [("A", 2)]
