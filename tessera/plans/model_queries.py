@@ -36,7 +36,7 @@ def rag_pipelines(spark, d):
 
 def rag_diagnostics(spark, d):
     """What each stage of the graph pipeline brought for each item."""
-    return rag.answer_from_graph(_items(spark, d), table(spark, d, "triples")).select("query_id", "kg_diag.*")
+    return rag.answer_from_graph(_items(spark, d), table(spark, d, "triples"), diagnostics=True).select("query_id", "kg_diag.*")
 
 
 def rag_report(spark, d):

@@ -109,12 +109,12 @@ class KgOptions:
     empty: str = "fallback"
 
 
-def answer_from_graph(questions: DataFrame, triples: DataFrame, embed=hashed_vectors, model=echo_model, options: KgOptions = KgOptions(), selector=word_selector, timings: dict | None = None) -> DataFrame:
-    """Run records (query_id, reply, answer, recall, ctx_n, error, used_fallback, kg_diag) of questions
+def answer_from_graph(questions: DataFrame, triples: DataFrame, embed=hashed_vectors, model=echo_model, options: KgOptions = KgOptions(), selector=word_selector, timings: dict | None = None, diagnostics: bool = False) -> DataFrame:
+    """Run records (query_id, reply, answer, recall, ctx_n, error, used_fallback) of questions
     (query_id, question, options, correct_answer): retrieved and linked facts, their expansion, that by type
     (whose new facts are protected), what can be told, the funnel (by cosine, then by the score or a model for
     pairs), the selector's choice topped up, the prompt, the model's letter. timings: gets the seconds of each
-    stage for all questions together."""
+    stage for all questions together. diagnostics: with ``kg_diag``, what each stage brought for a question."""
     clock = Clock(timings)
     q = settled(questions.select("query_id", "question", "options", "correct_answer", F.xxhash64("query_id").alias("qn"), dataset.prompt(F.col("question"), F.col("options")).alias("query")), "questions")
     f = settled(graph.facts(triples).select("fact_id", "text", "subject_uri", "predicate_uri", "predicate_importance", "object_uri", F.coalesce("object_bnode_id", "object_uri", "object_value").alias("o")), "facts")
@@ -157,6 +157,9 @@ def answer_from_graph(questions: DataFrame, triples: DataFrame, embed=hashed_vec
     context = ranking.context_or_fallback(kept, chosen, options.fallback)
     if options.empty == "abstain":
         context = context.withColumn("context", F.when(~F.col("fallback"), F.col("context")))
+    done = _answered(q, context, model, options.empty == "abstain")
+    if not diagnostics:
+        return done
     n = lambda df, name, by="*": df.groupBy("query_id").agg(F.count(by).alias(name))
     gold = q.select("query_id", dataset.gold_text(F.col("options"), F.col("correct_answer")).alias("gold_text"))
     held = lambda df, name: _recalled(df, gold, name)
@@ -166,7 +169,7 @@ def answer_from_graph(questions: DataFrame, triples: DataFrame, embed=hashed_vec
         counts = counts.join(part, "query_id", "left")
     counters = ["n_seeds", "n_linked_entities", "n_expanded", "n_protected", "n_reranked", "n_prefiltered", "n_filtered"]
     counts = settled(counts.select("query_id", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in counters], *[F.coalesce(c, F.lit(False)).alias(c) for c in ("seed_recall", "expanded_recall")]), "counts")
-    done = _answered(q, context, model, options.empty == "abstain").join(counts, "query_id")
+    done = done.join(counts, "query_id")
     flags = [F.lit(selector is not None).alias("filter_llm_used"), F.col("used_fallback").alias("used_fallback_context")]
     return done.withColumn("kg_diag", F.struct(*counters, *flags, "seed_recall", "expanded_recall")).drop(*counters, "seed_recall", "expanded_recall")
 
