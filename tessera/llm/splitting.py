@@ -33,15 +33,17 @@ _PIECES = pa.schema([("src", pa.string()), ("item_id", pa.int64()), ("title", pa
 
 @dataclass(frozen=True)
 class Limits:
-    """Most words and characters (code points) of a piece, and the words that
-    consecutive pieces of a section share."""
+    """Most words and characters (code points) of a piece, the words that
+    consecutive pieces of a section share, and the longest heading: what stands
+    between equal signs and is longer is text, since a heading isn't cut."""
 
     words: int = 196
     chars: int = 2000
     overlap: int = 24
+    heading: int = 200
 
 
-_HEADING = re.compile(r"(?<!=)(={2,6})(?!=)\s*([^=\n]{1,200}?)\s*(?<!=)\1(?!=)")
+_HEADING = re.compile(r"(?<!=)(={2,6})(?!=)(?=[^=\n]*[^=\s])([^=\n]++)(?<!=)\1(?!=)")
 #: Signs that end a sentence, and those that may follow one.
 _ENDS, _CLOSERS = ".!?…。", "\"'”“’»)]"
 
@@ -134,12 +136,15 @@ def _natural(codes, starts, ends):
     return level
 
 
-def _sections(text: str, starts: np.ndarray, given: str | None):
+def _sections(text: str, starts: np.ndarray, given: str | None, longest: int):
     """(name, heading, first word, end word) of the stretches between headings."""
     at, name, heading, out = 0, given, None, []
     for m in _HEADING.finditer(text):
+        own = m.group(2).strip()
+        if len(own) > longest:
+            continue
         out.append((name, heading, at, m.start()))
-        at, name, heading = m.end(), m.group(2), m.group()
+        at, name, heading = m.end(), own, m.group()
     out.append((name, heading, at, len(text)))
     lo = np.searchsorted(starts, [x[2] for x in out])
     hi = np.searchsorted(starts, [x[3] for x in out])
@@ -172,7 +177,7 @@ def _cut_all(items, limits: Limits):
             out.add(src, ident, title, section, 0, 1, len(words[0]), False, text)
             continue
         s, e = _cut_long(*words, limits.chars)
-        parts = _sections(text, s, section)
+        parts = _sections(text, s, section, limits.heading)
         stop = np.full(len(s), len(s))
         for _, _, a, b in parts:
             stop[a:b] = b + base
@@ -198,8 +203,10 @@ def _cut_all(items, limits: Limits):
             for i in np.flatnonzero(on[base + a : base + b]) + a:
                 j = int(end[base + i]) - base
                 found.append((name, j - i, text[s[i] : e[j - 1]]))
+        # an item was over a limit if what came out isn't one piece as it is stored
+        cut = len(found) != 1 or found[0][2] != text
         for k, (name, n, piece) in enumerate(found or [(None, 0, "")]):
-            out.add(src, ident, title, name, k, max(1, len(found)), n, True, piece)
+            out.add(src, ident, title, name, k, max(1, len(found)), n, cut, piece)
     return record(_PIECES, *out.rows)
 
 

@@ -48,3 +48,25 @@ def test_held_out_accuracy(spark, data):
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, TEXTS["bg"], None)], "doc_id bigint, text string, lang string")
     assert L.languages(df).count() == 1
+
+
+def test_accuracy_and_calibration_on_planted_rows(spark, data):
+    import random
+    import re
+
+    # a sample half as large as that of a whole corpus
+    rnd = random.Random(11)
+    docs = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    fit = L.fitted([(r.text, L.named(r.lang)) for r in docs.collect() if r.text and L.named(r.lang)])
+    parts = {c: re.split(r"(?<=[.])\s+", t) for c, t in TEXTS.items()}
+    rows = []
+    for i in range(700):
+        c = list(TEXTS)[i % 7]
+        own = [rnd.choice(parts[c]) for _ in range(rnd.randint(1, 4))]
+        if rnd.random() < 0.3:
+            own.insert(rnd.randrange(len(own) + 1), "12,5 % 1908 3 400")
+        rows.append((i, " ".join(own), c))
+    got = {r.doc_id: r for r in L.languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), fit).collect()}
+    right = [got[i].lang == c for i, _, c in rows]
+    sure = [got[i].lang == c for i, _, c in rows if got[i].confidence >= 0.9]
+    assert sum(right) / len(right) >= 0.95 and len(sure) > 0.3 * len(rows) and sum(sure) / len(sure) >= 0.98

@@ -81,3 +81,34 @@ def test_edges(spark):
     assert [got["page", i][0].oversized for i in (8, 9, 10, 11)] == [False, True, False, True]
     assert S.split_items(spark.createDataFrame([], ITEM)).count() == 0
     assert len(pieces(spark, [("chunk", 1, "t", None, "x"), ("chunk", 1, "t", None, "x")])["chunk", 1]) == 2
+
+
+def test_a_long_stretch_between_equal_signs_is_text(spark, rnd):
+    words = " ".join(pseudo_words(rnd, 150))
+    got = pieces(spark, [("page", 1, "t", None, f"== {words} == {words} == Край == {words}")])["page", 1]
+    assert {r.section for r in got} == {None, "Край"} and sum(r.text.count("==") for r in got if r.section is None) >= 2
+    assert S._sections("== " + "а" * 200 + " == x", np.array([0, 3]), None, 200)[1][0] == "а" * 200
+    assert len(S._HEADING.findall("== " * 20_000)) == 0
+
+
+def test_pieces_against_a_walk(spark, rnd):
+    # each cut followed one after the other, with the same legal ends
+    text = text_of(rnd, 3000)
+    got = [r.text.split() for r in pieces(spark, [("page", 1, "t", None, text)])["page", 1]]
+    words, at, want = text.split(), 0, []
+    codes = S._codes(text)
+    starts, ends = S.spans(codes)
+    level = S._natural(codes, starts, ends)
+    while True:
+        most = at + 1
+        while most < len(words) and most - at < 196 and ends[most] - starts[at] <= 2000:
+            most += 1
+        if most < len(words):
+            last = lambda least: max((k + 1 for k in range(at, most) if level[k] >= least), default=0)
+            paragraph, sentence = last(2), last(1)
+            most = paragraph if paragraph > max(at + 24, at + (most - at) // 2) else sentence if sentence > at + 24 else most
+        want.append(words[at:most])
+        if most == len(words):
+            break
+        at = max(most - 24, at + 1)
+    assert got == want
