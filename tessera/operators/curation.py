@@ -120,7 +120,13 @@ def type_qualified_pairs(triples: DataFrame) -> DataFrame:
 def merge_type_qualified(triples: DataFrame) -> DataFrame:
     """The triples with each subject labelled ``X (type)`` or ``X type`` and its namesake X as one."""
     t = settled(g.triple_set(triples), "triples")
-    return rewritten(t, kept_of(type_qualified_pairs(t), t))
+    # of a name and type every qualified subject is a namesake of every plain one: each is linked to the
+    # smallest of them all instead
+    types = g.types(t).filter(~F.col("type").isin(v.SCHEMA_TYPES))
+    side = lambda df, plain: df.join(types, "node").select("key", "type", "node", F.lit(plain).alias("plain"))
+    own = side(_bases(t, True).select("node", F.lower("base").alias("key")).distinct(), False).unionByName(side(label_keys(t), True))
+    least = own.groupBy("key", "type").agg(F.min("node").alias("b"), F.bool_or("plain").alias("p"), F.bool_or(~F.col("plain")).alias("q")).filter("p AND q").select("key", "type", "b")
+    return rewritten(t, kept_of(own.join(least, ["key", "type"]).select(F.col("node").alias("a"), "b").distinct(), t))
 
 
 def with_aliases(triples: DataFrame) -> DataFrame:

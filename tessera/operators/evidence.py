@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, keywords, stem, words
+from ..functions.text import bound, words
+from ..sources.tables import settled
 from . import ranking
 
 SALTS = 8
@@ -36,15 +37,17 @@ def meeting(items: DataFrame, texts: DataFrame) -> DataFrame:
 
 def ranked(items: DataFrame, texts: DataFrame, model=ranking.word_overlap) -> DataFrame:
     """(id, doc_id, text, lexical, stem, pair): the texts that meet an item with their place by each of three
-    scorers, the last one a model for pairs. What the first two need of a question is found once for each."""
-    stems = lambda k: F.array_distinct(F.transform(k, stem))
-    asked = items.select("id", "question", keywords(F.col("question")).alias("kw")).withColumn("ks", stems(F.col("kw")))
-    met = meeting(items, texts).join(texts.select("doc_id", "text"), "doc_id").join(asked, "id")
-    lexical = bound(F.lower("text"), lambda low: ranking._lexical(F.col("kw"), low))
-    shared = F.aggregate(F.array_intersect("ks", stems(keywords(F.col("text")))), F.lit(0), lambda s, w: s + F.length(w))
-    scored = ranking.model_scores(met.select("id", "doc_id", "text", "question", lexical.alias("a"), shared.alias("b")), "question", "text", model, "c")
+    scorers, the last one a model for pairs. What the first two need of a question and of a text is found once
+    for each of them that meets another."""
+    met = settled(meeting(items, texts), "meeting")
+    asked = settled(items.select("id", "question", ranking.ready(F.col("question")).alias("q")), "asked")
+    held = texts.select("doc_id", "text").join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = settled(held.select("doc_id", "text", ranking.ready(F.col("text")).alias("t")), "held")
+    pairs = met.join(held, "doc_id").join(asked, "id")
+    a, b = ranking._lexical(F.col("q.words"), F.col("t.low")), ranking.ready_stem_score("q", "t")
+    scored = ranking.model_scores(pairs.select("id", "doc_id", "text", "question", a.alias("a"), b.alias("b")), "question", "text", model, "c")
     by = lambda c: F.row_number().over(Window.partitionBy("id").orderBy(F.desc(c), "doc_id"))
-    return scored.withColumn("b", F.col("a") + F.col("b")).select("id", "doc_id", "text", by("a").alias("lexical"), by("b").alias("stem"), by("c").alias("pair"))
+    return scored.select("id", "doc_id", "text", by("a").alias("lexical"), by("b").alias("stem"), by("c").alias("pair"))
 
 
 ARMS = ("lexical", "stem", "pair")
@@ -58,7 +61,8 @@ def recalls(gold: DataFrame, placed: DataFrame, cuts=CUTS) -> DataFrame:
     low = F.lower("gold")
     long_words = F.filter(words(low), lambda w: F.length(w) > 3)
     wanted = gold.select("id", F.when(F.col("gold").isNull() | (F.col("gold") == ""), F.array().cast("array<string>")).when(F.size(long_words) > 0, long_words).otherwise(F.array(low)).alias("w"))
-    one = placed.join(wanted.select("id", F.posexplode("w").alias("i", "w")), "id").withColumn("hit", F.contains(F.lower("text"), F.col("w")).cast("int"))
+    hits = bound(F.lower("text"), lambda t: F.transform("w", lambda w: F.contains(t, w).cast("int")))
+    one = placed.join(wanted, "id").select("id", *ARMS, F.posexplode(hits).alias("i", "hit"))
     within = {"recall": F.max("hit"), **{f"{a}_{n}": F.max(F.when(F.col(a) <= n, F.col("hit"))) for a in ARMS for n in cuts}}
     found = one.groupBy("id", "i").agg(*[c.alias(k) for k, c in within.items()]).groupBy("id").agg(*[(F.sum(F.coalesce(k, F.lit(0))) / F.count("*") >= 0.5).alias(k) for k in within])
     n = placed.groupBy("id").agg(F.count("*").alias("ctx_n"))

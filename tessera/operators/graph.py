@@ -242,11 +242,15 @@ def hop(frontier: DataFrame, edge: DataFrame, keys: list[str]) -> DataFrame:
     return out.unionByName(into).distinct()
 
 
-def neighbourhood(seeds: DataFrame, triples: DataFrame, hops: int, keys: list[str]) -> DataFrame:
+def neighbourhood(seeds: DataFrame, triples: DataFrame, hops: int, keys: list[str], cap: int | None = None) -> DataFrame:
     """(*keys, hop, triple): all triples within ``hops`` of the seeds (*keys, node), each at its first hop.
 
-    Types' objects don't lead on. One pass for each hop over all seeds together."""
-    edge = edges(triples)
+    Types' objects don't lead on, nor with ``cap`` do nodes of more edges, seeds aside. One pass for each hop
+    over all seeds together."""
+    edge = settled(edges(triples), "edges") if hops > 1 else edges(triples)
+    if cap is not None:
+        ends = edge.select(F.col("s").alias("node")).union(edge.filter("s_kind <> 'bnode'").select("o"))
+        small = ends.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") <= cap).select("node")
     seen = seeds.select(*keys, "node").distinct()
     frontier, found = seen, None
     for n in range(1, hops + 1):
@@ -257,6 +261,8 @@ def neighbourhood(seeds: DataFrame, triples: DataFrame, hops: int, keys: list[st
         found = new if found is None else found.unionByName(new)
         ends = new.filter("s_kind = 'uri'").select(*keys, F.col("s").alias("node")).union(new.filter((F.col("o_kind") == "uri") & (F.col("p") != v.TYPE)).select(*keys, "o"))
         frontier = ends.distinct().join(seen, [*keys, "node"], "left_anti")
+        if cap is not None:
+            frontier = frontier.join(small, "node", "left_semi").select(*keys, "node")
         seen = seen.unionByName(frontier)
     return found.select(*keys, "hop", "s", "p", "o")
 
@@ -311,9 +317,13 @@ def adjacency(triples: DataFrame) -> DataFrame:
 def hop_distances(seeds: DataFrame, adjacent: DataFrame, cap: int = v.HUB_DEGREE) -> DataFrame:
     """(node, hop) up to 2; the second hop only goes through nodes of at most ``cap`` neighbours."""
     seeds = seeds.select("node").distinct()
-    one = seeds.join(adjacent, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+    # a hub's neighbours are dealt over parts
+    dealt = adjacent.withColumn("part", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).withColumnRenamed("src", "node")
+    repeated = lambda df: df.withColumn("part", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    next_to = lambda df: repeated(df.select("node")).join(dealt, ["node", "part"]).select(F.col("dst").alias("node")).distinct()
+    one = next_to(seeds)
     small = adjacent.groupBy("src").agg(F.count("*").alias("degree")).filter(F.col("degree") <= cap)
-    two = one.join(small, F.col("node") == F.col("src"), "left_semi").join(adjacent, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+    two = next_to(one.join(small, F.col("node") == F.col("src"), "left_semi"))
     at = seeds.withColumn("hop", F.lit(0)).union(one.withColumn("hop", F.lit(1))).union(two.withColumn("hop", F.lit(2)))
     return at.groupBy("node").agg(F.min("hop").alias("hop"))
 

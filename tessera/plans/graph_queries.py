@@ -74,8 +74,8 @@ def kg_nhop_1(spark, d):
 
 
 def kg_nhop_2(spark, d):
-    """The triples within two hops of what each question names."""
-    return graph.neighbourhood(_links(spark, d).select("query_id", "node"), _t(spark, d), 2, ["query_id"])
+    """The triples within two hops of what each question names; a hub that isn't named itself doesn't lead on."""
+    return graph.neighbourhood(_links(spark, d).select("query_id", "node"), _t(spark, d), 2, ["query_id"], v.HUB_DEGREE)
 
 
 def kg_beam_expand(spark, d):
@@ -415,7 +415,8 @@ ORACLE = {
     "kg_nhop_1": f"WITH {_EDGES}, {_L}, {_HOP1} SELECT DISTINCT query_id, 1 AS hop, s, p, o FROM hop1",
     "kg_nhop_2": f"""WITH {_EDGES}, {_L}, seeds AS MATERIALIZED (SELECT DISTINCT query_id, node FROM links),
 h1 AS MATERIALIZED (SELECT query_id, e.* FROM seeds JOIN edges e ON e.s = node UNION SELECT query_id, e.* FROM seeds JOIN edges e ON e.o = node AND e.s_kind <> 'bnode'),
-f1 AS MATERIALIZED (SELECT query_id, s AS node FROM h1 WHERE s_kind = 'uri' UNION SELECT query_id, o FROM h1 WHERE o_kind = 'uri' AND p <> '{v.TYPE}' EXCEPT SELECT query_id, node FROM seeds),
+small AS MATERIALIZED (SELECT node FROM (SELECT s AS node FROM edges UNION ALL SELECT o FROM edges WHERE s_kind <> 'bnode') GROUP BY 1 HAVING count(*) <= {v.HUB_DEGREE}),
+f1 AS MATERIALIZED (SELECT * FROM (SELECT query_id, s AS node FROM h1 WHERE s_kind = 'uri' UNION SELECT query_id, o FROM h1 WHERE o_kind = 'uri' AND p <> '{v.TYPE}' EXCEPT SELECT query_id, node FROM seeds) WHERE node IN (SELECT node FROM small)),
 h2 AS (SELECT query_id, e.* FROM f1 JOIN edges e ON e.s = node UNION SELECT query_id, e.* FROM f1 JOIN edges e ON e.o = node AND e.s_kind <> 'bnode')
 SELECT query_id, 1 AS hop, s, p, o FROM h1 UNION ALL SELECT query_id, 2, s, p, o FROM h2 z WHERE NOT EXISTS (SELECT 1 FROM h1 y WHERE y.query_id = z.query_id AND y.s = z.s AND y.p = z.p AND y.o = z.o)""",
     "kg_beam_expand": f"""WITH {_FACTS}, edges AS MATERIALIZED (SELECT * FROM t WHERE p NOT IN ({_list(v.SKIPPED_PREDICATES)})), {_L},
