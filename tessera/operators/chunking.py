@@ -6,6 +6,7 @@ no chunk; a missing title is ``Unknown``, a missing file ``unknown``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +23,10 @@ def in_words(tokens: int) -> int:
 
 @dataclass(frozen=True)
 class Strategy:
-    kind: str
+    """How pages are chunked: one of the kinds below, or a function from pages to (page_id, title, source_file,
+    chunk_index, text) and, where it has them, section and parent_id."""
+
+    kind: str | Callable[[DataFrame], DataFrame]
     size: int = 256
     overlap: int = 32
     parent: int = 512
@@ -95,7 +99,9 @@ def children(parent_rows: DataFrame, tokens: int = 128, overlap: int = 16) -> Da
 def chunked(pages: DataFrame, strategy: str) -> DataFrame:
     """Chunks by a named strategy: (page_id, title, section, source_file, parent_id, is_child, chunk_index, text)."""
     s = STRATEGIES[strategy]
-    if s.kind == "fixed":
+    if callable(s.kind):
+        df = s.kind(pages)
+    elif s.kind == "fixed":
         df = fixed(pages, s.size, s.overlap)
     elif s.kind == "structure":
         df = structure(pages, s.size, s.overlap)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as v
 from ..functions.text import stripped, squeezed
 from ..sources.tables import settled
+from .ranking import model_scores
 
 TRIPLE = ["s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang"]
 
@@ -267,13 +268,13 @@ def neighbourhood(seeds: DataFrame, triples: DataFrame, hops: int, keys: list[st
     return found.select(*keys, "hop", "s", "p", "o")
 
 
-def beam_expansion(seeds: DataFrame, triples: DataFrame, score, hops: int = 2, limit: int = 100, beam: int = 50, frontier_size: int = 20) -> DataFrame:
+def beam_expansion(seeds: DataFrame, triples: DataFrame, score, hops: int = 2, limit: int = 100, beam: int = 50, frontier_size: int = 20, model=None) -> DataFrame:
     """(query_id, hop, s, p, o, text, score): per-seed expansion guided by relevance.
 
     seeds: (query_id, query, rank, node); a node belongs to its seed of smallest rank. A hop fetches the
     first ``limit`` triples around a seed's frontier by code point; those that are new and can be told are
     scored, the ``beam`` best of them are kept, and at most ``frontier_size`` of their nodes, in order of
-    score, lead on. score: Column of (query, text).
+    score, lead on. score: Column of (query, text); model: a model for pairs that scores in its place, in batches.
 
     No node can add more than its first ``limit`` triples to that, so nodes are cut to these once, before
     the queries meet them; a hub with any share of the triples costs no more than another node.
@@ -296,7 +297,7 @@ def beam_expansion(seeds: DataFrame, triples: DataFrame, score, hops: int = 2, l
         new = new.withColumn("n", own).filter("n = 1 AND text IS NOT NULL")
         if found is not None:
             new = new.join(found.select("query_id", "s", "p", "o"), ["query_id", "s", "p", "o"], "left_anti")
-        new = new.withColumn("score", score(F.col("query"), F.col("text")))
+        new = new.withColumn("score", score(F.col("query"), F.col("text"))) if model is None else model_scores(new, "query", "text", model)
         place = F.row_number().over(Window.partitionBy("query_id", "seed").orderBy(F.desc("score"), "text"))
         new = settled(new.withColumn("n", place).filter(F.col("n") <= beam).withColumn("hop", F.lit(n)), "beam")
         found = new if found is None else found.unionByName(new)

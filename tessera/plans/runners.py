@@ -37,6 +37,15 @@ def without_context(questions: DataFrame, model=rag.echo_model) -> DataFrame:
     return rag._answered(q, empty, model).select(*RUN)
 
 
+def baseline(questions: DataFrame, model, order: str, workers: int = 8, batch: int = 1) -> DataFrame:
+    """(order, query_id, reply, answer, error) of a model that is asked by so many workers at once, in the
+    questions' order."""
+    q = questions.select(order, "query_id", rag.dataset.prompt(F.col("question"), F.col("options")).alias("prompt"))
+    replies = rag.asked(q.repartition(workers).select("query_id", "prompt"), model, batch)
+    done = q.select(order, F.col("query_id").cast("string").alias("query_id")).join(replies, "query_id")
+    return done.select(order, "query_id", "reply", F.coalesce(rag.answer_letter(F.col("reply")), F.lit("-")).alias("answer"), "error").orderBy(order)
+
+
 def chunk_strategies(questions: DataFrame, pages: DataFrame, strategies: list[str] = ("fixed256", "structure", "parentchild"), embed=rag.hashed_vectors, model=rag.echo_model) -> DataFrame:
     """Run records with ``strategy``: the chunk pipeline by each named strategy."""
     return _union([rag.answer_from_chunks(questions, pages, s, embed, model).select(*RUN).withColumn("strategy", F.lit(s)) for s in strategies])

@@ -36,6 +36,12 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     return first_of(both.filter(F.col("title").rlike(r"[^\s\p{Z}]")), ["title"], ["source_file", "content", "language"])
 
 
+def read_folder_counted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The pages of a folder, and (title, n) of the titles that stood there several times."""
+    both = read_pages(spark, f"{folder}/*.json").unionByName(read_page_lines(spark, f"{folder}/*.jsonl"))
+    return read_folder(spark, folder), repeated_titles(both)
+
+
 def read_page_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The pages of a JSON list, and (title, n) of the titles it holds several times."""
     pages = read_pages(spark, path)

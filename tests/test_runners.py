@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as v
-from tessera.operators import dataset, graph, ranking, vectors
+from tessera.operators import chunking, dataset, graph, ranking, vectors
 from tessera.plans import classic, rag, runners
 from tests.test_operators import triples
 
@@ -119,6 +119,27 @@ def test_older_variants(spark, peaks):
     assert "1. факт" in prompt and "Какво?" in prompt and seconds["prompt"] >= 0
 
 
+def test_own_chunkers_and_scorers(spark, peaks, pages, monkeypatch):
+    lines = lambda p: p.select("page_id", "title", "source_file", F.lit(0).alias("chunk_index"), F.substring("content", 1, 10).alias("text"))
+    monkeypatch.setitem(chunking.STRATEGIES, "first10", chunking.Strategy(lines))
+    assert {r.text for r in chunking.chunked(pages, "first10").collect()} == {"Мусала е в", "съвсем дру"}
+    seeds = spark.createDataFrame([("q", "x", 1, v.NS + "Мусала")], "query_id string, query string, rank int, node string")
+    got = graph.beam_expansion(seeds, peaks, None, hops=1, beam=1, model=lambda q, t: [float("тип" in x) for x in t]).collect()
+    assert [r.text for r in got] == ["Мусала е тип Връх"] and got[0].score == 1.0
+
+
+def test_baseline_keeps_the_order(spark):
+    q = spark.createDataFrame([(i, str(9 - i), f"въпрос {i}", [("A", "x")], "A") for i in range(10)], "place int, " + QUESTION).repartition(3)
+
+    def model(prompts):
+        if any("въпрос 3" in p for p in prompts):
+            raise RuntimeError("no")
+        return ["A" if "въпрос 1" in p else "B" for p in prompts]
+
+    got = runners.baseline(q, model, "place", workers=4).collect()
+    assert [r.place for r in got] == list(range(10)) and [r.answer for r in got] == ["B", "A", "B", "-"] + ["B"] * 6 and got[3].error == "no"
+
+
 def test_merging_and_annotation(spark):
     a = spark.createDataFrame([("1", "Кой е това?"), ("2", "кой е това"), ("3", None)], "id string, question string")
     rows, counts = dataset.merged_batches(a.unionByName(a))

@@ -46,6 +46,7 @@ def test_files(spark, tmp_path):
     assert files.read_pages(spark, f"{tmp_path}/*.json", ["fetched-b.json"]).count() == 2
     got = {r.title: r.source_file for r in files.read_folder(spark, str(tmp_path)).collect()}
     assert got == {"A": "fetched-a.json", "B": "d.jsonl", "C": "d.jsonl"}
+    assert {r.title: r.n for r in files.read_folder_counted(spark, str(tmp_path))[1].collect()} == {"A": 2, "B": 2}
     runs = tmp_path / "runs"
     runs.mkdir()
     (runs / "r.jsonl").write_text('{"question": "q", "answer": "A"}\nnope\n{"question": "q", "answer": "B"}\n')
