@@ -11,24 +11,24 @@ QUANTITY_TYPE = NS + "КоличественаСтойност"
 COUNTRY_PREDICATE, COUNTRY = NS + "държава", NS + "България"
 
 #: Properties that point to quantity nodes.
-QUANTITY_PROPERTIES = [NS + x for x in "надморскаВисочина дължинаВБългария общаДължина площНаВодосборенБасейн имаПлощ имаНаселение имаВисочинаНаПада имаОбем имаЗалятаПлощ имаСреднаНадморскаВисочина имаМаксималнаДълбочина имаДължинаНаСтена имаВисочинаНаСтена имаКапацитет имаДебит имаТемпература имаЕстественПрираст имаКоефициентНаРаждаемост основанПрезГодина имаДялОтСветовниЗапаси".split()]
+QUANTITY_PROPERTIES = [NS + x for x in ["надморскаВисочина", "дължинаВБългария", "общаДължина", "площНаВодосборенБасейн", "имаПлощ", "имаНаселение", "имаВисочинаНаПада", "имаОбем", "имаЗалятаПлощ", "имаСреднаНадморскаВисочина", "имаМаксималнаДълбочина", "имаДължинаНаСтена", "имаВисочинаНаСтена", "имаКапацитет", "имаДебит", "имаТемпература", "имаЕстественПрираст", "имаКоефициентНаРаждаемост", "основанПрезГодина", "имаДялОтСветовниЗапаси"]]
 
 #: Types of the schema itself; predicates that aren't told as facts.
-SCHEMA_TYPES = [OWL + x for x in "Class Ontology AnnotationProperty ObjectProperty DatatypeProperty SymmetricProperty TransitiveProperty FunctionalProperty InverseFunctionalProperty Thing".split()] + [RDFS + "Class", RDF + "Property", RDFS + "Resource"]
-SKIPPED_PREDICATES = [RDFS + x for x in "comment subClassOf label domain range".split()] + [OWL + x for x in "sameAs inverseOf equivalentClass disjointWith".split()]
+SCHEMA_TYPES = [OWL + x for x in ["Class", "Ontology", "AnnotationProperty", "ObjectProperty", "DatatypeProperty", "SymmetricProperty", "TransitiveProperty", "FunctionalProperty", "InverseFunctionalProperty", "Thing"]] + [RDFS + "Class", RDF + "Property", RDFS + "Resource"]
+SKIPPED_PREDICATES = [RDFS + x for x in ["comment", "subClassOf", "label", "domain", "range"]] + [OWL + x for x in ["sameAs", "inverseOf", "equivalentClass", "disjointWith"]]
 IGNORED_SUBJECT_TYPES = [OWL + "NamedIndividual", OWL + "Thing", RDFS + "Resource"]
 IGNORED_OBJECT_TYPES = [*IGNORED_SUBJECT_TYPES, OWL + "Class", RDFS + "Class"]
 
 #: Importance of predicates by tier, 3 to 10.
 IMPORTANCE = {
-    3: "находящСеВ извираОт вливаСеВ притокНа имаПриток найВисокВръхНа столица еСтолицаНа областенЦентър еОбластенЦентърНа общинскиЦентър еОбщинскиЦентърНа мястоНаВливане находящСеВПодножиетоНа находящСеВПоречиетоНа имаЯзовир еСъставящаЧастНа имаСъставящаЧаст",
-    4: "намираСеНаРека частОтПрироденПарк частОтКаскада странаНаПритока свързанС близоДо захранваСеОт",
-    5: "имаАлтернативноИме основанПрезГодина еЗавършенПрез имаТипСтена имаСтатутНаЗащитенаМестност обявенаСъсЗаповед официаленЕзик датаНаОбявяване датаНаЗавършване датаНаПровеждане",
-    6: "намираСеВЗемлищетоНа разположенВМестност проведеноЗа обхващаПериодОтДо строител частОтИнфраструктуренОбект",
-    7: "граничиС преминаваПрез протичаПрез свързва стопанисваСеОт образува използваСеЗа",
-    8: "имаОписание имаИстория имаЕтимология имаКлимат имаГеология имаФлора имаФауна частОтИсториятаНа",
-    9: "имаПолезноИзкопаемо имаТипПочва имаХарактеренРастителенВид имаХарактеренЖивотинскиВид принадлежиКъмКлиматичнаЗона",
-    10: "държава",
+    3: ["находящСеВ", "извираОт", "вливаСеВ", "притокНа", "имаПриток", "найВисокВръхНа", "столица", "еСтолицаНа", "областенЦентър", "еОбластенЦентърНа", "общинскиЦентър", "еОбщинскиЦентърНа", "мястоНаВливане", "находящСеВПодножиетоНа", "находящСеВПоречиетоНа", "имаЯзовир", "еСъставящаЧастНа", "имаСъставящаЧаст"],
+    4: ["намираСеНаРека", "частОтПрироденПарк", "частОтКаскада", "странаНаПритока", "свързанС", "близоДо", "захранваСеОт"],
+    5: ["имаАлтернативноИме", "основанПрезГодина", "еЗавършенПрез", "имаТипСтена", "имаСтатутНаЗащитенаМестност", "обявенаСъсЗаповед", "официаленЕзик", "датаНаОбявяване", "датаНаЗавършване", "датаНаПровеждане"],
+    6: ["намираСеВЗемлищетоНа", "разположенВМестност", "проведеноЗа", "обхващаПериодОтДо", "строител", "частОтИнфраструктуренОбект"],
+    7: ["граничиС", "преминаваПрез", "протичаПрез", "свързва", "стопанисваСеОт", "образува", "използваСеЗа"],
+    8: ["имаОписание", "имаИстория", "имаЕтимология", "имаКлимат", "имаГеология", "имаФлора", "имаФауна", "частОтИсториятаНа"],
+    9: ["имаПолезноИзкопаемо", "имаТипПочва", "имаХарактеренРастителенВид", "имаХарактеренЖивотинскиВид", "принадлежиКъмКлиматичнаЗона"],
+    10: ["държава"],
 }
 
 #: Types that say too little to expand by.
@@ -45,7 +45,7 @@ SECTIONS = ["Вижте също", "Галерия", "Източници", "Въ
 MARKERS = [f"== {x} ==" for x in ["Източници", "Вижте също", "Галерия", "Външни препратки", "Литература", "Бележки", "Източници и бележки"]]
 
 #: Types whose subjects are left out of a subgraph unless they are seeds.
-NOISE_TYPES = [NS + x for x in "Село Музей КултуренОбект Събитие ЕтнографскаОбласт Квартал Хижа Организация КандидатЗаОбщинскиСъветник ЖивотинскиВид РастителенВид Крепост".split()]
+NOISE_TYPES = [NS + x for x in ["Село", "Музей", "КултуренОбект", "Събитие", "ЕтнографскаОбласт", "Квартал", "Хижа", "Организация", "КандидатЗаОбщинскиСъветник", "ЖивотинскиВид", "РастителенВид", "Крепост"]]
 HUB_DEGREE, LINKED_PER_QUESTION, LINKED_ONLINE, DESCRIPTION_CHARS = 50, 16, 12, 300
 
 #: Latin letters typed for Cyrillic ones, and two words that the letters alone don't mend.
@@ -81,6 +81,8 @@ TOPICS = {
 COUNTRY_MARKS = ["българия", "балкан", "дунав", "черно море", "марица", "искър", "рила", "родоп", "стара планин", "пирин", "вит", "тунджа"]
 
 #: Texts of the prompts.
+# The words of the prompts are part of what is embedded, linked and scored ("тип" in them decides a
+# penalty), so they are fixed too.
 MCQ_HEAD = "Ще ти бъде даден въпрос от затворен тип с 4 опции: A, B, C и D. Отговори като използваш само буквата на верния отговор.\n\nВъпрос: "
 MCQ_TAIL = "Отговор:"
 NO_CONTEXT = "Няма намерен специфичен контекст."

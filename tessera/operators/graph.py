@@ -103,7 +103,7 @@ def importance(p: Column) -> Column:
     """How telling a predicate is, 1 best; the first rule that fits counts."""
     c = F.when(p.isin(v.QUANTITY_PROPERTIES), 1).when(p == v.TYPE, 2)
     for tier, names in v.IMPORTANCE.items():
-        c = c.when(p.isin([v.NS + n for n in names.split()]), tier)
+        c = c.when(p.isin([v.NS + n for n in names]), tier)
     return c.when(p.isin(v.VALUE, v.UNIT), 98).when(F.startswith(p, F.lit(v.RDFS)) | F.startswith(p, F.lit(v.OWL)), 99).when(F.startswith(p, F.lit(v.NS)), 15).otherwise(20)
 
 

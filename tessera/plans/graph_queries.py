@@ -279,7 +279,7 @@ def _plain(x: str) -> str:
 
 _IMPORTANCE = (
     f"CASE WHEN p IN ({_list(v.QUANTITY_PROPERTIES)}) THEN 1 WHEN p = '{v.TYPE}' THEN 2 "
-    + " ".join(f"WHEN p IN ({_list(v.NS + n for n in names.split())}) THEN {tier}" for tier, names in v.IMPORTANCE.items())
+    + " ".join(f"WHEN p IN ({_list(v.NS + n for n in names)}) THEN {tier}" for tier, names in v.IMPORTANCE.items())
     + f" WHEN p IN ('{v.VALUE}', '{v.UNIT}') THEN 98 WHEN starts_with(p, '{v.RDFS}') OR starts_with(p, '{v.OWL}') THEN 99 WHEN starts_with(p, '{v.NS}') THEN 15 ELSE 20 END"
 )
 _T = "t AS MATERIALIZED (SELECT DISTINCT s, s_kind, p, o, o_kind, o_datatype, o_lang FROM triples WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL)"
