@@ -364,7 +364,7 @@ def _bits(values: DataFrame):
     v = F.pmod(F.col(values.columns[0]), F.lit(BITS))
     placed = values.select(v.alias("v")).repartition(F.floor(F.col("v") / each))
     whole = np.zeros(BITS // 8, np.uint8)
-    for part, bits in placed.mapInArrow(fill, "part bigint, bits binary").toLocalIterator():
+    for part, bits in placed.mapInArrow(fill, "part bigint, bits binary").collect():
         whole[part * each // 8 : (part + 1) * each // 8] = np.frombuffer(bits, np.uint8)
     return values.sparkSession.sparkContext.broadcast(whole)
 
