@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
 from ..functions.text import bound, stem, stripped, words
+from ..sources.tables import settled
 
 #: Shortest label that is looked for, which is also how labels and texts are met.
 SHORTEST = 4
@@ -53,14 +54,32 @@ def content_words(c: Column) -> Column:
 
 def fuzzy_linked(texts: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, node, label): labels whose word stems begin words of the text: all of them, or of three and
-    more all but one, or the first two."""
+    more all but one, or the first two.
+
+    A stem like that of a common word stands in any share of the labels and of the texts, so a label isn't
+    met at all of its stems but at the one that begins words of the fewest texts. From three stems on one
+    may be missing: it is met at the two rarest, and at the rarer of the first two. The other stems are
+    looked for in the texts met there.
+    """
+    read = settled(texts.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(content_words(F.col("text"))))).alias("words")), "words")
+    prefixes = F.flatten(F.transform(F.col("words"), lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.length(w)), lambda k: F.substring(w, F.lit(1), k))))
+    own = read.select("query_id", F.explode(F.array_distinct(prefixes)).alias("stem"))
     stems = index.select("label", "node", F.transform(content_words(F.col("label")), stem).alias("stems")).filter(F.size("stems") > 0)
-    one = stems.select("label", "node", F.size("stems").alias("n"), F.posexplode("stems").alias("i", "stem"))
-    prefixes = F.flatten(F.transform(content_words(F.col("text")), lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.length(w)), lambda k: F.substring(w, F.lit(1), k))))
-    own = texts.select("query_id", F.explode(F.array_distinct(prefixes)).alias("stem"))
-    dealt = own.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
-    hits = dealt.join(_repeated(one), ["stem", "part"]).groupBy("query_id", "node", "label", "n").agg(F.count("*").alias("hits"), F.count_if(F.col("i") < 2).alias("first"))
-    return hits.filter("hits = n OR (n >= 3 AND (hits >= n - 1 OR first = 2))").select("query_id", "node", "label")
+    one = stems.select("label", "node", F.posexplode("stems").alias("i", "stem"))
+    counted = one.join(own.groupBy("stem").agg(F.count("*").alias("texts")), "stem", "left")
+    rarest = counted.groupBy("label", "node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "i", "stem"))).alias("by"))
+    n = F.size("by")
+    ways = F.concat(F.slice("by", 1, F.when(n >= 3, 2).otherwise(1)), F.slice(F.filter("by", lambda x: x["i"] < 2), 1, F.when(n >= 3, 1).otherwise(0)))
+    met_at = F.array_distinct(F.transform(F.filter(ways, lambda x: x["texts"] > 0), lambda x: x["stem"]))
+    in_order = F.transform(F.array_sort(F.transform("by", lambda x: F.struct(x["i"], x["stem"]))), lambda x: x["stem"])
+    # where the one stem of a label is met nothing is left to look for
+    keys = settled(rarest.select("label", "node", F.when(n > 1, in_order).alias("stems"), F.explode(met_at).alias("stem")), "keys")
+    sure = own.join(keys.filter("stems IS NULL"), "stem").select("query_id", "node", "label")
+    met = own.join(keys.filter("stems IS NOT NULL"), "stem").drop("stem").withColumnRenamed("query_id", "id").distinct()
+    begins = lambda s: F.exists("words", lambda w: F.startswith(w, s))
+    n, hits, first = F.size("stems"), F.size(F.filter("stems", begins)), F.size(F.filter(F.slice("stems", 1, 2), begins))
+    held = met.join(read, F.col("id").eqNullSafe(F.col("query_id"))).filter((hits == n) | ((n >= 3) & ((hits >= n - 1) | (first == 2))))
+    return sure.unionByName(held.select("query_id", "node", "label"))
 
 
 def seeds(texts: DataFrame, triples: DataFrame) -> DataFrame:

@@ -84,6 +84,67 @@ def test_linking_against_brute_force(spark):
     assert got == {(str(i), n) for i, x in enumerate(texts) for l, n in index.items() if l in x}
 
 
+def test_fuzzy_linking_against_brute_force(spark):
+    rnd = random.Random(3)
+    vocabulary = ["връх", "върховете", "езеро", "езерата", "реката", "Мала", "малката", "Рогозен", "рогозенска", "(град)", "да", "градове,"]
+    some = lambda k: " ".join(rnd.choice(vocabulary) for _ in range(k))
+    labels = {some(rnd.randint(1, 6)).lower() for _ in range(150)} | {"езеро езеро връх", "връх връх", "мала река езеро рогозен"}
+    texts = [(str(i), some(rnd.randint(0, 7))) for i in range(60)] + [("0", some(3)), ("1", "връх"), ("1", "връх"), (None, "езеро връх"), ("x", None), ("y", "")]
+    q = spark.createDataFrame(texts, "query_id string, text string")
+    index = spark.createDataFrame([(x, "N" + x) for x in labels], "label string, node string")
+    content = lambda x: [w for w in (w.strip("(),") for w in (x or "").lower().split()) if len(w) >= 4]
+    read = {}
+    for i, x in texts:
+        read.setdefault(i, []).extend(content(x))
+    want = set()
+    for x in labels:
+        stems = [w[: max(4, len(w) - 3)] for w in content(x)]
+        for i, own in read.items():
+            hit = [any(w.startswith(s) for w in own) for s in stems]
+            if stems and (all(hit) or (len(hit) >= 3 and (sum(hit) >= len(hit) - 1 or all(hit[:2])))):
+                want.add((i, "N" + x, x))
+    got = linking.fuzzy_linked(q, index).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert linking.fuzzy_linked(q.limit(0), index).count() == 0 and linking.fuzzy_linked(q, index.limit(0)).count() == 0
+
+
+def shuffled(spark, run):
+    """run(), and how many rows its jobs gave to shuffles, planned as for larger tables."""
+    sc = spark.sparkContext
+    group = f"shuffled-{id(run)}"
+    sc.setJobGroup(group, group)
+    large = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in large}
+    for k in large:
+        spark.conf.set(k, large[k])
+    try:
+        out = run()
+    finally:
+        for k in was:
+            spark.conf.set(k, was[k])
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    sc.setJobGroup("", "")
+    rows = 0
+    for s in stages:
+        rows += sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords()
+    return out, rows
+
+
+def name(i):
+    """A name for each i whose stem is its own."""
+    return "".join("бвгджзклмн"[int(c)] + "аеиоу"[int(c) % 5] for c in f"{i:04d}") + "ост"
+
+
+def test_common_stems_meet_no_pairs(spark):
+    n = 600
+    t = triples(spark, [(f"L{i}", "label", f"'{name(i)} (връх)") for i in range(n)])
+    q = spark.createDataFrame([(str(i), f"Връх {name(i).capitalize()}") for i in range(n)], "query_id string, text string")
+    got, rows = shuffled(spark, lambda: linking.fuzzy_linked(q, linking.label_index(t)).collect())
+    assert {(r.query_id, r.node) for r in got} == {(str(i), f"{v.NS}L{i}") for i in range(n)}
+    assert 0 < rows < 50 * n, rows
+
+
 def test_top_k(spark):
     rnd = random.Random(2)
     rows = [(i, [rnd.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(300)] + [(900, None), (901, [1.0])]
