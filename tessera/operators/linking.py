@@ -21,6 +21,25 @@ def _repeated(df: DataFrame) -> DataFrame:
     return df.withColumn("part", F.explode(F.array(*map(F.lit, range(SALTS)))))
 
 
+#: Bits of the set by which what no label begins with is kept out of shuffles: 1 MB, however many labels there are.
+SIEVE_BITS = 1 << 23
+
+
+def _bit(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+
+
+def _sieve(values: DataFrame):
+    """A condition on a column that all values (one column) meet, and few others: that a bit of a fixed set
+    is that of a value."""
+    bit = _bit(F.col(values.columns[0]))
+    filled = values.select(F.shiftright(bit, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(63).cast("int")).alias("bits"))
+    every = filled.unionByName(values.sparkSession.range(SIEVE_BITS >> 6).select(F.col("id").alias("at"), F.lit(0).cast("bigint").alias("bits")))
+    parts = every.groupBy("at").agg(F.bit_or("bits").alias("bits")).agg(F.array_sort(F.collect_list(F.struct("at", "bits"))).alias("all"))
+    whole = parts.select(F.transform("all", lambda x: x["bits"])).scalar()
+    return lambda c: F.getbit(F.element_at(whole, F.shiftright(_bit(c), 6).cast("int") + 1), _bit(c).bitwiseAND(63).cast("int")) == 1
+
+
 def label_index(triples: DataFrame) -> DataFrame:
     """(label, node): labels in lower case of at least four characters, one node (the largest) each."""
     t = triples.filter((F.col("p") == v.LABEL) & (F.col("o_kind") == "literal") & F.col("s").isNotNull())
@@ -36,10 +55,12 @@ def linked(texts: DataFrame, index: DataFrame, k: int = v.LINKED_ONLINE) -> Data
     """
     low = F.lower("text")
     starts = bound(low, lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - SHORTEST + 1), lambda i: F.substring(x, i, F.lit(SHORTEST))))
-    places = texts.filter(F.length(low) >= SHORTEST).select("query_id", low.alias("low"), F.posexplode(starts).alias("at", "start"))
+    index = index.withColumn("start", F.substring("label", 1, SHORTEST))
+    begun = _sieve(index.select("start"))
+    places = texts.filter(F.length(low) >= SHORTEST).select("query_id", low.alias("low"), F.posexplode(starts).alias("at", "start")).filter(begun(F.col("start")))
     # a start like the four letters of a common word may stand anywhere: its places are dealt over parts
     dealt = places.withColumn("part", F.pmod(F.xxhash64("query_id", "at"), F.lit(SALTS)).cast("int"))
-    met = dealt.join(_repeated(index.withColumn("start", F.substring("label", 1, SHORTEST))), ["start", "part"])
+    met = dealt.join(_repeated(index), ["start", "part"])
     held = met.filter(F.substring(F.col("low"), F.col("at") + 1, F.length("label")) == F.col("label")).select("query_id", "label", "node").distinct()
     one = held.groupBy("query_id", "node").agg(F.min_by("label", F.struct(-F.length("label"), "label")).alias("label"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.length("label")), "label"))
@@ -63,9 +84,10 @@ def fuzzy_linked(texts: DataFrame, index: DataFrame) -> DataFrame:
     """
     read = settled(texts.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(content_words(F.col("text"))))).alias("words")), "words")
     prefixes = F.flatten(F.transform(F.col("words"), lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.length(w)), lambda k: F.substring(w, F.lit(1), k))))
-    own = read.select("query_id", F.explode(F.array_distinct(prefixes)).alias("stem"))
     stems = index.select("label", "node", F.transform(content_words(F.col("label")), stem).alias("stems")).filter(F.size("stems") > 0)
     one = stems.select("label", "node", F.posexplode("stems").alias("i", "stem"))
+    known = _sieve(one.select("stem"))
+    own = settled(read.select("query_id", F.explode(F.array_distinct(prefixes)).alias("stem")).filter(known(F.col("stem"))), "stems")
     counted = one.join(own.groupBy("stem").agg(F.count("*").alias("texts")), "stem", "left")
     rarest = counted.groupBy("label", "node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "i", "stem"))).alias("by"))
     n = F.size("by")
@@ -84,5 +106,5 @@ def fuzzy_linked(texts: DataFrame, index: DataFrame) -> DataFrame:
 
 def seeds(texts: DataFrame, triples: DataFrame) -> DataFrame:
     """(node): what any of the texts links to, exactly (16 each) or by stems."""
-    index = label_index(triples)
+    texts, index = settled(texts, "texts"), settled(label_index(triples), "index")
     return linked(texts, index, v.LINKED_PER_QUESTION).select("node").union(fuzzy_linked(texts, index).select("node")).distinct()

@@ -137,12 +137,21 @@ def name(i):
 
 
 def test_common_stems_meet_no_pairs(spark):
-    n = 600
+    n = 1000
     t = triples(spark, [(f"L{i}", "label", f"'{name(i)} (връх)") for i in range(n)])
     q = spark.createDataFrame([(str(i), f"Връх {name(i).capitalize()}") for i in range(n)], "query_id string, text string")
     got, rows = shuffled(spark, lambda: linking.fuzzy_linked(q, linking.label_index(t)).collect())
     assert {(r.query_id, r.node) for r in got} == {(str(i), f"{v.NS}L{i}") for i in range(n)}
-    assert 0 < rows < 50 * n, rows
+    assert 0 < rows < n * n / 4
+
+
+def test_places_without_labels_stay_where_they_are(spark):
+    n = 1000
+    t = triples(spark, [("R", "label", "'Рогозен")])
+    q = spark.createDataFrame([(str(i), "абв где " * 60 + "рогозен") for i in range(n)], "query_id string, text string")
+    got, rows = shuffled(spark, lambda: linking.linked(q, linking.label_index(t)).collect())
+    assert {(r.query_id, r.node) for r in got} == {(str(i), v.NS + "R") for i in range(n)}
+    assert 0 < rows < 480 * n / 2
 
 
 def test_top_k(spark):
