@@ -1,10 +1,13 @@
 import json
+import time
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as v
 from tessera.session import Engine
-from tessera.sources import files, rdf
+from tessera.sources import files, rdf, tables
 from tessera.streaming.resume import answer_stream
 
 TTL = """@prefix : <http://example.org/geographbg#> .
@@ -175,3 +178,16 @@ def test_json_sinks(spark, tmp_path):
     (tmp_path / "list.json").write_text(json.dumps([{"title": "A", "content": "x"}, {"title": "A", "content": "y"}]))
     pages, repeated = files.read_page_list(spark, str(tmp_path / "list.json"))
     assert pages.count() == 2 and [tuple(r) for r in repeated.collect()] == [("A", 2)]
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    dirs = [Path(str(x)) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    there = lambda: {p.name for d in dirs for p in d.rglob("shuffle_*")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = there(), spark.conf.get(key, None)
+    df = tables.settled(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n")), "counts")
+    end = time.time() + 20
+    while there() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not there() - before and spark.conf.get(key, None) == setting
+    assert {(r.k, r.n) for r in df.collect()} == {(i, 100) for i in range(10)}
