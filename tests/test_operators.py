@@ -145,6 +145,15 @@ def test_common_stems_meet_no_pairs(spark):
     assert 0 < rows < n * n / 4
 
 
+def test_subgraph_of_common_stems_meets_no_pairs(spark):
+    n = 1000
+    t = triples(spark, [r for i in range(n) for r in ((f"L{i}", "label", f"'{name(i)} (връх)"), (f"L{i}", "a", "Връх"))])
+    q = spark.createDataFrame([(str(i), f"Връх {name(i).capitalize()}") for i in range(n)], "query_id string, text string")
+    got, rows = shuffled(spark, lambda: graph.subgraph(t, linking.seeds(q, t)).collect())
+    assert len(got) == 2 * n and {r.s for r in got} == {f"{v.NS}L{i}" for i in range(n)}
+    assert 0 < rows < n * n / 2
+
+
 def test_places_without_labels_stay_where_they_are(spark):
     n = 1000
     t = triples(spark, [("R", "label", "'Рогозен")])
