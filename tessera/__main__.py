@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import curation, evaluation, graph, linking
 from .session import Engine
 from .sources import rdf
+from .sources.tables import settled
 
 
 def table_text(df: DataFrame, rows: int = 1000) -> str:
@@ -27,9 +28,9 @@ def curate(spark, a) -> str:
 
 
 def subgraph(spark, a) -> str:
-    t = rdf.read_turtle(spark, a.graph)
+    t = settled(rdf.read_turtle(spark, a.graph), "triples")
     texts = spark.read.json(a.questions).select(F.monotonically_increasing_id().cast("string").alias("query_id"), F.col("question").alias("text"))
-    part = t.join(graph.subgraph(t, linking.seeds(texts, t)), ["s", "p", "o"], "left_semi")
+    part = t.join(graph.subgraph(t, settled(linking.seeds(texts, t), "seeds")), ["s", "p", "o"], "left_semi")
     if a.out:
         rdf.write_turtle(part, a.out, dry_run=a.dry_run)
     return table_text(graph.census_change(t, part))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as v
 from ..functions.text import stripped, squeezed
 from ..sources.tables import settled
+from .meeting import beside, sieve
 from .ranking import model_scores
 
 TRIPLE = ["s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang"]
@@ -311,22 +312,28 @@ def beam_expansion(seeds: DataFrame, triples: DataFrame, score, hops: int = 2, l
 
 def adjacency(triples: DataFrame) -> DataFrame:
     """(src, dst): undirected edges between nodes of the namespace, without types."""
-    t = triple_set(triples).filter((F.col("p") != v.TYPE) & (F.col("o_kind") == "uri") & F.startswith("s", F.lit(v.NS)) & F.startswith("o", F.lit(v.NS)))
-    return t.select(F.col("s").alias("src"), F.col("o").alias("dst")).union(t.select("o", "s")).distinct()
+    t = triples.filter((F.col("p") != v.TYPE) & (F.col("o_kind") == "uri") & F.startswith("s", F.lit(v.NS)) & F.startswith("o", F.lit(v.NS)))
+    pair = settled(t.select(F.least("s", "o").alias("src"), F.greatest("s", "o").alias("dst")).distinct(), "pairs")
+    return pair.union(pair.filter("src <> dst").select("dst", "src"))
+
+
+def _hops(seeds: DataFrame, adjacent: DataFrame, cap: int) -> DataFrame:
+    """(node, hop, open) up to 2, a node at each of its hops; open: it leads on to all of its neighbours."""
+    def next_to(nodes):
+        near = adjacent.filter(sieve(nodes)(F.col("src")))
+        return beside(near, nodes.withColumnRenamed("node", "src"), "src", ["dst"]).select(F.col("dst").alias("node")).distinct()
+
+    seeds = seeds.select("node").distinct()
+    degree = adjacent.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    one = settled(next_to(seeds).join(degree, "node", "left").select("node", F.coalesce(F.col("degree") <= cap, F.lit(False)).alias("open")), "one_hop")
+    two = next_to(one.filter("open").select("node"))
+    at = lambda df, hop, is_open: df.select("node", F.lit(hop).alias("hop"), is_open.alias("open"))
+    return at(seeds, 0, F.lit(True)).union(at(one, 1, F.col("open"))).union(at(two, 2, F.lit(False)))
 
 
 def hop_distances(seeds: DataFrame, adjacent: DataFrame, cap: int = v.HUB_DEGREE) -> DataFrame:
     """(node, hop) up to 2; the second hop only goes through nodes of at most ``cap`` neighbours."""
-    seeds = seeds.select("node").distinct()
-    # a hub's neighbours are dealt over parts
-    dealt = adjacent.withColumn("part", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).withColumnRenamed("src", "node")
-    repeated = lambda df: df.withColumn("part", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    next_to = lambda df: repeated(df.select("node")).join(dealt, ["node", "part"]).select(F.col("dst").alias("node")).distinct()
-    one = next_to(seeds)
-    small = adjacent.groupBy("src").agg(F.count("*").alias("degree")).filter(F.col("degree") <= cap)
-    two = next_to(one.join(small, F.col("node") == F.col("src"), "left_semi"))
-    at = seeds.withColumn("hop", F.lit(0)).union(one.withColumn("hop", F.lit(1))).union(two.withColumn("hop", F.lit(2)))
-    return at.groupBy("node").agg(F.min("hop").alias("hop"))
+    return _hops(seeds, adjacent, cap).groupBy("node").agg(F.min("hop").alias("hop"))
 
 
 def subgraph(triples: DataFrame, seeds: DataFrame, cap: int = v.HUB_DEGREE) -> DataFrame:
@@ -335,25 +342,41 @@ def subgraph(triples: DataFrame, seeds: DataFrame, cap: int = v.HUB_DEGREE) -> D
     Kept: triples of schema subjects (classes, properties and whatever is used as a type); those of nodes at
     most one hop away that aren't noise, but for long descriptions of others than seeds and edges to nodes
     that weren't reached; of farther and noise nodes that were reached only the labels.
+
+    The triples and the seeds are read several times. Triples are moved once, to their subjects, where they
+    also lose repeated ones; only edges that hubs and nodes of other namespaces don't lead on by are moved
+    to their objects as well.
     """
-    t = settled(triple_set(triples).select("s", "s_kind", "p", "o", "o_kind"), "triples")
-    schema = t.filter((F.col("p") == v.TYPE) & F.col("o").isin(v.SCHEMA_TYPES)).select(F.col("s").alias("node")).union(t.filter(F.col("p") == v.TYPE).select("o")).distinct().withColumn("schema", F.lit(True))
-    seeds = seeds.select("node").distinct()
-    reached = hop_distances(seeds, adjacency(triples), cap)
-    noise = t.filter((F.col("p") == v.TYPE) & F.col("o").isin(v.NOISE_TYPES)).select(F.col("s").alias("node")).distinct().join(seeds, "node", "left_anti").withColumn("noise", F.lit(True))
-    node = t.filter("s_kind = 'uri'").select(F.col("s").alias("node")).union(t.filter("o_kind = 'uri'").select("o")).distinct()
-    about = node.join(schema, "node", "left").join(reached, "node", "left").join(noise, "node", "left").join(seeds.withColumn("seed", F.lit(True)), "node", "left")
-    about = settled(about.select("node", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("schema", "noise", "seed")], "hop"), "nodes")
-    s, o = about.select(F.col("node").alias("s"), "schema", "noise", "seed", "hop"), about.select(F.col("node").alias("o"), F.col("schema").alias("o_schema"), F.col("hop").alias("o_hop"))
-    own = t.filter("s_kind = 'uri'").join(s, "s").join(o, "o", "left")
-    near = (F.col("hop") <= 1) & ~F.col("noise")
+    t = triples.select("s", "s_kind", "p", "o", "o_kind").filter("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
+    is_type = F.col("p") == v.TYPE
+    told = {"schema": F.lit(False), "noise": F.lit(False), "seed": F.lit(False), "hop": F.lit(None).cast("int"), "open": F.lit(False)}
+    one = lambda df, c, **flags: df.select(F.col(c).alias("node"), *[x.alias(k) for k, x in (told | flags).items()])
+    about = one(t.filter(is_type & F.col("o").isin(v.SCHEMA_TYPES)), "s", schema=F.lit(True)).union(one(t.filter(is_type).select("o").distinct(), "o", schema=F.lit(True)))
+    about = about.union(one(t.filter(is_type & F.col("o").isin(v.NOISE_TYPES)), "s", noise=F.lit(True))).union(one(seeds, "node", seed=F.lit(True)))
+    about = about.union(one(_hops(seeds, adjacency(triples), cap), "node", hop=F.col("hop"), open=F.col("open")))
+    about = about.groupBy("node").agg(*[F.bool_or(c).alias(c) for c in ("schema", "noise", "seed", "open")], F.min("hop").alias("hop"))
+    about = settled(about.withColumn("noise", F.col("noise") & ~F.col("seed")), "nodes")
+
+    own = beside(t.filter("s_kind = 'uri'"), about.withColumnRenamed("node", "s"), "s", ["p", "o"])
+    near = F.coalesce(F.col("hop") <= 1, F.lit(False)) & ~F.col("noise")
     long_text = F.col("p").isin(v.NS + "имаОписание", v.COMMENT) & (F.length("o") > v.DESCRIPTION_CHARS) & ~F.col("seed")
-    unreached = (F.col("o_kind") == "uri") & F.startswith("o", F.lit(v.NS)) & F.col("o_hop").isNull() & ~F.coalesce("o_schema", F.lit(False)) & (F.col("p") != v.TYPE)
-    keep = F.col("schema") | (F.coalesce(near, F.lit(False)) & ~long_text & ~unreached) | (~F.coalesce(near, F.lit(False)) & (F.col("p") == v.LABEL) & (F.col("hop").isNotNull() | F.col("noise")))
-    kept = settled(own.filter(keep).select("s", "p", "o", "o_kind"), "kept")
-    blank = kept.filter("o_kind = 'bnode'").select(F.col("o").alias("node")).distinct()
-    closed = blank.join(t, F.col("node") == F.col("s")).select("s", "p", "o")
-    return kept.select("s", "p", "o").union(closed).distinct()
+    # what a node of the namespace that leads on points to was reached
+    led = F.col("open") & F.startswith("s", F.lit(v.NS)) & F.col("o_kind").isNotNull()
+    unsure = ~F.col("schema") & near & (F.coalesce("o_kind", F.lit("uri")) == "uri") & F.startswith("o", F.lit(v.NS)) & ~is_type & ~led
+    keep = F.col("schema") | (near & ~long_text) | (~near & (F.col("p") == v.LABEL) & (F.col("hop").isNotNull() | F.col("noise")))
+    held = own.filter(keep).groupBy(*[c for c in own.columns if c == "part"], "s", "p", "o").agg(F.bool_or(~unsure).alias("sure"), F.bool_or(F.coalesce(F.col("o_kind") == "bnode", F.lit(False))).alias("blank"))
+    held = settled(held.select("s", "p", "o", "sure", "blank"), "held")
+    reached = about.filter("hop IS NOT NULL OR schema").select(F.col("node").alias("o"))
+    unsure = held.filter("NOT sure")
+    kept = held.filter("sure").union(beside(unsure, reached.filter(sieve(unsure.select("o"))(F.col("o"))), "o", ["s", "p"]).select(held.columns))
+
+    blank = settled(kept.filter("blank").select(F.col("o").alias("s")).distinct(), "blank")
+    named = F.coalesce(F.col("s_kind") == "uri", F.lit(False))
+    closed = beside(t.filter(~named | sieve(blank)(F.col("s"))), blank, "s", ["p", "o"])
+    closed = settled(closed.groupBy(*[c for c in closed.columns if c == "part"], "s", "p", "o").agg(F.bool_or(named).alias("named")).select("s", "p", "o", "named"), "closed")
+    out = kept.select("s", "p", "o").union(closed.select("s", "p", "o"))
+    # only what a uri of a blank node's name says can be in both
+    return out if closed.filter("named").isEmpty() else out.distinct()
 
 
 def type_expansion(retrieved: DataFrame, triples: DataFrame, limit: int = 30) -> DataFrame:

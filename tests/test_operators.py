@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vocabulary as v
-from tessera.operators import chunking, curation, dataset, evaluation, graph, linking, ranking, vectors
+from tessera.operators import chunking, curation, dataset, evaluation, graph, linking, meeting, ranking, vectors
 
 
 def one(spark, column, **values):
@@ -154,6 +154,73 @@ def test_subgraph_of_common_stems_meets_no_pairs(spark):
     assert 0 < rows < n * n / 2
 
 
+def test_seeds_of_the_same_stems_meet_no_pairs(spark):
+    n = 800
+    word = lambda i: "Гепер" + "".join("абвгджзикл"[int(c)] for c in f"{i:03d}")
+    t = triples(spark, [(f"L{i}", "label", f"'{word(i)} (връх)") for i in range(n)] + [("R", "label", "'Рилски (река)")])
+    q = spark.createDataFrame([(str(i), "Връх Геперско") for i in range(n)], "query_id string, text string")
+    got, rows = shuffled(spark, lambda: linking.seeds(q, t).collect())
+    assert {r.node for r in got} == {f"{v.NS}L{i}" for i in range(n)} and len(got) == n
+    assert 0 < rows < n * n / 2
+
+
+def test_subgraph_moves_triples_once(spark):
+    n = 60_000
+    i = lambda kind: F.concat(F.lit(v.NS + kind), F.col("id").cast("string"))
+    row = lambda s, s_kind, p, o, kind: spark.range(n).select(s.alias("s"), F.lit(s_kind).alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"))
+    bnode = F.concat(F.lit("_:n"), F.col("id").cast("string"))
+    t = row(i("E"), "uri", v.TYPE, F.lit(v.NS + "Връх"), "uri").union(row(i("E"), "uri", v.LABEL, F.col("id").cast("string"), "literal")).union(row(i("E"), "uri", v.NS + "имаПлощ", bnode, "bnode"))
+    t = t.union(row(bnode, "bnode", v.VALUE, F.lit("7"), "literal")).union(row(bnode, "bnode", v.UNIT, F.lit(v.NS + "Метър"), "uri"))
+    seeds = spark.range(n).filter("id % 3 = 0").select(i("E").alias("node"))
+    got, rows = shuffled(spark, lambda: graph.subgraph(t, seeds).count())
+    assert got == 5 * n // 3
+    assert 0 < rows < 1.5 * 5 * n
+
+
+def test_subgraph_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(5)
+    long_text = "'" + "д" * (v.DESCRIPTION_CHARS + 1)
+    for many in (meeting.MANY, 3):
+        monkeypatch.setattr(meeting, "MANY", many)
+        rows = [(f"N{rnd.randrange(60)}", rnd.choice(["r", "q"]), f"N{rnd.randrange(60)}") for _ in range(60)] + [("H", "r", f"N{k}") for k in range(40)]
+        rows += [(f"N{k}", "a", rnd.choice(["Връх", "Село", "C"])) for k in range(60)] + [(f"N{k}", "label", f"'x{k}") for k in range(60)] + [(f"N{k}", "имаОписание", rnd.choice(["'кратко", long_text])) for k in range(60)]
+        rows += [(f"N{k}", "имаПлощ", f"_:b{k}") for k in range(60)] + [(f"_:b{k}", "имаСтойност", f"'{k}") for k in range(60)] + [("C", "r", "N1"), ("C", "label", "'c")]
+        t = triples(spark, rows + rows[:50])
+        # the name of a blank node also as a uri, which is a node of its own, with a triple that both have
+        odd = t.filter(F.col("s").isin("_:b0", "_:b7")).withColumn("s_kind", F.lit("uri")).union(t.filter("s = '_:b3'").withColumn("s_kind", F.lit(None).cast("string")).withColumn("o", F.lit("z")))
+        t = t.union(odd).union(t.filter((F.col("s") == v.NS + "N5") & (F.col("o_kind") == "uri")).withColumn("o_kind", F.lit(None).cast("string")))
+        t = t.union(spark.createDataFrame([("urn:x", "uri", v.NS + "r", v.NS + f"N{k}", "uri", None, None) for k in range(60)] + [("_:b7", "uri", v.NS + "r", "_:b0", "bnode", None, None)], t.schema))
+        seeds, cap = [v.NS + "N1", v.NS + "N2", "urn:x", "_:b7"], 4
+
+        every = [tuple(r[:5]) for r in t.collect()]
+        near = {}
+        for s, _, p, o, k in every:
+            if p != v.TYPE and k == "uri" and s.startswith(v.NS) and o.startswith(v.NS):
+                near.setdefault(s, set()).add(o)
+                near.setdefault(o, set()).add(s)
+        hop = dict.fromkeys(seeds, 0)
+        first = {b for a in seeds for b in near.get(a, ())}
+        for h, found in ((1, first), (2, {b for a in first if len(near[a]) <= cap for b in near[a]})):
+            for b in found:
+                hop.setdefault(b, h)
+        schema = {o for _, _, p, o, _ in every if p == v.TYPE}
+        noise = {s for s, _, p, o, _ in every if p == v.TYPE and o in v.NOISE_TYPES} - set(seeds)
+        kept = set()
+        for s, sk, p, o, k in every:
+            if sk != "uri":
+                continue
+            close = hop.get(s, 9) <= 1 and s not in noise
+            cut = p == v.NS + "имаОписание" and len(o) > v.DESCRIPTION_CHARS and s not in seeds
+            far = k in ("uri", None) and o.startswith(v.NS) and o not in hop and o not in schema and p != v.TYPE
+            if s in schema or (close and not cut and not far) or (not close and p == v.LABEL and (s in hop or s in noise)):
+                kept.add((s, p, o, k))
+        blank = {o for _, _, o, k in kept if k == "bnode"}
+        want = {x[:3] for x in kept} | {(s, p, o) for s, _, p, o, _ in every if s in blank}
+        got = [tuple(r) for r in graph.subgraph(t, spark.createDataFrame([(x,) for x in seeds], "node string"), cap).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert v.NS + "H" in hop and any(s == v.NS + "H" for s, *_ in want) and len(blank) > 3
+
+
 def test_places_without_labels_stay_where_they_are(spark):
     n = 1000
     t = triples(spark, [("R", "label", "'Рогозен")])
